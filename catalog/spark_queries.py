@@ -342,7 +342,7 @@ def j1_near_pairs_cells(spark, d):
     """The same join through cells, on vectors that cluster."""
     rows = X.collection_dup(spark, d).vectors()
     distinct = P.collapse_copies(rows, P.copy_members(rows))
-    return rounded(P.similar_pairs(distinct, 0.9, cell_rows=32, block_rows=64))
+    return rounded(P.similar_pairs(distinct, 0.9, cell_rows=100, block_rows=128))
 
 
 @query
@@ -365,7 +365,7 @@ def j3_knn_exact(spark, d):
 @query
 def j3_knn_cells(spark, d):
     """Exact neighbours through pivot cells, on a collection with copies."""
-    return rounded(P.knn(X.collection_dup(spark, d).vectors(), 3, cell_rows=64, block_rows=32))
+    return rounded(P.knn(X.collection_dup(spark, d).vectors(), 3, cell_rows=128, block_rows=256))
 
 
 @query

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 STARTS_LOWER = r"^\p{IsLowercase}"
 ENDS_CLOSED = r"""[.!?"')\]]$"""  # fixed value: characters that end a sentence
-ANCHOR = 16  # characters compared before the exact overlap test
 
 
 def trimmed(text: Column) -> Column:
@@ -37,19 +36,24 @@ def preview(text: Column, width: int = 100) -> Column:
 def high_overlap(prev: Column, text: Column, share: float) -> Column:
     """Longest suffix of ``prev`` equal to a prefix of ``text``, when above ``share`` of the longer one.
 
-    Lengths at or below the share cannot qualify, so only the few above it are tried, and only where
-    the first characters of ``text`` occur in the part of ``prev`` such an overlap can start in.
+    A qualifying overlap is longer than ``lowest`` characters, so it starts where the first ``lowest``
+    characters of ``text`` occur in ``prev``. The first occurrence is tried; only for periodic text,
+    where there is a second one close by, the remaining lengths are tried in turn.
     """
-    shorter = F.least(F.length(prev), F.length(text))
-    longer = F.greatest(F.length(prev), F.length(text))
+    size = F.length(prev)
+    shorter = F.least(size, F.length(text))
+    longer = F.greatest(size, F.length(text))
     lowest = (F.floor(longer * share) + 1).cast("int")
-    head = F.left(text, F.least(shorter, F.lit(ANCHOR)))
-    window = F.right(prev, shorter)
-    found = F.array_max(
-        F.filter(F.sequence(lowest, shorter), lambda n: F.right(prev, n) == F.left(text, n))
+    must = F.left(text, lowest)
+    agrees = lambda n: F.right(prev, n) == F.left(text, n)
+    first = F.call_function("locate", must, prev, size - shorter + 1)
+    n = size - first + 1
+    second = F.call_function("locate", must, prev, first + 1)
+    later = F.when(
+        second > 0,
+        F.array_max(F.filter(F.sequence(lowest, F.greatest(lowest, size - second + 1)), agrees)),
     )
-    possible = (lowest <= shorter) & (F.instr(window, head) > 0)
-    return F.when(possible, found)
+    return F.when((lowest <= shorter) & (first > 0), F.when(agrees(n), n).otherwise(later))
 
 
 def format_bytes(n: Column) -> Column:

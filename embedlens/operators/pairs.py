@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embedlens.functions import vectors as V
+from embedlens.session import cut
 
 BLOCK_ROWS = 2048
 CELL_ROWS = 8192
@@ -446,7 +447,7 @@ def knn(
     lists stay short).
     """
     vectors = vectors.select("id", "vector")
-    members = copy_members(vectors)
+    members = cut(copy_members(vectors))
     has_copies = bool(members.limit(1).collect())
     distinct = collapse_copies(vectors, members) if has_copies else vectors
 
