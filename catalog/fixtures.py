@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from embedlens.session import cut
 from embedlens.sources.collections import Collection
 
 AS_OF = datetime(2024, 6, 1, tzinfo=timezone.utc)
@@ -50,7 +51,8 @@ def collection_dup(spark, sf_dir) -> Collection:
     moved = F.transform("vector", lambda x, i: F.when(i == 0, x + 0.05).otherwise(x))
     near = base.where("id % 10 = 1").withColumn("id", F.col("id") + 2_000_000).withColumn("vector", moved)
     near = near.withColumn("label", F.col("label") + 1)
-    return Collection(base.unionByName(exact).unionByName(near), TEXT_FIELDS, "collection_dup")
+    # written once, as a stored collection would be
+    return Collection(cut(base.unionByName(exact).unionByName(near)), TEXT_FIELDS, "collection_dup")
 
 
 def collection_mixed(spark, sf_dir) -> Collection:

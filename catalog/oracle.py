@@ -235,7 +235,7 @@ diff AS (SELECT ia AS vector_a_id, ib AS vector_b_id, similarity, row_pairs,
   FROM p WHERE similarity >= 0.85)"""
 add("j2_contradictions", f"""
 WITH {CONTRA} SELECT vector_a_id, vector_b_id, {R('similarity')} AS similarity, row_pairs, differences FROM diff WHERE differences <> ''
-ORDER BY 3 DESC, 1, 2 LIMIT 100""")
+ORDER BY diff.similarity DESC, 1, 2 LIMIT 100""")
 add("j2_contradiction_total", f"WITH {CONTRA} SELECT coalesce(sum(row_pairs), 0)::BIGINT AS contradictions FROM diff WHERE differences <> ''")
 
 

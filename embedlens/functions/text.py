@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+from embedlens.functions.values import trimmed
+
 STARTS_LOWER = r"^\p{IsLowercase}"
 ENDS_CLOSED = r"""[.!?"')\]]$"""  # fixed value: characters that end a sentence
 
 
-def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, EDGE_SPACE, "")
-
-
 def normal_form(text: Column) -> Column:
     """Trimmed, lower-cased text; null when nothing is left. Equal forms are text duplicates."""
     form = F.lower(trimmed(text))

@@ -10,14 +10,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLANK = r"(?U)^\s*$"
+# fixed value: the Unicode white space characters
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTENT_WORDS = ("text", "content", "body")  # fixed values: parts of a name that mark a content field
 
 
+def trimmed(text: Column) -> Column:
+    """Text without white space at either end; plain ``trim`` would strip spaces only."""
+    return F.trim(text, F.lit(SPACE))
+
+
 def is_empty(value: Column, dtype: T.DataType) -> Column:
     """True for null, blank text, an empty list and an empty object."""
     if isinstance(dtype, T.StringType):
-        return value.isNull() | value.rlike(BLANK)
+        return value.isNull() | (trimmed(value) == "")
     if isinstance(dtype, (T.ArrayType, T.MapType)):
         return value.isNull() | (F.size(value) == 0)
     if isinstance(dtype, T.VariantType):
@@ -26,7 +32,7 @@ def is_empty(value: Column, dtype: T.DataType) -> Column:
         return (
             value.isNull()
             | kind.isin("VOID", "ARRAY<VOID>", "OBJECT<>")
-            | ((kind == "STRING") & text.rlike(BLANK))
+            | ((kind == "STRING") & (trimmed(text) == ""))
         )
     return value.isNull()
 

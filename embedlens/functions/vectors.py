@@ -50,8 +50,11 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """``v`` scaled to length one; a zero vector stays zero."""
-    length = norm(v)
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
+    # the one-element array binds the norm to a variable, so it is computed once and not per element
+    scaled = F.transform(
+        F.array(norm(v)), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
+    )
+    return F.element_at(scaled, 1)
 
 
 def vector_text(v: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from embedlens.session import cut
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row number within it below
-_BINS = 1024
+_BINS = 4096
 
 
 def with_ordinal(df: DataFrame, *keys: str, name: str = "ordinal") -> DataFrame:
@@ -38,7 +38,7 @@ def with_ordinal(df: DataFrame, *keys: str, name: str = "ordinal") -> DataFrame:
 def value_at_ranks(df: DataFrame, column: str, ranks: list[int]) -> list[float]:
     """Exact values at 0-based ranks of the sorted column, by repeated histograms.
 
-    Every pass counts rows in at most 1024 bins per rank and keeps the bin that holds the rank, until
+    Every pass counts rows in at most 4096 bins per rank and keeps the bin that holds the rank, until
     the bin has one value. Nothing is sorted and no pass moves more than the bin counts.
     """
     value = F.col(column).cast("double")
@@ -47,19 +47,20 @@ def value_at_ranks(df: DataFrame, column: str, ranks: list[int]) -> list[float]:
     spans = [(first.lo, first.hi, r) for r in ranks]
     while any(lo != hi for lo, hi, _ in spans):
         open_spans = sorted({(lo, hi) for lo, hi, _ in spans if lo != hi})
-        tags = F.array(*[
-            F.when(F.col("v").between(lo, hi), F.struct(F.lit(i).alias("s"), bin_of(F.col("v"), lo, hi, _BINS).alias("b")))
-            for i, (lo, hi) in enumerate(open_spans)
-        ])
+        # spans are bins of earlier passes: equal or disjoint, so a row is in at most one
+        tag = F
+        for i, (lo, hi) in enumerate(open_spans):
+            slot = F.lit(i * _BINS) + bin_of(F.col("v"), lo, hi, _BINS)
+            tag = tag.when(F.col("v").between(lo, hi), slot)
         counted = (
-            base.select("v", F.explode(F.array_compact(tags)).alias("t"))
-            .groupBy("t.s", "t.b")
+            base.groupBy(tag.alias("slot"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .where("slot IS NOT NULL")
             .collect()
         )
         bins = {}
-        for row in sorted(counted, key=lambda r: (r.s, r.b)):
-            bins.setdefault(open_spans[row.s], []).append(row)
+        for row in sorted(counted, key=lambda r: r.slot):
+            bins.setdefault(open_spans[row.slot // _BINS], []).append(row)
         spans = [_descend(bins[(lo, hi)], r) if lo != hi else (lo, hi, r) for lo, hi, r in spans]
     return [lo for lo, _, _ in spans]
 

@@ -106,10 +106,7 @@ class Plan:
     dims: int
     block_rows: int
     pivots: np.ndarray | None = None
-
-    @property
-    def cells(self) -> int:
-        return 1 if self.pivots is None else len(self.pivots)
+    unit: bool = False  # cells are cut by direction: rows are scaled to length one to find theirs
 
 
 def by_width(vectors: DataFrame, run: Callable[[DataFrame, int, int], DataFrame]) -> DataFrame:
@@ -119,15 +116,18 @@ def by_width(vectors: DataFrame, run: Callable[[DataFrame, int, int], DataFrame]
     return reduce(DataFrame.unionByName, parts) if parts else run(vectors.limit(0), 0, 1)
 
 
-def plan(vectors: DataFrame, n: int, dims: int, cell_rows: int | None = None, block_rows: int | None = None) -> Plan:
+def plan(
+    vectors: DataFrame, n: int, dims: int, cell_rows: int | None = None, block_rows: int | None = None, unit: bool = False
+) -> Plan:
     cell_rows = cell_rows or CELL_ROWS
     block = block_rows or max(256, min(BLOCK_ROWS, -(-n // 4)))
     wanted = min(-(-n // cell_rows), MAX_PIVOTS, BROADCAST_BYTES // (8 * dims))
     if wanted < 4:
         return Plan(n, dims, block)
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toArrow()
-    pivots = np.unique(matrix(sample["vector"]).astype(float), axis=0)
-    return Plan(n, dims, block, pivots if len(pivots) >= 4 else None)
+    rows = matrix(sample["vector"]).astype(float)
+    pivots = np.unique(_unit_rows(rows) if unit else rows, axis=0)
+    return Plan(n, dims, block, pivots if len(pivots) >= 4 else None, unit)
 
 
 def _gap(pivots: np.ndarray) -> np.ndarray:
@@ -147,13 +147,14 @@ def _to_cells(vectors: DataFrame, p: Plan, radius: float | None, guests_in_lower
     """
     if p.pivots is None:
         return vectors.select("id", "vector", F.lit(0).alias("cell"), F.lit(False).alias("guest"))
-    pivots, gap = p.pivots, _gap(p.pivots)
+    pivots, gap, unit = p.pivots, _gap(p.pivots), p.unit
 
     def assign(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = matrix(batch["vector"])
+            x = _unit_rows(x) if unit else x
             sq = _squared(x, pivots)
             home = sq.argmin(1)
             rows, cells = np.arange(len(x)), home
@@ -260,13 +261,11 @@ def _similar(vectors: DataFrame, threshold: float, kernel, schema: str, cell_row
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
 
     def run(rows, n, dims):
-        prunable = threshold > 0
         # the cell bound holds for unit vectors; zero vectors have similarity 0 and pair only at threshold <= 0
-        units = rows.select("id", V.unit(F.col("vector")).alias("vector")) if prunable else rows
-        p = plan(units, n, dims, cell_rows, block_rows) if prunable else Plan(n, dims, block_rows or BLOCK_ROWS)
-        if p.pivots is not None and not _worth_cells(p.pivots, radius):
+        p = plan(rows, n, dims, cell_rows, block_rows, unit=True)
+        if p.pivots is not None and (threshold <= 0 or not _worth_cells(p.pivots, radius)):
             p = Plan(n, dims, p.block_rows)
-        return _block_tasks(_to_cells(units, p, radius, True), p, kernel, schema, p.pivots is not None)
+        return _block_tasks(_to_cells(rows, p, radius, True), p, kernel, schema, p.pivots is not None)
 
     return by_width(vectors, run)
 
