@@ -14,6 +14,7 @@ TIMESTAMP_FIELDS = (
     "created", "modified", "lastModified", "last_modified", "time", "datetime",
 )
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+INTEGER = r"^[+-]?\d{1,19}$"
 MILLIS_ABOVE = 1_000_000_000_000  # fixed value: larger integers are milliseconds
 SECOND, HOUR, DAY = 1_000_000, 3_600_000_000, 86_400_000_000
 
@@ -30,8 +31,10 @@ def _from_integer(n: Column, millis: bool) -> Column:
 
 
 def _from_text(text: Column, millis: bool) -> Column:
-    zoned = F.when(text.rlike(RFC3339), F.unix_micros(F.try_to_timestamp(F.upper(text))))
-    return F.coalesce(zoned, _from_integer(text.try_cast("bigint"), millis))
+    # patterns first: a failing cast costs far more than a failing match
+    zoned = F.when(text.rlike(RFC3339), F.unix_micros(F.upper(text).try_cast("timestamp")))
+    number = F.when(text.rlike(INTEGER), text.try_cast("bigint"))
+    return F.coalesce(zoned, _from_integer(number, millis))
 
 
 def epoch_micros(value: Column, dtype: T.DataType, millis: bool = True) -> Column:
