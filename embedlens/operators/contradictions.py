@@ -54,7 +54,7 @@ class Contradictions:
         meta = F.struct(*[_canonical(coll, f).alias(f) for f in self.fields]) if self.fields else F.struct(F.lit(0).alias("none"))
         # zero vectors are similar to nothing, so they cannot contradict
         directed = coll.vectors().where(V.squared_norm(F.col("vector")) > 0)
-        members = cut(copy_members(directed))
+        members = copy_members(directed)
         rows = coll.df.where(F.col("vector").isNotNull() & (V.squared_norm(F.col("vector")) > 0)).select("id", meta.alias("meta"))
         rows = rows.join(members.select("id", "rep"), "id", "left").withColumn("v", F.coalesce("rep", "id"))
         self.signatures = cut(rows.groupBy("v", "meta").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m")))

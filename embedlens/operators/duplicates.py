@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from embedlens.functions import text as X
 from embedlens.functions import vectors as V
 from embedlens.operators.components import components
-from embedlens.operators.pairs import copy_members, similar_links
+from embedlens.operators.pairs import copy_members, same_value, similar_links
 from embedlens.session import cut
 from embedlens.sources.collections import Collection
 
@@ -34,20 +34,11 @@ def near_members(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def text_members(coll: Collection, field: str, taken: DataFrame | None = None) -> DataFrame:
-    """``(kind, first_id, id)`` of rows with equal normalised text, rows without vectors included.
-
-    As for vectors, 8-byte hashes are counted first and only rows behind repeated hashes are grouped
-    by their text.
-    """
-    form = X.normal_form(coll.field(field))
-    rows = coll.df.select("id", form.alias("form")).where("form IS NOT NULL")
+    """``(kind, first_id, id)`` of rows with equal normalised text, rows without vectors included."""
+    rows = coll.df.select("id", X.normal_form(coll.field(field)).alias("form")).where("form IS NOT NULL")
     if taken is not None:
         rows = rows.join(taken.select("id"), "id", "left_anti")
-    keyed = rows.withColumn("h", F.xxhash64("form"))
-    repeated = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    suspects = keyed.join(repeated, "h", "left_semi")
-    groups = suspects.groupBy("form").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return suspects.join(groups, "form").select(F.lit("text_hash").alias("kind"), "first_id", "id")
+    return same_value(rows, F.col("form")).select(F.lit("text_hash").alias("kind"), F.col("rep").alias("first_id"), "id")
 
 
 def duplicate_members(
@@ -65,7 +56,7 @@ def duplicate_members(
         return reduce(lambda r, s: r.join(s.select("id"), "id", "left_anti"), stages, rows)
 
     if exact:
-        stages.append(cut(exact_members(vectors)))
+        stages.append(exact_members(vectors))
     if near:
         stages.append(near_members(remaining(vectors), threshold))
     if text_field:

@@ -77,17 +77,21 @@ def _nearest(a, b, b_ids, k, bound=None):
 # ---------------------------------------------------------------- copies
 
 
-def copy_members(vectors: DataFrame) -> DataFrame:
-    """``(id, rep, copies)`` of rows whose exact vector occurs more than once; rep = smallest id.
+def same_value(rows: DataFrame, value: Column) -> DataFrame:
+    """``(id, rep, copies)`` of rows whose value occurs more than once; rep = smallest id.
 
-    A first pass counts 8-byte hashes only; just the rows behind repeated hashes are grouped by the
-    vector itself.
+    Values are compared by a 128-bit fingerprint, written once next to the ids, so neither vectors
+    nor texts are shuffled and they are read a single time. Groups are counted before the shuffle;
+    a group of a third of all rows is one row per task there, and a skewed side of the join after it.
     """
-    keyed = vectors.withColumn("h", F.xxhash64("vector"))
-    repeated = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    suspects = keyed.join(repeated, "h", "left_semi")
-    groups = suspects.groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return suspects.join(groups, "vector").select("id", "rep", "copies")
+    keyed = cut(rows.select("id", F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(1), value).alias("h2")))
+    groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return keyed.join(groups, ["h1", "h2"]).select("id", "rep", "copies")
+
+
+def copy_members(vectors: DataFrame) -> DataFrame:
+    """Groups of exact copies of one vector, as in ``same_value``."""
+    return same_value(vectors, F.col("vector"))
 
 
 def collapse_copies(vectors: DataFrame, members: DataFrame) -> DataFrame:
@@ -446,7 +450,7 @@ def knn(
     lists stay short).
     """
     vectors = vectors.select("id", "vector")
-    members = cut(copy_members(vectors))
+    members = copy_members(vectors)
     has_copies = bool(members.limit(1).collect())
     distinct = collapse_copies(vectors, members) if has_copies else vectors
 

@@ -47,15 +47,18 @@ def hour_counts(ages: DataFrame) -> DataFrame:
     return ages.groupBy("age_hours").agg(F.count(F.lit(1)).alias("n"))
 
 
-def age_percentiles(ages: DataFrame, shares: tuple = PERCENTILES) -> list[float]:
-    """Ages in days at index floor(p*n), read off the running hour counts."""
-    running = F.sum("n").over(Window.orderBy("age_hours"))
-    hours = hour_counts(ages).withColumn("upto", running)
-    n = ages.count()
+def ranked(counts: DataFrame, value: str, ranks: list[int]) -> list[float]:
+    """Values at 0-based ranks, read off running counts ``(value, n)`` of few distinct values."""
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value)))
+    return list(upto.agg(*[F.min(F.when(F.col("upto") > r, F.col(value))).alias(f"r{i}") for i, r in enumerate(ranks)]).first())
+
+
+def age_percentiles(ages: DataFrame, shares: tuple = PERCENTILES, n: int | None = None) -> list[float]:
+    """Ages in days at index floor(p*n)."""
+    n = ages.count() if n is None else n
     if not n:
         return [0.0] * len(shares)
-    picks = [F.min(F.when(F.col("upto") > r, F.col("age_hours"))).alias(f"p{i}") for i, r in enumerate(percentile_ranks(n, list(shares)))]
-    return [h / 24.0 for h in hours.agg(*picks).first()]
+    return [h / 24.0 for h in ranked(hour_counts(ages), "age_hours", percentile_ranks(n, list(shares)))]
 
 
 def dead_zones(ages: DataFrame, stale_days: float = STALE_DAYS) -> DataFrame:

@@ -87,7 +87,7 @@ def stale_records(coll: Collection, as_of: datetime, days: int = staleness.STALE
         ages = staleness.record_ages(coll, field, as_of)
     ages = ages.persist()
     s = ages.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("age_days") > days).alias("stale")).first()
-    p = staleness.age_percentiles(ages)
+    p = staleness.age_percentiles(ages, n=s.n)
     share = s.stale / s.n * 100.0 if s.n else 0.0
     summary = spark.createDataFrame(
         [(field, s.n, s.stale, share, p[1], *p)],
@@ -335,9 +335,7 @@ PENALTY = {"critical": 25, "error": 15, "warning": 5, "info": 1}  # fixed values
 def collection_health(coll: Collection, as_of: datetime, sample_rows: int | None = None) -> tuple[tuple, list[tuple]]:
     """Facts and issues of one collection from one scan; ``sample_rows`` looks at the first rows by id
     only and scales the counts up."""
-    info = coll.df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
-    n, dims = info.n, info.d if info.d and info.d > 0 else 0
-    seen = coll if sample_rows is None or n <= sample_rows else coll.with_df(coll.df.orderBy("id").limit(sample_rows))
+    seen = coll if sample_rows is None else coll.with_df(coll.df.orderBy("id").limit(sample_rows))
     norm = V.norm(F.col("vector"))
     time_fields = [f for f in HEALTH_TIME_FIELDS if f in coll.fields]
     text_fields = [f for f in HEALTH_TEXT_FIELDS if f in coll.fields]
@@ -345,7 +343,7 @@ def collection_health(coll: Collection, as_of: datetime, sample_rows: int | None
     total = F.count(F.lit(1)) * len(coll.fields)
     filled = F.coalesce(F.sum(coll.filled_count()), F.lit(0))
     facts = seen.df.agg(
-        F.count(F.lit(1)).alias("rows"),
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("dims"),
         F.coalesce(F.try_divide(filled.cast("double"), total), F.lit(1.0)).alias("completeness"),
         F.count_if(orphans.empty_content(coll)).alias("orphans"),
         F.count_if(F.col("vector").isNull()).alias("missing"),
@@ -355,6 +353,11 @@ def collection_health(coll: Collection, as_of: datetime, sample_rows: int | None
         *[F.count(coll.field(f)).alias(f"text_{f}") for f in text_fields],
         *[F.count_if(X.byte_length(coll.field(f)) < 50).alias(f"short_{f}") for f in text_fields],
     ).first()
+    if sample_rows is None:
+        n, width = facts.rows, facts.dims
+    else:
+        n, width = coll.df.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    dims = width if width and width > 0 else 0
     scale = n / facts.rows if facts.rows else 0.0
     issues: list[tuple] = []
 
@@ -386,8 +389,8 @@ def collection_health(coll: Collection, as_of: datetime, sample_rows: int | None
                 add("warning", "distance_health", f"Poor distance discrimination (ratio: {ratio:.2f})", None, "Run Distance Health analysis for detailed assessment")
         field = next((f for f in time_fields if facts[f"time_{f}"] >= 5), None)
         if field:
-            days = seen.df.select(times.whole_days(epochs[field], as_of).alias("d"))
-            age = O.percentiles(days, "d", [0.5], facts[f"time_{field}"])[0]
+            days = seen.df.select(times.whole_days(epochs[field], as_of).alias("d")).where("d IS NOT NULL")
+            (age,) = staleness.ranked(days.groupBy("d").agg(F.count(F.lit(1)).alias("n")), "d", [facts[f"time_{field}"] // 2])
             if age > 180:
                 add("info", "staleness", f"Median data age is {age:.0f} days (field: {field})", None, "Run Staleness Analysis for detailed age distribution")
         field = next((f for f in text_fields if facts[f"text_{f}"] >= 5), None)
