@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from embedlens.functions import vectors as V
 from embedlens.operators.ordering import with_ordinal
 from embedlens.operators.pairs import search
+from embedlens.session import cut
 
 SAMPLE_PAIRS = 10_000  # fixed value: default
 RECALL_QUERIES = 50  # fixed value
+BROADCAST_PAIRS = 1_000_000
 
 
 def pair_of(t: Column, n: int) -> tuple[Column, Column]:
@@ -28,17 +30,26 @@ def pair_of(t: Column, n: int) -> tuple[Column, Column]:
 def strided_pairs(vectors: DataFrame, max_pairs: int = SAMPLE_PAIRS, n: int | None = None) -> DataFrame:
     """``(t, id_a, id_b, dist)``: every step-th pair of rows in id order, at most ``max_pairs``;
     all pairs when there are no more than that. Pairs are computed, not enumerated."""
-    rows = with_ordinal(vectors.select("id", "vector"), "id", name="o")
-    n = vectors.count() if n is None else n
+    order = with_ordinal(vectors.select("id"), "id", name="o")  # ids only: no vector is moved
+    n = order.count() if n is None else n
     total = n * (n - 1) // 2
     step = max(1, total // max_pairs) if total else 1
     m = min(max_pairs, total)
     t = (F.col("id") * step).alias("t")
     i, j = pair_of(F.col("t"), max(n, 2))
     wanted = vectors.sparkSession.range(m).select(t).select("t", i.alias("i"), j.alias("j"))
-    a = rows.select(F.col("o").alias("i"), F.col("id").alias("id_a"), F.col("vector").alias("va"))
-    b = rows.select(F.col("o").alias("j"), F.col("id").alias("id_b"), F.col("vector").alias("vb"))
-    met = wanted.join(a, "i").join(b, "j")
+    a = order.select(F.col("o").alias("i"), F.col("id").alias("id_a"))
+    b = order.select(F.col("o").alias("j"), F.col("id").alias("id_b"))
+    pairs = cut(wanted.join(a, "i").join(b, "j").select("t", "id_a", "id_b"))
+    ends = pairs.select("t", F.col("id_a").alias("id"), F.lit(0).alias("end")).unionAll(
+        pairs.select("t", F.col("id_b").alias("id"), F.lit(1).alias("end"))
+    )
+    # 2 * max_pairs short rows, a number the caller sets
+    ends = F.broadcast(ends) if m <= BROADCAST_PAIRS else ends
+    met = vectors.select("id", "vector").join(ends, "id").groupBy("t").agg(
+        F.min_by("id", "end").alias("id_a"), F.max_by("id", "end").alias("id_b"),
+        F.min_by("vector", "end").alias("va"), F.max_by("vector", "end").alias("vb"),
+    )
     return met.select("t", "id_a", "id_b", V.euclidean(F.col("va"), F.col("vb")).alias("dist"))
 
 
@@ -52,9 +63,9 @@ def recall_queries(vectors: DataFrame, n: int) -> DataFrame:
     """Up to 50 evenly spaced rows in id order, as ``(query, vector)``."""
     picked = min(RECALL_QUERIES, n)
     step = max(1, n // max(picked, 1))
-    rows = with_ordinal(vectors.select("id", "vector"), "id", name="o")
-    hit = (F.col("o") % step == 0) & (F.col("o") < step * picked)
-    return rows.where(hit).select(F.col("id").alias("query"), "vector")
+    order = with_ordinal(vectors.select("id"), "id", name="o")
+    hit = order.where((F.col("o") % step == 0) & (F.col("o") < step * picked)).select("id")
+    return vectors.join(F.broadcast(hit), "id").select(F.col("id").alias("query"), "vector")  # at most fifty ids
 
 
 def recall(vectors: DataFrame, approximate: DataFrame, k: int, n: int) -> DataFrame:

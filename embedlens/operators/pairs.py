@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from embedlens.functions import vectors as V
 from embedlens.session import cut
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096  # rows of a block: larger blocks mean fewer copies of each row
+SLICE_ROWS = 512  # rows of a block compared at a time
 CELL_ROWS = 8192
 MAX_PIVOTS = 4096
 BROADCAST_BYTES = 64 << 20  # largest matrix shipped to every task
@@ -52,26 +53,41 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def _slices(n: int):
+    for start in range(0, n, SLICE_ROWS):
+        yield start, min(n, start + SLICE_ROWS)
+
+
 def _nearest(a, b, b_ids, k, bound=None):
     """Row, column and distance of the k nearest of ``b`` for each row of ``a``, ties by id.
 
     The fast squared distance picks candidates with some slack; their distances are then computed
     directly and sorted, so near-equal vectors do not suffer from cancellation.
     """
-    if not len(a) or not len(b):
-        return np.empty(0, int), np.empty(0, int), np.empty(0)
-    fast = _squared(a, b)
-    tol = 1e-12 * (1.0 + (a * a).sum(1)[:, None] + (b * b).sum(1).max())
-    limit = np.partition(fast, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1][:, None]
-    if bound is not None:
-        limit = np.minimum(limit, bound[:, None] ** 2)
-    row, col = np.nonzero(fast <= limit + tol)
-    dist = np.sqrt(((a[row] - b[col]) ** 2).sum(1))
-    order = np.lexsort((b_ids[col], dist, row))
-    row, col, dist = row[order], col[order], dist[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-    keep = rank < k
-    return row[keep], col[keep], dist[keep]
+    rows, cols, dists = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+    most = (b * b).sum(1).max() if len(b) else 0.0
+    for lo, hi in _slices(len(a) if len(b) else 0):
+        part = a[lo:hi]
+        fast = _squared(part, b)
+        tol = 1e-12 * (1.0 + (part * part).sum(1)[:, None] + most)
+        limit = np.partition(fast, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1][:, None]
+        if bound is not None:
+            limit = np.minimum(limit, bound[lo:hi, None] ** 2)
+        row, col = np.nonzero(fast <= limit + tol)
+        dist = np.sqrt(((part[row] - b[col]) ** 2).sum(1))
+        row, col, dist = _first_k(row, b_ids[col], dist, k, col)
+        rows.append(row + lo)
+        cols.append(col)
+        dists.append(dist)
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
+
+
+def _first_k(row, ids, dist, k, carried):
+    """The k entries of smallest distance, then id, of each row."""
+    order = np.lexsort((ids, dist, row))
+    row, dist, carried = row[order], dist[order], carried[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[keep], carried[keep], dist[keep]
 
 
 # ---------------------------------------------------------------- copies
@@ -140,8 +156,16 @@ def _gap(pivots: np.ndarray) -> np.ndarray:
     return d
 
 
-def _cell_schema(vectors: DataFrame, extra: str = "") -> str:
-    return f"id {vectors.schema['id'].dataType.simpleString()}, vector array<double>, cell int, guest boolean{extra}"
+def _cell_schema(vectors: DataFrame) -> str:
+    held = ", ".join(f"`{n}` {t}" for n, t in vectors.dtypes)
+    return f"{held}, cell int, guest boolean"
+
+
+def _placed(batch: pa.RecordBatch, rows: np.ndarray, cells: np.ndarray, guest: np.ndarray) -> pa.RecordBatch:
+    """The chosen rows of a batch with their cells."""
+    pick = pa.array(rows)
+    columns = [c.take(pick) for c in batch.columns] + [pa.array(cells.astype("int32")), pa.array(guest)]
+    return pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "cell", "guest"])
 
 
 def _to_cells(vectors: DataFrame, p: Plan, radius: float | None, guests_in_lower_cells_only: bool) -> DataFrame:
@@ -150,7 +174,7 @@ def _to_cells(vectors: DataFrame, p: Plan, radius: float | None, guests_in_lower
     For x nearer to pivot h than to c, every y in cell c has d(x,y) >= (d(x,c)^2 - d(x,h)^2) / (2 d(h,c)).
     """
     if p.pivots is None:
-        return vectors.select("id", "vector", F.lit(0).alias("cell"), F.lit(False).alias("guest"))
+        return vectors.select("*", F.lit(0).alias("cell"), F.lit(False).alias("guest"))
     pivots, gap, unit = p.pivots, _gap(p.pivots), p.unit
 
     def assign(batches):
@@ -172,13 +196,9 @@ def _to_cells(vectors: DataFrame, p: Plan, radius: float | None, guests_in_lower
                 r, c = np.nonzero(near)
                 rows, cells = np.concatenate([rows, r]), np.concatenate([cells, c])
                 guest = np.concatenate([guest, np.ones(len(r), bool)])
-            pick = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"].take(pick), batch["vector"].take(pick), pa.array(cells.astype("int32")), pa.array(guest)],
-                ["id", "vector", "cell", "guest"],
-            )
+            yield _placed(batch, rows, cells, guest)
 
-    return vectors.select("id", "vector").mapInArrow(assign, _cell_schema(vectors))
+    return vectors.mapInArrow(assign, _cell_schema(vectors))
 
 
 def _block_tasks(
@@ -248,17 +268,26 @@ def _sides(key, table):
 
 
 def _matches(key, table, threshold):
+    """Matching pairs of a block task, a slice of left rows at a time: ids of both sides once, then
+    ``(i, j, similarity)`` of the matches."""
     left, right, same = _sides(key, table)
     a, b = matrix(left["vector"]), matrix(right["vector"])
-    if not len(a) or not len(b):
-        return None
-    scale = np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)[None, :])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        sim = np.where(scale > 0, (a @ b.T) / scale, 0.0)
-    hit = sim >= threshold
-    if same:
-        hit = np.triu(hit, 1)
-    return _ids(left["id"]), _ids(right["id"]), sim, hit
+
+    def found():
+        if not len(a) or not len(b):
+            return
+        norm = (b * b).sum(1)[None, :]
+        for lo, hi in _slices(len(a)):
+            part = a[lo:hi]
+            scale = np.sqrt((part * part).sum(1)[:, None] * norm)
+            sim = np.divide(part @ b.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+            hit = sim >= threshold
+            if same:
+                hit &= np.arange(len(b))[None, :] > np.arange(lo, hi)[:, None]
+            i, j = np.nonzero(hit)
+            yield i + lo, j, sim[i, j]
+
+    return left, right, same, found()
 
 
 def _similar(vectors: DataFrame, threshold: float, kernel, schema: str, cell_rows, block_rows) -> DataFrame:
@@ -290,15 +319,15 @@ def similar_pairs(vectors: DataFrame, threshold: float, cell_rows: int | None =
     fields = _result_schema(vectors, ["a", "b"], [("similarity", pa.float64())])
 
     def kernel(key, table):
-        found = _matches(key, table, threshold)
-        if found is None:
-            return fields.empty_table()
-        left, right, sim, hit = found
-        i, j = np.nonzero(hit)
-        a, b = left[i], right[j]
-        swap = a > b
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.table([pa.array(a), pa.array(b), pa.array(sim[i, j])], names=fields.names).cast(fields)
+        left, right, _, found = _matches(key, table, threshold)
+        ida, idb = _ids(left["id"]), _ids(right["id"])
+        out = [fields.empty_table()]
+        for i, j, sim in found:
+            a, b = ida[i], idb[j]
+            swap = a > b
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            out.append(pa.table([pa.array(a), pa.array(b), pa.array(sim)], names=fields.names).cast(fields))
+        return pa.concat_tables(out)
 
     return _similar(vectors, threshold, kernel, f"a {kind}, b {kind}, similarity double", cell_rows, block_rows)
 
@@ -313,35 +342,29 @@ def similar_links(vectors: DataFrame, threshold: float, cell_rows: int | None =
     fields = _result_schema(vectors, ["a", "b"], [])
 
     def kernel(key, table):
-        found = _matches(key, table, threshold)
-        if found is None:
-            return fields.empty_table()
-        left, right, _, hit = found
-        same = left is right or (key[1].as_py() == 0 and key[2].as_py() == key[3].as_py())
-        a, b = _forest(hit | hit.T if same else hit, same)
-        pool = left if same else np.concatenate([left, right])
-        return pa.table([pa.array(pool[a]), pa.array(pool[b])], names=fields.names).cast(fields)
+        left, right, same, found = _matches(key, table, threshold)
+        ida = _ids(left["id"])
+        pool = ida if same else np.concatenate([ida, _ids(right["id"])])
+        root, member = _forest(((i, j if same else j + len(ida)) for i, j, _ in found), len(pool))
+        return pa.table([pa.array(pool[root]), pa.array(pool[member])], names=fields.names).cast(fields)
 
     return _similar(vectors, threshold, kernel, f"a {kind}, b {kind}", cell_rows, block_rows)
 
 
-def _forest(hit: np.ndarray, same: bool):
-    """Star links (member, root) of the components of a block's match matrix."""
-    rows, cols = hit.shape
-    n = rows if same else rows + cols
-    i, j = np.nonzero(hit)
-    if not same:
-        j = j + rows
+def _forest(links, n: int):
+    """Star links (root, member) of the components of links over 0..n-1, given in portions."""
     label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    for i, j in links:
+        while True:
+            a, b = label[i], label[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            # hang the larger root under the smaller one, then flatten
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label[label] != label).any():
+                label = label[label]
     member = np.nonzero(label != np.arange(n))[0]
     return label[member], member
 
@@ -392,6 +415,7 @@ def _knn_distinct(rows: DataFrame, n: int, dims: int, k: int, cell_rows, block_r
     local = best_k(_block_tasks(home, p, _knn_kernel(k, fields, False), schema, False), k)
     if p.pivots is None:
         return local.drop("rank")
+    local = cut(local)  # used for the bounds and in the answer
     if probes is None:
         kth = local.groupBy("src").agg(F.when(F.count("*") >= k, F.max("dist")).alias("bound"))
         reach = rows.join(kth, rows["id"] == kth["src"], "left").select(
@@ -427,14 +451,9 @@ def _guests(reach: DataFrame, p: Plan, probes: int | None) -> DataFrame:
                 near[at[:, None], top] = True
             near[at, home] = False
             r, c = np.nonzero(near)
-            pick = pa.array(r)
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"].take(pick), batch["vector"].take(pick), pa.array(c.astype("int32")),
-                 pa.array(np.ones(len(r), bool)), batch["bound"].take(pick)],
-                ["id", "vector", "cell", "guest", "bound"],
-            )
+            yield _placed(batch, r, c, np.ones(len(r), bool))
 
-    return reach.mapInArrow(visit, _cell_schema(reach, ", bound double"))
+    return reach.mapInArrow(visit, _cell_schema(reach))
 
 
 def knn(
@@ -507,18 +526,24 @@ def _search_slice(vectors, rows, k, metric, exclude_self):
     qkind = rows.schema["query"].dataType.simpleString()
 
     def scan(batches):
+        want = k + 1 if exclude_self else k
+        row, ids, dist = np.empty(0, int), None, np.empty(0)
         for batch in batches:
             if not batch.num_rows or not len(q):
                 continue
-            x, ids = matrix(batch["vector"]), _ids(batch["id"])
-            if metric == "cosine":
-                x = _unit_rows(x)
-            r, c, d = _nearest(q, x, ids, k + 1 if exclude_self else k)
+            x, names = matrix(batch["vector"]), _ids(batch["id"])
+            x = _unit_rows(x) if metric == "cosine" else x
+            r, c, d = _nearest(q, x, names, want)
+            row = np.concatenate([row, r])
+            ids = names[c] if ids is None else np.concatenate([ids, names[c]])
+            dist = np.concatenate([dist, d])
+            row, ids, dist = _first_k(row, ids, dist, want, ids)
+        if ids is not None:
             if metric == "cosine":
-                d = d * d / 2.0
-            keep = ids[c] != qid[r] if exclude_self else np.ones(len(r), bool)
+                dist = dist * dist / 2.0
+            keep = ids != qid[row] if exclude_self else np.ones(len(row), bool)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qid[r[keep]]), pa.array(ids[c[keep]]), pa.array(d[keep])], ["query", "id", "dist"]
+                [pa.array(qid[row[keep]]), pa.array(ids[keep]), pa.array(dist[keep])], ["query", "id", "dist"]
             )
 
     fit = vectors.where(F.size("vector") == dims).select("id", "vector")
@@ -574,33 +599,29 @@ def distance_sums(rows: DataFrame, block_rows: int | None = None) -> DataFrame:
 
     def kernel(key, table):
         left, right, same = _sides(key, table)
-        a, b = matrix(left["vector"]), matrix(right["vector"])
-        if not len(a) or not len(b):
-            return fields.empty_table()
-        dist = np.sqrt(_squared(a, b))
-        if same:
-            np.fill_diagonal(dist, 0.0)
-        out = [_sum_by_cluster(left, right, dist, same)]
+        out = [fields.empty_table(), *_sum_by_cluster(left, right, same)]
         if not same:
-            out.append(_sum_by_cluster(right, left, dist.T, False))
-        return pa.concat_tables(out).cast(fields)
+            out += _sum_by_cluster(right, left, False)
+        return pa.concat_tables(out)
+
+    def _sum_by_cluster(left, right, same):
+        a, b = matrix(left["vector"]), matrix(right["vector"])
+        names, code = np.unique(right["cluster"].to_numpy(), return_inverse=True)
+        member = np.zeros((len(code), len(names)))
+        member[np.arange(len(code)), code] = 1.0
+        ids = _ids(left["id"])
+        for lo, hi in _slices(len(a) if len(b) else 0):
+            dist = np.sqrt(_squared(a[lo:hi], b))
+            n = np.broadcast_to(member.sum(0), (hi - lo, len(names))).copy()
+            if same:
+                at = np.arange(lo, hi)
+                dist[at - lo, at] = 0.0
+                n[at - lo, code[at]] -= 1.0
+            total = dist @ member
+            i, j = np.nonzero(n > 0)
+            columns = [ids[lo:hi][i], names[j].astype("int32"), n[i, j].astype("int64"), total[i, j]]
+            yield pa.table([pa.array(c) for c in columns], names=fields.names).cast(fields)
 
     cells = rows.select("id", "vector", F.col("cluster").cast("int").alias("cluster"), F.lit(0).alias("cell"), F.lit(False).alias("guest"))
     sums = _block_tasks(cells, p, kernel, f"id {kind}, other int, n long, total double", False)
     return sums.groupBy("id", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-
-
-def _sum_by_cluster(left, right, dist, same):
-    cluster = right["cluster"].to_numpy()
-    names, code = np.unique(cluster, return_inverse=True)
-    member = np.zeros((len(code), len(names)))
-    member[np.arange(len(code)), code] = 1.0
-    total = dist @ member
-    n = np.broadcast_to(member.sum(0), total.shape).copy()
-    if same:
-        n[np.arange(len(code)), code] -= 1.0
-    i, j = np.nonzero(n > 0)
-    return pa.table(
-        [pa.array(_ids(left["id"])[i]), pa.array(names[j].astype("int32")), pa.array(n[i, j].astype("int64")), pa.array(total[i, j])],
-        names=["id", "other", "n", "total"],
-    )

@@ -144,7 +144,7 @@ def distribution(coll: Collection, k: int | None = None, threshold: float = clus
     vectors = coll.vectors()
     k = k or clusters.auto_k(vectors.count())
     found = clusters.kmeans(vectors, k, iterations)
-    assigned = cut(found.assign(vectors))
+    assigned = found.assign(vectors)  # recomputed where used: cheaper than writing every vector
     score = clusters.silhouette(assigned) if exact_silhouette else clusters.silhouette_squared(assigned)
     davies = clusters.davies_bouldin(assigned, found.frame(vectors), k)
     metrics = score.withColumn("one", F.lit(1)).join(davies.withColumn("one", F.lit(1)), "one").drop("one").withColumn("cluster_count", F.lit(k))
