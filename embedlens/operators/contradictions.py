@@ -1,22 +1,25 @@
 """Similar vectors with conflicting metadata.
 
-Rows with the same vector and the same metadata are one *signature*: the smallest id stands for
-them and carries their number. Pairs are formed between distinct vectors only. The number of
-contradicting row pairs is exact and comes from group sizes (all pairs less those with equal
-metadata); the reported list holds signature pairs, and of each vector only as many signatures as
-the list can need.
+Metadata are compared by a 128-bit fingerprint, so no text is shuffled. Rows with the same vector
+and the same metadata are one *signature*: the smallest id stands for them and carries their number.
+
+Pairs of vectors are counted where they are compared. A block task returns the number of
+contradictions and its ``max_results`` best ones, not its pairs. Vectors whose copies differ in
+metadata are counted from group sizes: all pairs less those with equal metadata.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedlens.functions import values
 from embedlens.functions import vectors as V
-from embedlens.operators.pairs import collapse_copies, copy_members, similar_pairs
+from embedlens.operators.pairs import best_k, collapse_copies, copy_members, ids_of, matches, result_schema, similar
 from embedlens.session import cut
 from embedlens.sources.collections import Collection
 
@@ -46,66 +49,137 @@ def differences(a: Column, b: Column, fields: list[str]) -> Column:
     return F.array_compact(F.array(*each))
 
 
+def _fingerprint(coll: Collection, fields: list[str]) -> list[Column]:
+    # a mark tells an empty value from any text, and keeps fields apart
+    marked = [F.coalesce(F.concat(F.lit("="), _canonical(coll, f)), F.lit("-")) for f in fields] or [F.lit("-")]
+    return [F.xxhash64(*marked).alias("h1"), F.xxhash64(F.lit(1), *marked).alias("h2")]
+
+
 class Contradictions:
-    """Contradictions of one collection; ``pairs`` and ``total`` share the pair join."""
+    """Contradictions of one collection; ``pairs`` and ``total`` share one comparison of vectors."""
 
-    def __init__(self, coll: Collection, threshold: float = THRESHOLD):
-        self.fields = _compared(coll)
-        meta = F.struct(*[_canonical(coll, f).alias(f) for f in self.fields]) if self.fields else F.struct(F.lit(0).alias("none"))
+    def __init__(self, coll: Collection, threshold: float = THRESHOLD, max_results: int = MAX_RESULTS):
+        self.coll, self.fields, self.max_results = coll, _compared(coll), max_results
         # zero vectors are similar to nothing, so they cannot contradict
-        directed = coll.vectors().where(V.squared_norm(F.col("vector")) > 0)
-        members = copy_members(directed)
-        rows = coll.df.where(F.col("vector").isNotNull() & (V.squared_norm(F.col("vector")) > 0)).select("id", meta.alias("meta"))
-        rows = rows.join(members.select("id", "rep"), "id", "left").withColumn("v", F.coalesce("rep", "id"))
-        self.signatures = cut(rows.groupBy("v", "meta").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m")))
-        heads = collapse_copies(directed, members)
-        pairs = similar_pairs(heads, threshold).select(F.col("a").alias("va"), F.col("b").alias("vb"), "similarity")
-        self.vector_pairs = cut(pairs)
+        rows = coll.df.where(F.col("vector").isNotNull() & (V.squared_norm(F.col("vector")) > 0))
+        rows = rows.select("id", "vector", *_fingerprint(coll, self.fields))
+        members = copy_members(rows)
+        copied = rows.select("id", "h1", "h2").join(members, "id")
+        self.signatures = cut(
+            copied.groupBy(F.col("rep").alias("v"), "h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
+        )
+        self.copied = self.signatures.groupBy("v").agg(
+            F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("k")
+        )
+        known = self.copied.select(F.col("v").alias("id"), "n", (F.col("k") == 1).alias("single"))
+        heads = collapse_copies(rows, members).join(known, "id", "left")
+        heads = heads.withColumn("n", F.coalesce("n", F.lit(1))).withColumn("single", F.coalesce("single", F.lit(True)))
+        self.found = cut(_compare(heads, threshold, max_results))
+
+    def _of_vectors(self) -> DataFrame:
+        """``(v, id, m, h1, h2)``: signatures of every vector that occurs in an undecided pair."""
+        undecided = self.found.where(F.col("kind") == UNDECIDED)
+        ends = undecided.select(F.col("a").alias("v")).unionAll(undecided.select(F.col("b").alias("v"))).distinct()
+        lone = ends.join(self.copied.select("v"), "v", "left_anti")
+        own = self.coll.df.select("id", *_fingerprint(self.coll, self.fields))
+        lone = own.join(lone.select(F.col("v").alias("id")), "id").select(F.col("id").alias("v"), "id", F.lit(1).cast("bigint").alias("m"), "h1", "h2")
+        return self.signatures.select("v", "id", "m", "h1", "h2").unionByName(lone)
 
     def total(self) -> DataFrame:
         """``(contradictions)``: row pairs at or above the threshold whose metadata differ."""
-        per_vector = self.signatures.groupBy("v").agg(
-            F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same")
-        )
-        # within one vector: (n^2 - sum m^2) / 2 pairs of rows differ in metadata
-        inside = per_vector.select(((F.col("n") * F.col("n") - F.col("same")) / 2).cast("bigint").alias("c"))
-        n_a = per_vector.select(F.col("v").alias("va"), F.col("n").alias("na"))
-        n_b = per_vector.select(F.col("v").alias("vb"), F.col("n").alias("nb"))
-        across = self.vector_pairs.join(n_a, "va").join(n_b, "vb").select((F.col("na") * F.col("nb")).alias("c"))
-        s_a = self.signatures.select(F.col("v").alias("va"), "meta", F.col("m").alias("ma"))
-        s_b = self.signatures.select(F.col("v").alias("vb"), "meta", F.col("m").alias("mb"))
-        agree = self.vector_pairs.join(s_a, "va").join(s_b, ["vb", "meta"]).select((-F.col("ma") * F.col("mb")).alias("c"))
-        every = reduce(DataFrame.unionAll, [inside, across, agree])
+        counted = self.found.where(F.col("kind") == COUNT).select(F.col("weight").alias("c"))
+        # among copies of one vector: (n^2 - sum m^2) / 2 row pairs differ
+        inside = self.copied.select(((F.col("n") * F.col("n") - F.col("same")) / 2).cast("bigint").alias("c"))
+        undecided = self.found.where(F.col("kind") == UNDECIDED).select(F.col("a").alias("va"), F.col("b").alias("vb"))
+        sig = self._of_vectors()
+        sizes = sig.groupBy("v").agg(F.sum("m").alias("n"))
+        n_a = sizes.select(F.col("v").alias("va"), F.col("n").alias("na"))
+        n_b = sizes.select(F.col("v").alias("vb"), F.col("n").alias("nb"))
+        across = undecided.join(n_a, "va").join(n_b, "vb").select((F.col("na") * F.col("nb")).alias("c"))
+        s_a = sig.select(F.col("v").alias("va"), "h1", "h2", F.col("m").alias("ma"))
+        s_b = sig.select(F.col("v").alias("vb"), "h1", "h2", F.col("m").alias("mb"))
+        agree = undecided.join(s_a, "va").join(s_b, ["vb", "h1", "h2"]).select((-F.col("ma") * F.col("mb")).alias("c"))
+        every = reduce(DataFrame.unionAll, [counted, inside, across, agree])
         return every.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("contradictions"))
 
-    def pairs(self, max_results: int = MAX_RESULTS) -> DataFrame:
-        """``(vector_a_id, vector_b_id, similarity, row_pairs, differences)``, most similar first.
+    def _listed(self, most: int) -> DataFrame:
+        """``(a, b, similarity, row_pairs)``: enough signature pairs for a list of ``most``.
 
         A pair through the j-th signature of a vector has at least j-2 smaller pairs of the same
-        similarity, so signatures past max_results + 2 cannot be listed.
+        similarity, so signatures past most + 2 cannot be listed.
         """
-        w = Window.partitionBy("v").orderBy("id")
-        kept = self.signatures.withColumn("j", F.row_number().over(w)).where(F.col("j") <= max_results + 2)
-        kept = kept.select("v", "id", "m", "meta")
+        decided = self.found.where(F.col("kind") == LISTED).select("a", "b", "similarity", F.col("weight").alias("row_pairs"))
+        kept = best_k(self._of_vectors(), most + 2, "v", ("id",)).drop("rank")
         a = kept.select(*[F.col(c).alias(f"{c}_a") for c in kept.columns])
         b = kept.select(*[F.col(c).alias(f"{c}_b") for c in kept.columns])
-        same_vector = self.signatures.groupBy("v").agg(F.count(F.lit(1)).alias("s")).where("s > 1")
-        same_vector = same_vector.select(F.col("v").alias("va"), F.col("v").alias("vb"), F.lit(1.0).alias("similarity"))
-        near = self.vector_pairs.unionByName(same_vector)
+        undecided = self.found.where(F.col("kind") == UNDECIDED).select(F.col("a").alias("va"), F.col("b").alias("vb"), "similarity")
+        several = self.copied.where("k > 1").select(F.col("v").alias("va"), F.col("v").alias("vb"), F.lit(1.0).alias("similarity"))
+        near = undecided.unionByName(several)
         met = near.join(a, near["va"] == a["v_a"]).join(b, near["vb"] == b["v_b"])
         met = met.where((F.col("va") != F.col("vb")) | (F.col("id_a") < F.col("id_b")))
-        diff = differences(F.col("meta_a"), F.col("meta_b"), self.fields)
-        flip = F.col("id_a") > F.col("id_b")
-        turned = F.transform(diff, lambda d: F.struct(d["field"].alias("field"), d["value_b"].alias("value_a"), d["value_a"].alias("value_b")))
+        met = met.where((F.col("h1_a") != F.col("h1_b")) | (F.col("h2_a") != F.col("h2_b")))
+        expanded = met.select(
+            F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity",
+            (F.col("m_a") * F.col("m_b")).alias("row_pairs"),
+        )
+        return decided.unionByName(expanded)
+
+    def pairs(self, max_results: int | None = None) -> DataFrame:
+        """``(vector_a_id, vector_b_id, similarity, row_pairs, differences)``, most similar first.
+
+        Each id stands for its signature, ``row_pairs`` for the rows behind both.
+        """
+        most = self.max_results if max_results is None else min(max_results, self.max_results)
+        top = cut(self._listed(most).orderBy(F.desc("similarity"), "a", "b").limit(most))
+        ids = top.select(F.col("a").alias("id")).unionAll(top.select(F.col("b").alias("id"))).distinct()
+        meta = F.struct(*[_canonical(self.coll, f).alias(f) for f in self.fields]) if self.fields else F.struct(F.lit(0).alias("none"))
+        known = cut(self.coll.df.join(F.broadcast(ids), "id").select("id", meta.alias("meta")))  # 2 * max_results ids
+        a = known.select(F.col("id").alias("a"), F.col("meta").alias("ma"))
+        b = known.select(F.col("id").alias("b"), F.col("meta").alias("mb"))
         return (
-            met.select(
-                F.least("id_a", "id_b").alias("vector_a_id"),
-                F.greatest("id_a", "id_b").alias("vector_b_id"),
-                "similarity",
-                (F.col("m_a") * F.col("m_b")).alias("row_pairs"),
-                F.when(flip, turned).otherwise(diff).alias("differences"),
+            top.join(a, "a").join(b, "b")
+            .select(
+                F.col("a").alias("vector_a_id"), F.col("b").alias("vector_b_id"), "similarity", "row_pairs",
+                differences(F.col("ma"), F.col("mb"), self.fields).alias("differences"),
             )
-            .where(F.size("differences") > 0)
             .orderBy(F.desc("similarity"), "vector_a_id", "vector_b_id")
-            .limit(max_results)
         )
+
+
+COUNT, LISTED, UNDECIDED = 0, 1, 2
+
+
+def _compare(heads: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Per block task: a COUNT row, its best LISTED pairs, and the UNDECIDED pairs of vectors whose
+    copies differ in metadata (their number of contradictions needs the signatures)."""
+    kind = heads.schema["id"].dataType.simpleString()
+    fields = result_schema(heads, ["a", "b"], [("kind", pa.int32()), ("similarity", pa.float64()), ("weight", pa.int64())])
+
+    def part(a, b, what, sim, weight):
+        columns = [pa.array(a), pa.array(b), pa.array(np.full(len(sim), what, "int32")), pa.array(sim), pa.array(weight)]
+        return pa.table(columns, names=fields.names).cast(fields)
+
+    def kernel(key, table):
+        left, right, _, found = matches(key, table, threshold)
+        ida, idb = ids_of(left["id"]), ids_of(right["id"])
+        get = lambda t, c: t[c].to_numpy()
+        count, best, out = 0, None, []
+        for i, j, sim in found:
+            single = get(left, "single")[i] & get(right, "single")[j]
+            differ = (get(left, "h1")[i] != get(right, "h1")[j]) | (get(left, "h2")[i] != get(right, "h2")[j])
+            a, b = ida[i], idb[j]
+            a, b = np.where(a > b, b, a), np.where(a > b, a, b)
+            weight = get(left, "n")[i] * get(right, "n")[j]
+            out.append(part(a[~single], b[~single], UNDECIDED, sim[~single], weight[~single]))
+            hit = single & differ
+            count += int(weight[hit].sum())
+            held = [a[hit], b[hit], sim[hit], weight[hit]]
+            held = held if best is None else [np.concatenate(x) for x in zip(best, held)]
+            first = np.lexsort((held[1], held[0], -held[2]))[:most]
+            best = [x[first] for x in held]
+        if best is not None:
+            out.append(part(best[0], best[1], LISTED, best[2], best[3]))
+        total = pa.table([pa.nulls(1, fields.field(n).type) if n in "ab" else pa.array([{"kind": COUNT, "weight": count}.get(n, 0)]) for n in fields.names], names=fields.names)
+        return pa.concat_tables([*out, total.cast(fields)])
+
+    return similar(heads, threshold, kernel, f"a {kind}, b {kind}, kind int, similarity double, weight long")

@@ -44,7 +44,7 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
-def _ids(column) -> np.ndarray:
+def ids_of(column) -> np.ndarray:
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
 
@@ -168,7 +168,7 @@ def _placed(batch: pa.RecordBatch, rows: np.ndarray, cells: np.ndarray, guest: n
     return pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "cell", "guest"])
 
 
-def _to_cells(vectors: DataFrame, p: Plan, radius: float | None, guests_in_lower_cells_only: bool) -> DataFrame:
+def to_cells(vectors: DataFrame, p: Plan, radius: float | None, guests_in_lower_cells_only: bool) -> DataFrame:
     """Home row of every vector, and guest rows in cells where a partner within ``radius`` may live.
 
     For x nearer to pivot h than to c, every y in cell c has d(x,y) >= (d(x,c)^2 - d(x,h)^2) / (2 d(h,c)).
@@ -201,7 +201,7 @@ def _to_cells(vectors: DataFrame, p: Plan, radius: float | None, guests_in_lower
     return vectors.mapInArrow(assign, _cell_schema(vectors))
 
 
-def _block_tasks(
+def block_tasks(
     rows: DataFrame, p: Plan, kernel, schema: str, guests: bool, among_home: bool = True
 ) -> DataFrame:
     """Run ``kernel`` once per pair of blocks: home blocks with each other, guests with home blocks."""
@@ -255,7 +255,7 @@ def _block_tasks(
 _TASK = "array<struct<kind:int,p:int,q:int,side:int>>"
 
 
-def _sides(key, table):
+def sides_of(key, table):
     """Left rows, right rows and whether both are the same block."""
     same = key[1].as_py() == 0 and key[2].as_py() == key[3].as_py()
     side = table["side"].to_numpy()
@@ -267,10 +267,10 @@ def _sides(key, table):
 # ---------------------------------------------------------------- threshold pairs
 
 
-def _matches(key, table, threshold):
+def matches(key, table, threshold):
     """Matching pairs of a block task, a slice of left rows at a time: ids of both sides once, then
     ``(i, j, similarity)`` of the matches."""
-    left, right, same = _sides(key, table)
+    left, right, same = sides_of(key, table)
     a, b = matrix(left["vector"]), matrix(right["vector"])
 
     def found():
@@ -290,7 +290,10 @@ def _matches(key, table, threshold):
     return left, right, same, found()
 
 
-def _similar(vectors: DataFrame, threshold: float, kernel, schema: str, cell_rows, block_rows) -> DataFrame:
+def similar(
+    vectors: DataFrame, threshold: float, kernel, schema: str, cell_rows: int | None = None, block_rows: int | None = None
+) -> DataFrame:
+    """Run ``kernel`` over block tasks that together hold every pair at or above the threshold once."""
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
 
     def run(rows, n, dims):
@@ -298,7 +301,7 @@ def _similar(vectors: DataFrame, threshold: float, kernel, schema: str, cell_row
         p = plan(rows, n, dims, cell_rows, block_rows, unit=True)
         if p.pivots is not None and (threshold <= 0 or not _worth_cells(p.pivots, radius)):
             p = Plan(n, dims, p.block_rows)
-        return _block_tasks(_to_cells(rows, p, radius, True), p, kernel, schema, p.pivots is not None)
+        return block_tasks(to_cells(rows, p, radius, True), p, kernel, schema, p.pivots is not None)
 
     return by_width(vectors, run)
 
@@ -316,11 +319,11 @@ def _worth_cells(pivots: np.ndarray, radius: float) -> bool:
 def similar_pairs(vectors: DataFrame, threshold: float, cell_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
     """``(a, b, similarity)``, a < b, for all pairs of rows with cosine similarity >= threshold."""
     kind = vectors.schema["id"].dataType.simpleString()
-    fields = _result_schema(vectors, ["a", "b"], [("similarity", pa.float64())])
+    fields = result_schema(vectors, ["a", "b"], [("similarity", pa.float64())])
 
     def kernel(key, table):
-        left, right, _, found = _matches(key, table, threshold)
-        ida, idb = _ids(left["id"]), _ids(right["id"])
+        left, right, _, found = matches(key, table, threshold)
+        ida, idb = ids_of(left["id"]), ids_of(right["id"])
         out = [fields.empty_table()]
         for i, j, sim in found:
             a, b = ida[i], idb[j]
@@ -329,7 +332,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, cell_rows: int | None =
             out.append(pa.table([pa.array(a), pa.array(b), pa.array(sim)], names=fields.names).cast(fields))
         return pa.concat_tables(out)
 
-    return _similar(vectors, threshold, kernel, f"a {kind}, b {kind}, similarity double", cell_rows, block_rows)
+    return similar(vectors, threshold, kernel, f"a {kind}, b {kind}, similarity double", cell_rows, block_rows)
 
 
 def similar_links(vectors: DataFrame, threshold: float, cell_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
@@ -339,16 +342,16 @@ def similar_links(vectors: DataFrame, threshold: float, cell_rows: int | None =
     about m links per block pair and never its m*m/2 pairs.
     """
     kind = vectors.schema["id"].dataType.simpleString()
-    fields = _result_schema(vectors, ["a", "b"], [])
+    fields = result_schema(vectors, ["a", "b"], [])
 
     def kernel(key, table):
-        left, right, same, found = _matches(key, table, threshold)
-        ida = _ids(left["id"])
-        pool = ida if same else np.concatenate([ida, _ids(right["id"])])
+        left, right, same, found = matches(key, table, threshold)
+        ida = ids_of(left["id"])
+        pool = ida if same else np.concatenate([ida, ids_of(right["id"])])
         root, member = _forest(((i, j if same else j + len(ida)) for i, j, _ in found), len(pool))
         return pa.table([pa.array(pool[root]), pa.array(pool[member])], names=fields.names).cast(fields)
 
-    return _similar(vectors, threshold, kernel, f"a {kind}, b {kind}", cell_rows, block_rows)
+    return similar(vectors, threshold, kernel, f"a {kind}, b {kind}", cell_rows, block_rows)
 
 
 def _forest(links, n: int):
@@ -369,7 +372,7 @@ def _forest(links, n: int):
     return label[member], member
 
 
-def _result_schema(vectors: DataFrame, id_names, extra) -> pa.Schema:
+def result_schema(vectors: DataFrame, id_names, extra) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(vectors.schema["id"].dataType)
@@ -387,8 +390,8 @@ def best_k(edges: DataFrame, k: int, src: str = "src", order: tuple = ("dist", "
 
 def _knn_kernel(k: int, fields: pa.Schema, guests_only: bool):
     def kernel(key, table):
-        left, right, same = _sides(key, table)
-        a, b, ida, idb = matrix(left["vector"]), matrix(right["vector"]), _ids(left["id"]), _ids(right["id"])
+        left, right, same = sides_of(key, table)
+        a, b, ida, idb = matrix(left["vector"]), matrix(right["vector"]), ids_of(left["id"]), ids_of(right["id"])
         parts = []
         if same:
             parts.append((ida, idb, _nearest(a, b, idb, k + 1)))
@@ -409,10 +412,10 @@ def _knn_kernel(k: int, fields: pa.Schema, guests_only: bool):
 def _knn_distinct(rows: DataFrame, n: int, dims: int, k: int, cell_rows, block_rows, probes: int | None) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"src {kind}, dst {kind}, dist double"
-    fields = _result_schema(rows, ["src", "dst"], [("dist", pa.float64())])
+    fields = result_schema(rows, ["src", "dst"], [("dist", pa.float64())])
     p = plan(rows, n, dims, cell_rows, block_rows)
-    home = _to_cells(rows, p, None, False)
-    local = best_k(_block_tasks(home, p, _knn_kernel(k, fields, False), schema, False), k)
+    home = to_cells(rows, p, None, False)
+    local = best_k(block_tasks(home, p, _knn_kernel(k, fields, False), schema, False), k)
     if p.pivots is None:
         return local.drop("rank")
     local = cut(local)  # used for the bounds and in the answer
@@ -425,7 +428,7 @@ def _knn_distinct(rows: DataFrame, n: int, dims: int, k: int, cell_rows, block_r
         reach = rows.select("id", "vector", F.lit(float("inf")).alias("bound"))
     visits = _guests(reach, p, probes)
     both = home.withColumn("bound", F.lit(float("inf"))).unionByName(visits)
-    away = _block_tasks(both, p, _knn_kernel(k, fields, True), schema, True, among_home=False)
+    away = block_tasks(both, p, _knn_kernel(k, fields, True), schema, True, among_home=False)
     return best_k(local.drop("rank").unionByName(away), k).drop("rank")
 
 
@@ -518,7 +521,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "euclid
 
 def _search_slice(vectors, rows, k, metric, exclude_self):
     held = rows.toArrow()
-    qid, q = _ids(held["query"]), matrix(held["vector"]).astype(float)
+    qid, q = ids_of(held["query"]), matrix(held["vector"]).astype(float)
     dims = q.shape[1]
     if metric == "cosine":
         q = _unit_rows(q)
@@ -531,7 +534,7 @@ def _search_slice(vectors, rows, k, metric, exclude_self):
         for batch in batches:
             if not batch.num_rows or not len(q):
                 continue
-            x, names = matrix(batch["vector"]), _ids(batch["id"])
+            x, names = matrix(batch["vector"]), ids_of(batch["id"])
             x = _unit_rows(x) if metric == "cosine" else x
             r, c, d = _nearest(q, x, names, want)
             row = np.concatenate([row, r])
@@ -592,13 +595,13 @@ def distance_sums(rows: DataFrame, block_rows: int | None = None) -> DataFrame:
     record and cluster, never the pairs.
     """
     kind = rows.schema["id"].dataType.simpleString()
-    fields = _result_schema(rows, ["id"], [("other", pa.int32()), ("n", pa.int64()), ("total", pa.float64())])
+    fields = result_schema(rows, ["id"], [("other", pa.int32()), ("n", pa.int64()), ("total", pa.float64())])
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("w")).first()
     block = block_rows or max(256, min(BLOCK_ROWS, -(-size.n // 4)))
     p = Plan(size.n, size.w or 1, block)
 
     def kernel(key, table):
-        left, right, same = _sides(key, table)
+        left, right, same = sides_of(key, table)
         out = [fields.empty_table(), *_sum_by_cluster(left, right, same)]
         if not same:
             out += _sum_by_cluster(right, left, False)
@@ -609,7 +612,7 @@ def distance_sums(rows: DataFrame, block_rows: int | None = None) -> DataFrame:
         names, code = np.unique(right["cluster"].to_numpy(), return_inverse=True)
         member = np.zeros((len(code), len(names)))
         member[np.arange(len(code)), code] = 1.0
-        ids = _ids(left["id"])
+        ids = ids_of(left["id"])
         for lo, hi in _slices(len(a) if len(b) else 0):
             dist = np.sqrt(_squared(a[lo:hi], b))
             n = np.broadcast_to(member.sum(0), (hi - lo, len(names))).copy()
@@ -623,5 +626,5 @@ def distance_sums(rows: DataFrame, block_rows: int | None = None) -> DataFrame:
             yield pa.table([pa.array(c) for c in columns], names=fields.names).cast(fields)
 
     cells = rows.select("id", "vector", F.col("cluster").cast("int").alias("cluster"), F.lit(0).alias("cell"), F.lit(False).alias("guest"))
-    sums = _block_tasks(cells, p, kernel, f"id {kind}, other int, n long, total double", False)
+    sums = block_tasks(cells, p, kernel, f"id {kind}, other int, n long, total double", False)
     return sums.groupBy("id", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedlens.operators.ordering import value_at_ranks, with_ordinal
-from embedlens.operators.pairs import _block_tasks, _ids, _result_schema, _sides, _to_cells, best_k, matrix, plan
+from embedlens.operators.pairs import block_tasks, ids_of, result_schema, sides_of, to_cells, best_k, matrix, plan
 from embedlens.session import cut
 
 MAX_PAIRS = 500  # fixed value: default number of pairs
@@ -110,10 +110,10 @@ def _spread(points: DataFrame, n: int, spacing: float, cell_rows, block_rows) ->
     rows = points.select("id", F.array(*AXES).alias("vector"))
     p = plan(rows, n, 3, cell_rows, block_rows)
     kind = rows.schema["id"].dataType.simpleString()
-    fields = _result_schema(rows, ["id"], [(f"d{c}", pa.float64()) for c in AXES])
+    fields = result_schema(rows, ["id"], [(f"d{c}", pa.float64()) for c in AXES])
 
     def kernel(key, table):
-        left, right, same = _sides(key, table)
+        left, right, same = sides_of(key, table)
         a, b = matrix(left["vector"]), matrix(right["vector"])
         if not len(a) or not len(b):
             return fields.empty_table()
@@ -122,14 +122,14 @@ def _spread(points: DataFrame, n: int, spacing: float, cell_rows, block_rows) ->
         close = (dist < spacing) & (dist > 1e-10)
         with np.errstate(divide="ignore", invalid="ignore"):
             push = np.where(close, (spacing - dist) * 0.5 / dist, 0.0)[:, :, None] * diff
-        out = [(_ids(left["id"]), -push.sum(1), close.any(1))]
+        out = [(ids_of(left["id"]), -push.sum(1), close.any(1))]
         if not same:
-            out.append((_ids(right["id"]), push.sum(0), close.any(0)))
+            out.append((ids_of(right["id"]), push.sum(0), close.any(0)))
         ids = np.concatenate([i[m] for i, _, m in out])
         move = np.concatenate([d[m] for _, d, m in out])
         return pa.table([pa.array(ids), *[pa.array(move[:, c]) for c in range(3)]], names=fields.names).cast(fields)
 
-    moves = _block_tasks(_to_cells(rows, p, spacing, True), p, kernel, f"id {kind}, dx double, dy double, dz double", p.pivots is not None)
+    moves = block_tasks(to_cells(rows, p, spacing, True), p, kernel, f"id {kind}, dx double, dy double, dz double", p.pivots is not None)
     total = moves.groupBy("id").agg(*[F.sum(f"d{c}").alias(f"d{c}") for c in AXES])
     return points.join(total, "id", "left").select("id", *[(F.col(c) + F.coalesce(f"d{c}", F.lit(0.0))).alias(c) for c in AXES])
 

@@ -113,8 +113,10 @@ def find_duplicates(coll: Collection, threshold: float = duplicates.THRESHOLD, e
     return Duplicates(duplicates.duplicate_groups(coll, members), members, duplicates.duplicate_totals(members))
 
 
-def find_contradictions(coll: Collection, threshold: float = contradictions.THRESHOLD) -> contradictions.Contradictions:
-    return contradictions.Contradictions(coll, threshold)
+def find_contradictions(
+    coll: Collection, threshold: float = contradictions.THRESHOLD, max_results: int = contradictions.MAX_RESULTS
+) -> contradictions.Contradictions:
+    return contradictions.Contradictions(coll, threshold, max_results)
 
 
 def find_orphans(coll: Collection, **options) -> DataFrame:

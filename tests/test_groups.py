@@ -101,7 +101,7 @@ def test_contradictions_with_a_hot_vector(make, spark):
     x[::3] = x[0]
     x[1::9] = x[0] * 1.5 + 0.001
     labels = [["a", "b", "", None, "a"][i % 5] for i in range(40)]
-    found = Contradictions(plain(make, spark, x, labels), 0.9)
+    found = Contradictions(plain(make, spark, x, labels), 0.9, 1000)
     want = brute_contradictions(x, labels, 0.9)
     assert found.total().first().contradictions == len(want)
     pairs = found.pairs(1000).collect()
