@@ -501,11 +501,11 @@ SELECT id, {R('dist')} AS distance_to_cluster, {R('(dist - m) / s')} AS outlier_
 BYTES = "CASE WHEN {0} >= 1073741824 THEN printf('%.1f GB', {0} / 1073741824.0) WHEN {0} >= 1048576 THEN printf('%.1f MB', {0} / 1048576.0) WHEN {0} >= 1024 THEN printf('%.1f KB', {0} / 1024.0) ELSE {0} || ' bytes' END"
 add("r5_recommendations", f"""
 WITH {SIZES}, alls AS (SELECT * FROM mem UNION ALL SELECT 'lineitem', count(*), NULL, count(*) * 200 FROM lineitem), tot AS (SELECT sum(n) AS n, sum(m) AS m FROM alls)
-SELECT 'dimensionality' AS category, CASE WHEN d > 1536 THEN 'high' ELSE 'medium' END AS priority, printf('Collection ''%s'' has %d dimensions. Consider reducing them if queries are slow.', name, d) AS message,
+SELECT 'dimensionality' AS category, CASE WHEN d > 1536 THEN 'high' ELSE 'medium' END AS priority, printf('Collection ''%s'' uses %d-dimensional vectors. Consider dimensionality reduction if query performance is slow.', name, d) AS message,
   'Reducing dimensions by ' || CASE WHEN d > 1536 THEN 4 ELSE 2 END || 'x could save ~' || {BYTES.format('(m // CASE WHEN d > 1536 THEN 4 ELSE 2 END)')} || ' memory' AS potential_savings FROM alls WHERE d > 768
-UNION ALL SELECT 'scaling', CASE WHEN n > 1000000 THEN 'high' ELSE 'medium' END, 'Collection ''' || name || ''' has ' || format('{{:,}}', n) || ' vectors. Consider sharding it.', NULL FROM alls WHERE n > 100000
-UNION ALL SELECT 'memory', 'high', 'Estimated memory use is ' || {BYTES.format('m')} || '. Make sure it fits.', NULL FROM tot WHERE m > 8589934592
-UNION ALL SELECT 'indexing', 'low', 'Consider tuning the neighbour index for query time against build time.', NULL FROM tot WHERE n > 10000""")
+UNION ALL SELECT 'scaling', CASE WHEN n > 1000000 THEN 'high' ELSE 'medium' END, 'Collection ''' || name || ''' has ' || format('{{:,}}', n) || ' vectors. Consider sharding or horizontal scaling for better performance.', NULL FROM alls WHERE n > 100000
+UNION ALL SELECT 'memory', 'high', 'Total estimated memory usage is ' || {BYTES.format('m')} || '. Ensure your system has adequate RAM to avoid disk spillover.', NULL FROM tot WHERE m > 8589934592
+UNION ALL SELECT 'indexing', 'low', 'Consider tuning HNSW index parameters (ef, efConstruction, maxConnections) for optimal query/build time tradeoff.', NULL FROM tot WHERE n > 10000""")
 add("r7_staleness", f"""
 WITH {AGES} SELECT 'created_at' AS timestamp_field, count(*) AS n, count(*) FILTER (WHERE age_days > 90) AS stale_count, {R('count(*) FILTER (WHERE age_days > 90) / count(*) * 100')} AS stale_percentage,
   {R(PICK.format('age_days', 0.5))} AS median_age_days, """ + ", ".join(f"{R(PICK.format('age_days', p))} AS p{int(p * 100)}" for p in (0.25, 0.5, 0.75, 0.9, 0.99)) + " FROM aged")

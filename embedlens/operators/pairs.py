@@ -127,6 +127,7 @@ class Plan:
     block_rows: int
     pivots: np.ndarray | None = None
     unit: bool = False  # cells are cut by direction: rows are scaled to length one to find theirs
+    pivot_ids: np.ndarray | None = None
 
 
 def by_width(vectors: DataFrame, run: Callable[[DataFrame, int, int], DataFrame]) -> DataFrame:
@@ -144,10 +145,12 @@ def plan(
     wanted = min(-(-n // cell_rows), MAX_PIVOTS, BROADCAST_BYTES // (8 * dims))
     if wanted < 4:
         return Plan(n, dims, block)
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toArrow()
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).select("id", "vector").toArrow()
     rows = matrix(sample["vector"]).astype(float)
-    pivots = np.unique(_unit_rows(rows) if unit else rows, axis=0)
-    return Plan(n, dims, block, pivots if len(pivots) >= 4 else None, unit)
+    pivots, first = np.unique(_unit_rows(rows) if unit else rows, axis=0, return_index=True)
+    if len(pivots) < 4:
+        return Plan(n, dims, block)
+    return Plan(n, dims, block, pivots, unit, ids_of(sample["id"])[first])
 
 
 def _gap(pivots: np.ndarray) -> np.ndarray:
@@ -306,14 +309,17 @@ def similar(
     return by_width(vectors, run)
 
 
-def _worth_cells(pivots: np.ndarray, radius: float) -> bool:
-    """Judge by the pivots themselves, a sample of the data, whether the radius prunes most cells."""
+def _worth_cells(pivots: np.ndarray, radius: float, group: np.ndarray | None = None) -> bool:
+    """Judge by the pivots themselves, a sample of the data, whether the radius prunes most cells
+    (cells of one ``group`` need no comparison)."""
     sq, gap = _squared(pivots, pivots), _gap(pivots)
     masked = sq + np.diag(np.full(len(pivots), np.inf))
     home = masked.argmin(1)
     rows = np.arange(len(pivots))
-    lower = (masked - masked[rows, home][:, None]) / (2.0 * gap[home])
-    return float((lower <= radius).mean()) < 0.25
+    near = (masked - masked[rows, home][:, None]) / (2.0 * gap[home]) <= radius
+    if group is not None:
+        near &= group[:, None] != group[None, :]
+    return float(near.mean()) < 0.25
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, cell_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
@@ -339,10 +345,12 @@ def similar_links(vectors: DataFrame, threshold: float, cell_rows: int | None =
     """``(a, b)`` links with the same connected components as ``similar_pairs``.
 
     Each pair of blocks emits a spanning forest of its matches, so a dense group of m rows yields
-    about m links per block pair and never its m*m/2 pairs.
+    about m links per block pair and never its m*m/2 pairs. With cells, rows similar to their own
+    pivot are linked to it at once and compared only with rows that link may not reach.
     """
     kind = vectors.schema["id"].dataType.simpleString()
     fields = result_schema(vectors, ["a", "b"], [])
+    schema = f"a {kind}, b {kind}"
 
     def kernel(key, table):
         left, right, same, found = matches(key, table, threshold)
@@ -351,7 +359,86 @@ def similar_links(vectors: DataFrame, threshold: float, cell_rows: int | None =
         root, member = _forest(((i, j if same else j + len(ida)) for i, j, _ in found), len(pool))
         return pa.table([pa.array(pool[root]), pa.array(pool[member])], names=fields.names).cast(fields)
 
-    return similar(vectors, threshold, kernel, f"a {kind}, b {kind}", cell_rows, block_rows)
+    radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
+
+    def run(rows, n, dims):
+        p = plan(rows, n, dims, cell_rows, block_rows, unit=True) if threshold > 0 else Plan(n, dims, block_rows or BLOCK_ROWS)
+        if p.pivots is None:
+            return block_tasks(to_cells(rows, p, None, True), p, kernel, schema, False)
+        linked = p.pivots @ p.pivots.T >= threshold
+        root, member = _forest([np.nonzero(np.triu(linked, 1))], len(p.pivots))
+        group = np.arange(len(p.pivots))
+        group[member] = root
+        if not _worth_cells(p.pivots, radius, group):
+            return block_tasks(to_cells(rows, Plan(n, dims, p.block_rows), None, True), Plan(n, dims, p.block_rows), kernel, schema, False)
+        return _links_by_cells(rows, p, threshold, radius, group, kernel, schema)
+
+    return by_width(vectors, run)
+
+
+def _links_by_cells(rows: DataFrame, p: Plan, threshold: float, radius: float, group: np.ndarray, kernel, schema: str) -> DataFrame:
+    """Links through pivots, which are rows themselves.
+
+    A row similar to its home pivot is *settled*: it is linked to the pivot, and through it to all
+    settled rows of the pivots linked with that one (``group``). Comparing two settled rows of one
+    group cannot join anything new, so what is left to compare is every pair with an unsettled row,
+    and settled rows of different groups. A group of near copies, however large, is settled whole.
+    """
+    spark = rows.sparkSession
+    pivots, gap = p.pivots, _gap(p.pivots)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def locate(batch):
+        x = _unit_rows(matrix(batch["vector"]))
+        sq = _squared(x, pivots)
+        home = sq.argmin(1)
+        at = np.arange(len(x))
+        near = (sq - sq[at, home][:, None]) / (2.0 * gap[home]) <= radius + SLACK
+        near[at, home] = False
+        settled = (x * pivots[home]).sum(1) >= threshold
+        return home, settled, near
+
+    def tag(batches):
+        for batch in batches:
+            if batch.num_rows:
+                home, settled, _ = locate(batch)
+                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(home.astype("int32")), pa.array(settled)], ["id", "cell", "settled"])
+
+    tags = cut(rows.mapInArrow(tag, f"id {kind}, cell int, settled boolean"))
+    ids = p.pivot_ids.tolist()
+    pivot_of = spark.createDataFrame(list(enumerate(ids)), f"cell int, pivot {kind}")
+    to_pivot = tags.where("settled").join(F.broadcast(pivot_of), "cell").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    among = [(ids[group[i]], ids[i]) for i in range(len(ids)) if group[i] != i]
+    open_rows = np.zeros(len(pivots), int)
+    for r in tags.where("NOT settled").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
+        open_rows[r.cell] = r.n
+    cells = np.arange(len(pivots))
+
+    def unsettled(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            home, settled, near = locate(batch)
+            # two unsettled rows meet in the lower cell; a settled row visits the unsettled ones
+            near &= (open_rows > 0)[None, :] & (settled[:, None] | (cells[None, :] < home[:, None]))
+            own = np.nonzero(~settled | (open_rows[home] > 0))[0]
+            r, c = np.nonzero(near)
+            yield _placed(batch, np.concatenate([own, r]), np.concatenate([home[own], c]), np.concatenate([settled[own], np.ones(len(r), bool)]))
+
+    def across(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            home, settled, near = locate(batch)
+            near &= settled[:, None] & (group[home][:, None] != group[None, :]) & (cells[None, :] < home[:, None])
+            own = np.nonzero(settled)[0]
+            r, c = np.nonzero(near)
+            yield _placed(batch, np.concatenate([own, r]), np.concatenate([home[own], c]), np.concatenate([np.zeros(len(own), bool), np.ones(len(r), bool)]))
+
+    met = block_tasks(rows.mapInArrow(unsettled, _cell_schema(rows)), p, kernel, schema, True)
+    far = block_tasks(rows.mapInArrow(across, _cell_schema(rows)), p, kernel, schema, True, among_home=False)
+    parts = [to_pivot, spark.createDataFrame(among, schema), met, far]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _forest(links, n: int):

@@ -16,6 +16,7 @@ from embedlens.functions import vectors as V
 from embedlens.operators import chunks, clusters, contradictions, distances, duplicates, layout, orphans, staleness
 from embedlens.operators import ordering as O
 from embedlens.operators.pairs import knn
+from embedlens.plans import messages as M
 from embedlens.session import cut
 from embedlens.sources.collections import Collection, collection_info
 
@@ -235,7 +236,7 @@ def distance_health(
     )
     if n < 2:
         empty = spark.createDataFrame([(n, *[0.0] * 6, 0, 0, None, None, None, "insufficient_data")], columns)
-        return DistanceHealth(empty, O.histogram(spark.createDataFrame([], "d double"), "d", bins), ["Need at least 2 vectors for analysis"])
+        return DistanceHealth(empty, O.histogram(spark.createDataFrame([], "d double"), "d", bins), [M.TOO_FEW])
     dist = cut(distances.strided_pairs(vectors, pairs, n))
     s = dist.agg(
         F.count("dist").alias("n"), F.avg("dist").alias("mean"), F.stddev_pop("dist").alias("std"), F.min("dist").alias("min"),
@@ -249,11 +250,11 @@ def distance_health(
         r = distances.recall(vectors, near, k, n).first()
     advice = []
     if s.score < 0.3:
-        advice.append("Poor distance discrimination: vectors are almost equally far apart. Try another embedding model or fewer dimensions.")
+        advice.append(M.UNIFORM)
     if dims.actual_dims > 0 and dims.effective_dims < dims.actual_dims // 3:
-        advice.append(f"Only {dims.effective_dims} of {dims.actual_dims} dimensions carry most of the variance. Consider reducing to {dims.effective_dims}.")
+        advice.append(M.FEW_DIMENSIONS.format(dims.effective_dims, dims.actual_dims))
     if r is not None and r.recall_at_k < 0.9:
-        advice.append(f"Recall@{k} is {r.recall_at_k * 100:.0f}%. Probe more cells.")
+        advice.append(M.LOW_RECALL.format(k, r.recall_at_k * 100))
     good_recall = r is None or r.recall_at_k > 0.9
     overall = "healthy" if s.score > 0.5 and good_recall else "moderate" if s.score > 0.3 else "unhealthy"
     summary = spark.createDataFrame(
@@ -298,23 +299,23 @@ def recommendations(metrics: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     wide = metrics.where(dims > 768).select(
         F.lit("dimensionality").alias("category"), F.when(dims > 1536, "high").otherwise("medium").alias("priority"),
-        F.format_string("Collection '%s' has %d dimensions. Consider reducing them if queries are slow.", "name", dims).alias("message"),
-        F.concat(F.lit("Reducing dimensions by "), factor.cast("string"), F.lit("x could save ~"), X.format_bytes(F.floor(own / factor).cast("bigint")), F.lit(" memory")).alias("potential_savings"),
+        F.format_string(M.WIDE, "name", dims).alias("message"),
+        F.format_string(M.WIDE_SAVINGS, factor, X.format_bytes(F.floor(own / factor).cast("bigint"))).alias("potential_savings"),
     )
     large = metrics.where(n > 100_000).select(
         F.lit("scaling").alias("category"), F.when(n > 1_000_000, "high").otherwise("medium").alias("priority"),
-        F.concat(F.lit("Collection '"), F.col("name"), F.lit("' has "), X.format_count(n), F.lit(" vectors. Consider sharding it.")).alias("message"),
+        F.format_string(M.LARGE, "name", X.format_count(n)).alias("message"),
         none.alias("potential_savings"),
     )
     total = performance_totals(metrics)
     memory = total.where(F.col("total_memory_bytes") > 8 * 1024**3).select(
         F.lit("memory").alias("category"), F.lit("high").alias("priority"),
-        F.concat(F.lit("Estimated memory use is "), X.format_bytes(F.col("total_memory_bytes")), F.lit(". Make sure it fits.")).alias("message"),
+        F.format_string(M.MEMORY, X.format_bytes(F.col("total_memory_bytes"))).alias("message"),
         none.alias("potential_savings"),
     )
     index = total.where(F.col("total_vectors") > 10_000).select(
         F.lit("indexing").alias("category"), F.lit("low").alias("priority"),
-        F.lit("Consider tuning the neighbour index for query time against build time.").alias("message"), none.alias("potential_savings"),
+        F.lit(M.INDEX).alias("message"), none.alias("potential_savings"),
     )
     return reduce(DataFrame.unionByName, [wide, large, memory, index])
 
@@ -363,43 +364,44 @@ def collection_health(coll: Collection, as_of: datetime, sample_rows: int | None
     scale = n / facts.rows if facts.rows else 0.0
     issues: list[tuple] = []
 
-    def add(severity, category, message, affected, advice):
-        issues.append((coll.name, severity, category, message, affected, advice))
+    def add(severity, name, affected, *values):
+        category, message, advice = M.HEALTH[name]
+        issues.append((coll.name, severity, category, message.format(*values), affected, advice))
 
     c = facts.completeness
     if c < 0.8:
-        add("warning" if c < 0.5 else "info", "schema_inconsistency", f"Metadata completeness is {c * 100:.0f}%", int((1 - c) * n), "Consider adding missing metadata fields")
+        add("warning" if c < 0.5 else "info", "completeness", int((1 - c) * n), c * 100)
     if facts.orphans:
         e = int(facts.orphans * scale)
-        add("warning", "orphans", f"Estimated {e} vectors with missing or empty content", e, "Run orphan detection for detailed analysis")
+        add("warning", "empty", e, e)
     if facts.missing:
         e = int(facts.missing * scale)
-        add("error", "orphans", f"Estimated {e} vectors with missing embeddings", e, "Re-embed vectors or remove entries without embeddings")
+        add("error", "missing", e, e)
     if dims > 1536:
-        add("info", "performance", f"High dimension count ({dims}) may impact performance", None, "Consider dimensionality reduction if query latency is high")
+        add("info", "wide", None, dims)
     if n > 100_000:
-        add("info", "storage", f"Large collection with {n} vectors", None, "Ensure adequate resources and consider sharding")
+        add("info", "large", None, n)
     if facts.rows > 10:
         if facts.norms >= 10 and facts["std"] > 0:
             m = facts.norms
             bc = (facts.skewness**2 + 1) / (facts.kurtosis + 3.0 * (m - 1) ** 2 / (max(1, m - 2) * max(1, m - 3)))
             if bc > 0.6:
-                add("warning", "model_drift", f"Possible mixed embedding models detected (bimodality coefficient: {bc:.2f})", None, "Run Fingerprint Analysis to identify model groups")
+                add("warning", "mixed", None, bc)
         if facts.norms >= 20:
             ratio = _first_distances(seen)
             if ratio is not None and ratio < 0.3:
-                add("warning", "distance_health", f"Poor distance discrimination (ratio: {ratio:.2f})", None, "Run Distance Health analysis for detailed assessment")
+                add("warning", "distance", None, ratio)
         field = next((f for f in time_fields if facts[f"time_{f}"] >= 5), None)
         if field:
             days = seen.df.select(times.whole_days(epochs[field], as_of).alias("d")).where("d IS NOT NULL")
             (age,) = staleness.ranked(days.groupBy("d").agg(F.count(F.lit(1)).alias("n")), "d", [facts[f"time_{field}"] // 2])
             if age > 180:
-                add("info", "staleness", f"Median data age is {age:.0f} days (field: {field})", None, "Run Staleness Analysis for detailed age distribution")
+                add("info", "stale", None, age, field)
         field = next((f for f in text_fields if facts[f"text_{f}"] >= 5), None)
         if field:
             share = facts[f"short_{field}"] / facts[f"text_{field}"]
             if share > 0.3:
-                add("warning", "chunk_quality", f"{share * 100:.0f}% of chunks are very short (<50 chars)", int(share * n), "Run Chunk Quality analysis to identify problematic chunks")
+                add("warning", "short", int(share * n), share * 100)
     row = (coll.name, n, dims or None, n * dims * 4 + n * 200, c, facts.orphans, facts.missing)
     return row, issues
 

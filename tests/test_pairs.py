@@ -162,6 +162,28 @@ def test_max_similarity(make):
     assert all(abs(got[i] - s[i].max()) < 1e-9 for i in range(len(x)))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_near_copies_are_settled_through_pivots(make, monkeypatch, seed):
+    """A third of the rows in one tiny ball, a chain leading out of it, and scattered rows."""
+    rng = np.random.default_rng(seed)
+    ball = np.array([1.0, 0, 0, 0]) + 1e-3 * rng.normal(size=(100, 4))
+    angle = np.linspace(0.05, 2.5, 40)
+    chain = np.stack([np.cos(angle), np.sin(angle), 0 * angle, 0 * angle], 1)
+    x = np.vstack([ball, chain, rng.normal(size=(160, 4))])[rng.permutation(300)]
+    used = []
+    real = P._links_by_cells
+    monkeypatch.setattr(P, "_links_by_cells", lambda *a: used.append(1) or real(*a))
+    links = P.similar_links(make(x), 0.995, cell_rows=15, block_rows=32)
+    assert used
+    got = {r.id: r.component for r in components(links).collect()}
+    label = list(range(300))
+    for i, j in brute_pairs(x, 0.995):
+        a, b = label[i], label[j]
+        label = [min(a, b) if v in (a, b) else v for v in label]
+    assert got == {i: v for i, v in enumerate(label) if label.count(v) > 1}
+    assert links.count() < 3000  # the ball alone has 4 950 pairs
+
+
 def test_components_of_chain_and_star(spark):
     chain = [(i, i + 1) for i in range(60)]
     star = [(1000, 1000 + i) for i in range(1, 200)]
