@@ -302,6 +302,10 @@ add("a3_near_groups", f"""
 WITH {COMP}, s AS (SELECT a.component, avg(list_cosine_similarity(x.vector, y.vector)) AS s FROM comp a JOIN comp b ON a.component = b.component AND a.id < b.id
   JOIN plain x ON x.id = a.id JOIN plain y ON y.id = b.id GROUP BY 1)
 SELECT c.component AS first_id, count(*) AS size, {R('any_value(s.s)')} AS similarity FROM comp c JOIN s ON s.component = c.component GROUP BY c.component""")
+add("a3_components_cells", f"""
+WITH RECURSIVE {DUP}, link AS (SELECT a.id AS u, b.id AS v FROM dup a JOIN dup b ON a.id <> b.id WHERE list_cosine_similarity(a.vector, b.vector) >= 0.98),
+reach AS (SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u)
+SELECT u AS id, least(u, min(v)) AS component FROM reach GROUP BY u""")
 add("a4_duplicate_totals", f"WITH {CASCADE} SELECT kind, count(*) FILTER (WHERE id = first_id) AS groups, count(*) FILTER (WHERE id <> first_id) AS surplus FROM members GROUP BY kind")
 add("a5_orphans_by_reason", f"""
 WITH {CLASS}, every AS (SELECT unnest(['missing_vector', 'missing_metadata', 'empty_content', 'stale']) AS reason)

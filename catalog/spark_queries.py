@@ -393,6 +393,13 @@ def j6_search_cosine(spark, d):
     return rounded(P.search(X.collection_mixed(spark, d).vectors(), _label_queries(spark, d), 20, "cosine", exclude_self=False))
 
 
+@query
+def j6_search_text(spark, d):
+    """Documents nearest to each benchmark passage by hashed words."""
+    texts = X.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return rounded(R.search_text(X.chunk_collection(spark, d), texts, 5, "text"))
+
+
 @query
 def j7_normalised_distance(spark, d):
     hits = P.neighbors(X.embeddings(spark, d), 7, 20).select("id", "dist")
@@ -482,6 +489,12 @@ def a3_near_groups(spark, d):
     return rounded(duplicates.duplicate_groups(c, m).select("first_id", "size", "similarity"))
 
 
+@query
+def a3_components_cells(spark, d):
+    """Components through pivot cells, with near copies settled on their pivots."""
+    return components(P.similar_links(X.collection_dup(spark, d).vectors(), 0.98, cell_rows=100, block_rows=256))
+
+
 @query
 def a4_duplicate_totals(spark, d):
     return duplicates.duplicate_totals(duplicates.duplicate_members(X.collection_dup(spark, d), text_field="text"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from embedlens.functions.values import bind
+
 # fixed values: field names tried in this order
 TIMESTAMP_FIELDS = (
     "created_at", "updated_at", "timestamp", "_creationTimeUnix", "createdAt", "updatedAt", "date",
@@ -50,15 +52,18 @@ def epoch_micros(value: Column, dtype: T.DataType, millis: bool = True) -> Colum
     if isinstance(dtype, T.FractionalType):
         return _from_integer(value.try_cast("bigint"), False)
     if isinstance(dtype, T.VariantType):
-        kind = F.schema_of_variant(value)
-        return (
-            F.when(kind == "STRING", _from_text(F.try_variant_get(value, "$", "string"), millis))
-            .when(kind == "BIGINT", _from_integer(F.try_variant_get(value, "$", "bigint"), millis))
-            .when(
-                kind.startswith("DECIMAL") | (kind == "DOUBLE"),
-                _from_integer(F.try_variant_get(value, "$", "double").try_cast("bigint"), False),
+        def of_variant(v):
+            kind = F.schema_of_variant(v)
+            return (
+                F.when(kind == "STRING", _from_text(F.try_variant_get(v, "$", "string"), millis))
+                .when(kind == "BIGINT", _from_integer(F.try_variant_get(v, "$", "bigint"), millis))
+                .when(
+                    kind.startswith("DECIMAL") | (kind == "DOUBLE"),
+                    _from_integer(F.try_variant_get(v, "$", "double").try_cast("bigint"), False),
+                )
             )
-        )
+
+        return bind(value, of_variant)
     return F.lit(None).cast("bigint")
 
 

@@ -20,6 +20,12 @@ def trimmed(text: Column) -> Column:
     return F.trim(text, F.lit(SPACE))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it. Without this a
+    JSON text would be parsed again at every mention of a field."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def is_empty(value: Column, dtype: T.DataType) -> Column:
     """True for null, blank text, an empty list and an empty object."""
     if isinstance(dtype, T.StringType):
@@ -27,13 +33,12 @@ def is_empty(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.ArrayType, T.MapType)):
         return value.isNull() | (F.size(value) == 0)
     if isinstance(dtype, T.VariantType):
-        kind = F.schema_of_variant(value)
-        text = F.try_variant_get(value, "$", "string")
-        return (
-            value.isNull()
-            | kind.isin("VOID", "ARRAY<VOID>", "OBJECT<>")
-            | ((kind == "STRING") & (trimmed(text) == ""))
-        )
+        def empty_variant(v):
+            kind = F.schema_of_variant(v)
+            blank = trimmed(F.try_variant_get(v, "$", "string")) == ""
+            return v.isNull() | kind.isin("VOID", "ARRAY<VOID>", "OBJECT<>") | ((kind == "STRING") & blank)
+
+        return bind(value, empty_variant)
     return value.isNull()
 
 

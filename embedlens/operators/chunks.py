@@ -95,7 +95,11 @@ def with_previous(rows: DataFrame, source: str | None = None) -> DataFrame:
     last = rows.groupBy(*part, "_run").agg(F.max_by(F.struct("_n", "text"), "_n").alias("tail"))
     following = Window.partitionBy(*part).orderBy("_run")  # one short row per stretch
     nexts = rows.select(*part, "_run").distinct().withColumn("_next", F.lead("_run").over(following))
-    heads = last.join(nexts, [*part, "_run"]).where("_next IS NOT NULL").select(
+    nexts = nexts.where("_next IS NOT NULL").select(*[F.col(c).alias(f"{c}_of") for c in [*part, "_run"]], "_next")
+    same = F.col("_run") == F.col("_run_of")
+    for c in part:  # rows without a source are a source of their own
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    heads = last.join(nexts, same).select(
         *part, F.col("_next").alias("_run"), F.col("tail._n").alias("_n"), F.col("tail.text").alias("text"), F.lit(True).alias("_head")
     )
     both = rows.withColumn("_head", F.lit(False)).unionByName(heads, allowMissingColumns=True)

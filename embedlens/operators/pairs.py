@@ -220,7 +220,11 @@ def block_tasks(
         ]  # one row per cell, at most MAX_PIVOTS
     blocks = [(c, max(1, -(-h // p.block_rows)), -(-g // p.block_rows)) for c, h, g in sizes]
     tasks = sum(among_home * h * (h + 1) // 2 + h * g for _, h, g in blocks)
-    table = F.broadcast(spark.createDataFrame(blocks or [(0, 1, 0)], "cell int, home int, guests int"))
+    if p.pivots is None and not guests:
+        sized = rows.withColumn("home", F.lit(blocks[0][1])).withColumn("guests", F.lit(0))
+    else:
+        table = F.broadcast(spark.createDataFrame(blocks, "cell int, home int, guests int"))
+        sized = rows.join(table, "cell")
     others = lambda n: F.sequence(F.lit(0), n - 1)
     b = F.pmod(F.xxhash64("id"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("home"))).cast("int")
 
@@ -243,8 +247,7 @@ def block_tasks(
     else:
         duties = own
     spread = (
-        rows.join(table, "cell")
-        .withColumn("b", b)
+        sized.withColumn("b", b)
         .withColumn("t", F.explode(duties))
         .drop("home", "guests", "b", "guest")
         .select("*", "t.*")
@@ -504,7 +507,7 @@ def _knn_distinct(rows: DataFrame, n: int, dims: int, k: int, cell_rows, block_r
     home = to_cells(rows, p, None, False)
     local = best_k(block_tasks(home, p, _knn_kernel(k, fields, False), schema, False), k)
     if p.pivots is None:
-        return local.drop("rank")
+        return local
     local = cut(local)  # used for the bounds and in the answer
     if probes is None:
         kth = local.groupBy("src").agg(F.when(F.count("*") >= k, F.max("dist")).alias("bound"))
@@ -516,7 +519,7 @@ def _knn_distinct(rows: DataFrame, n: int, dims: int, k: int, cell_rows, block_r
     visits = _guests(reach, p, probes)
     both = home.withColumn("bound", F.lit(float("inf"))).unionByName(visits)
     away = block_tasks(both, p, _knn_kernel(k, fields, True), schema, True, among_home=False)
-    return best_k(local.drop("rank").unionByName(away), k).drop("rank")
+    return best_k(local.drop("rank").unionByName(away), k)
 
 
 def _guests(reach: DataFrame, p: Plan, probes: int | None) -> DataFrame:
@@ -568,8 +571,8 @@ def knn(
 
     edges = by_width(distinct, run)
     if has_copies:
-        edges = _expand_copies(vectors, members, edges, k)
-    return best_k(edges, k).select("src", "dst", "rank", "dist")
+        edges = best_k(_expand_copies(vectors, members, edges.drop("rank"), k), k)
+    return edges.select("src", "dst", "rank", "dist")
 
 
 def _expand_copies(vectors: DataFrame, members: DataFrame, edges: DataFrame, k: int) -> DataFrame:

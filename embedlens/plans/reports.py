@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from embedlens.functions import text as X
 from embedlens.functions import times
 from embedlens.functions import vectors as V
+from embedlens.functions.encode import hashing_encoder
 from embedlens.operators import chunks, clusters, contradictions, distances, duplicates, layout, orphans, staleness
 from embedlens.operators import ordering as O
-from embedlens.operators.pairs import knn
+from embedlens.operators.pairs import knn, search
 from embedlens.plans import messages as M
 from embedlens.session import cut
-from embedlens.sources.collections import Collection, collection_info
+from embedlens.sources import export
+from embedlens.sources.collections import Collection, collection_info, find_collection
 
 ISSUE = "collection string, severity string, category string, message string, affected_count bigint, recommendation string"
 
@@ -512,3 +514,46 @@ def vectors_with_projection(coll: Collection, method: str = "umap", limit: int |
     return layout.project_collection(coll.with_df(rows), method, epochs)
 
 
+
+
+def search_text(coll: Collection, texts: DataFrame, k: int = 20, field: str | None = None, encode=hashing_encoder) -> DataFrame:
+    """``(query, id, rank, dist)`` for query texts (columns ``query``, ``text``) by cosine distance.
+
+    The stored vectors are searched when ``field`` is None, so ``encode`` must be the model behind
+    them; otherwise the text of ``field`` is encoded as well.
+    """
+    queries = encode(texts.select("query", "text"), "text").select("query", "vector")
+    if field is None:
+        rows = coll.vectors()
+    else:
+        rows = encode(coll.df.select("id", coll.field(field).alias("text")).where("text IS NOT NULL"), "text").select("id", "vector")
+    return search(rows, queries, k, "cosine", exclude_self=False)
+
+
+def export_collection(
+    collections: list[Collection], name: str, data_type: str, fmt: str, path: str, as_of: datetime,
+    include_vectors: bool = False, limit: int | None = None,
+) -> DataFrame:
+    """Write an export and return its manifest. ``data_type``: vectors, orphans, duplicates, outliers
+    or health_report; the name ``*`` reports on all collections. Analyses run with their defaults."""
+    if data_type == "health_report":
+        chosen = collections if name in ("", "*") else [find_collection(collections, name)]
+        report = health(chosen, as_of)
+        rows = export.health_rows(report.collections, report.issues, report.summary)
+        counted = report.collections
+    else:
+        coll = find_collection(collections, name)
+        if data_type == "vectors":
+            rows = export.vector_rows(coll, include_vectors, limit or export.VECTOR_LIMIT)
+        elif data_type == "orphans":
+            rows = export.orphan_rows(find_orphans(coll))
+        elif data_type == "duplicates":
+            found = find_duplicates(coll)
+            rows = export.duplicate_rows(found.groups, duplicates.member_lists(found.members))
+        elif data_type == "outliers":
+            rows = export.outlier_rows(distribution(coll).outliers, coll)
+        else:
+            raise ValueError(f"unknown export '{data_type}'")
+        counted = rows
+    export.write(rows, path, fmt)
+    return export.manifest(counted, name, data_type, fmt, as_of)

@@ -150,7 +150,7 @@ def test_previous_row_across_stretches(spark, monkeypatch, text_ids):
     n = 30
     numbers = [i * 3 for i in range(n)]
     ids = [f"{i:05d}" for i in numbers] if text_ids else numbers
-    source = ["hot" if i % 3 else f"cold{i % 2}" for i in range(n)]
+    source = [None if i % 5 == 4 else "hot" if i % 3 else f"cold{i % 2}" for i in range(n)]
     c = chunk_rows(spark, [f"t{i}" for i in range(n)], ids, source)
     got = {r.id: r.prev for r in chunks.with_previous(chunks.texts(c, "body", "src"), "src").collect()}
     last, want = {}, {}

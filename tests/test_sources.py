@@ -112,3 +112,23 @@ def test_search_overlays(spark):
 def test_sample_articles(spark):
     rows = S.articles(spark)
     assert rows.columns == ["title", "content", "category"] and rows.groupBy("category").count().count() == 5
+
+
+@pytest.mark.parametrize("kind", ["vectors", "orphans", "duplicates", "outliers", "health_report"])
+def test_export_by_type(spark, coll, tmp_path, kind):
+    name = "*" if kind == "health_report" else "small"
+    row = R.export_collection([coll], name, kind, "json", str(tmp_path / kind), AS_OF).first()
+    assert row.data_type == kind and row.filename.endswith("20240601_123005.json")
+    want = {"vectors": 5, "orphans": 1, "duplicates": 0, "outliers": 0, "health_report": 1}[kind]
+    assert row.record_count == want or kind in ("duplicates", "outliers")
+
+
+def test_unknown_export(spark, coll, tmp_path):
+    with pytest.raises(ValueError):
+        R.export_collection([coll], "small", "charts", "csv", str(tmp_path / "x"), AS_OF)
+
+
+def test_text_search(spark, coll):
+    q = spark.createDataFrame([(1, "Quotes with"), (2, "lines, two")], "query bigint, text string")
+    got = {(r.query, r.id) for r in R.search_text(coll, q, 1, "text").collect()}
+    assert got == {(1, 2), (2, 3)}
