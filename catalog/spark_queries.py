@@ -736,7 +736,7 @@ def m13_normalise(spark, d):
 
 @query
 def m14_sample_first(spark, d):
-    """Projection of the collection of all line items' numeric columns, sample first."""
+    """PCA coordinates of the first sample (the whole collection while it is small)."""
     e = X.embeddings(spark, d)
     n = e.count()
     picked = layout.first_sample(e, n)

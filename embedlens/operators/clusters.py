@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedlens.functions import vectors as V
-from embedlens.operators.pairs import distance_sums, knn, matrix
+from embedlens.operators.pairs import Plan, block_tasks, distance_sums, ids_of, knn, matrix, result_schema, sides_of, to_cells
 from embedlens.sources.collections import Collection
 
 OUTLIER_THRESHOLD = 2.5  # fixed value: standard deviations
@@ -168,8 +168,8 @@ def cluster_means(assigned: DataFrame) -> DataFrame:
 
 
 def with_centroid_distance(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Adds ``dist``, the distance to the row's own centroid (one centroid row per cluster)."""
-    joined = assigned.drop("dist").join(F.broadcast(centroids), "cluster")
+    """Adds ``dist``, the distance to the row's own centroid."""
+    joined = assigned.drop("dist").join(centroids, "cluster")
     return joined.withColumn("dist", V.euclidean(F.col("vector"), F.col("centroid"))).drop("centroid")
 
 
@@ -212,15 +212,34 @@ def silhouette_squared(assigned: DataFrame) -> DataFrame:
 
 def davies_bouldin(assigned: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
     """``(davies_bouldin)``: mean over k clusters of the worst (s_i + s_j) / d_ij; centroids at
-    distance zero are skipped. The self-join is over k centroid rows."""
+    distance zero are skipped."""
     spread = with_centroid_distance(assigned, centroids).groupBy("cluster").agg(F.avg("dist").alias("s"))
-    c = centroids.join(spread, "cluster", "left").select("cluster", "centroid", F.coalesce("s", F.lit(0.0)).alias("s"))
-    i = c.select(*[F.col(x).alias(f"{x}_i") for x in c.columns])
-    j = c.select(*[F.col(x).alias(f"{x}_j") for x in c.columns])
-    d = V.euclidean(F.col("centroid_i"), F.col("centroid_j"))
-    pairs = i.join(F.broadcast(j), F.col("cluster_i") != F.col("cluster_j")).withColumn("d", d)
-    worst = pairs.where("d > 0").groupBy("cluster_i").agg(F.max((F.col("s_i") + F.col("s_j")) / F.col("d")).alias("r"))
-    return worst.agg((F.coalesce(F.sum("r"), F.lit(0.0)) / k).alias("davies_bouldin"))
+    rows = centroids.join(spread, "cluster", "left").select(
+        F.col("cluster").alias("id"), F.col("centroid").alias("vector"), F.coalesce("s", F.lit(0.0)).alias("s")
+    )
+    return _worst_ratio(rows, k).agg((F.coalesce(F.sum("r"), F.lit(0.0)) / k).alias("davies_bouldin"))
+
+
+def _worst_ratio(rows: DataFrame, k: int) -> DataFrame:
+    """``(id, r)``: largest (s_i + s_j) / d_ij of each centroid, over block tasks of centroids."""
+    kind = rows.schema["id"].dataType.simpleString()
+    fields = result_schema(rows, ["id"], [("r", pa.float64())])
+
+    def kernel(key, table):
+        left, right, _ = sides_of(key, table)
+        a, b = matrix(left["vector"]), matrix(right["vector"])
+        if not len(a) or not len(b):
+            return fields.empty_table()
+        d = _distances(a, b)
+        pair = left["s"].to_numpy()[:, None] + right["s"].to_numpy()[None, :]
+        ratio = np.divide(pair, d, out=np.zeros(d.shape), where=d > 0)
+        ids = np.concatenate([ids_of(left["id"]), ids_of(right["id"])])
+        best = np.concatenate([ratio.max(1), ratio.max(0)])
+        return pa.table([pa.array(ids), pa.array(best)], names=fields.names).cast(fields)
+
+    p = Plan(k, 1, 512)
+    tasks = block_tasks(to_cells(rows, p, None, False), p, kernel, f"id {kind}, r double", False)
+    return tasks.groupBy("id").agg(F.max("r").alias("r"))
 
 
 def outliers(assigned: DataFrame, threshold: float = OUTLIER_THRESHOLD) -> DataFrame:

@@ -133,7 +133,8 @@ class Contradictions:
         top = cut(self._listed(most).orderBy(F.desc("similarity"), "a", "b").limit(most))
         ids = top.select(F.col("a").alias("id")).unionAll(top.select(F.col("b").alias("id"))).distinct()
         meta = F.struct(*[_canonical(self.coll, f).alias(f) for f in self.fields]) if self.fields else F.struct(F.lit(0).alias("none"))
-        known = cut(self.coll.df.join(F.broadcast(ids), "id").select("id", meta.alias("meta")))  # 2 * max_results ids
+        ids = F.broadcast(ids) if most <= 100_000 else ids  # at most 2 * most ids
+        known = cut(self.coll.df.join(ids, "id").select("id", meta.alias("meta")))
         a = known.select(F.col("id").alias("a"), F.col("meta").alias("ma"))
         b = known.select(F.col("id").alias("b"), F.col("meta").alias("mb"))
         return (
