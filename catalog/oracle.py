@@ -491,6 +491,28 @@ NOUT = f"SELECT id, {NCOL.format('x')}, {NCOL.format('y')}, {NCOL.format('z')} F
 add("m13_normalise", f"WITH {POINTS}, {NORMALISED} {NOUT}")
 add("s14_stored_projection", f"WITH {POINTS}, {NORMALISED} {NOUT}")
 
+
+
+def spacing_pass(i: int) -> str:
+    """Points p{i+1} from p{i}: every point gives way to each one closer than the spacing."""
+    dist = "sqrt((b.x - a.x)**2 + (b.y - a.y)**2 + (b.z - a.z)**2)"
+    close = f"JOIN p{i} b ON a.id <> b.id AND {dist} < (SELECT s FROM spacing) AND {dist} > 1e-10"
+    push = f"((SELECT s FROM spacing) - {dist}) * 0.5 / {dist}"
+    moves = ", ".join(f"sum((b.{c} - a.{c}) * {push}) AS d{c}" for c in "xyz")
+    moved = ", ".join(f"p.{c} - coalesce(d{c}, 0) AS {c}" for c in "xyz")
+    return f"""m{i} AS (SELECT a.id, {moves} FROM p{i} a {close} GROUP BY a.id),
+p{i + 1} AS (SELECT p.id, {moved} FROM p{i} p LEFT JOIN m{i} m ON m.id = p.id)"""
+
+
+add("m12_spacing", f"""
+WITH {POINTS},
+o AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS o, count(*) OVER () AS n FROM pts),
+few AS (SELECT * FROM o WHERE o % CASE WHEN n > 100 THEN greatest(1, n // 50) ELSE 1 END = 0),
+dd AS (SELECT sqrt((b.x - a.x)**2 + (b.y - a.y)**2 + (b.z - a.z)**2) AS d FROM few a JOIN few b ON a.o < b.o),
+spacing AS (SELECT list_sort(list(d))[count(d) // 2 + 1] * 0.02 AS s FROM dd),
+p0 AS (SELECT * FROM pts), {spacing_pass(0)}, {spacing_pass(1)}, {spacing_pass(2)}, {spacing_pass(3)}
+SELECT id, {R('x')} AS x, {R('y')} AS y, {R('z')} AS z FROM p4""")
+
 # ---------------------------------------------------------------- reports
 
 add("r3_duplicates", f"WITH {CASCADE} SELECT group_id, kind, first_id, size, {R('similarity')} AS similarity FROM grp")

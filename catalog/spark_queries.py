@@ -772,6 +772,13 @@ def r4_cluster_metrics(spark, d):
     return rounded(R.distribution(X.plain(spark, d), k=3, iterations=3).metrics)
 
 
+@query
+def r4_default_clusters(spark, d):
+    """Clusters with the default number and iterations, beside their sizes."""
+    found = R.distribution(X.plain(spark, d))
+    return found.sizes
+
+
 @query
 def r4_outliers(spark, d):
     found = R.distribution(X.plain(spark, d), k=3, iterations=3, threshold=1.5)
