@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedlens.llm import chat_format, near_dedup, packing, substring_dedup
+from embedlens.llm import chat_format, decision_list, near_dedup, packing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decision_list.apply_rules(docs, decision_list.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat_format": op4_chat_format,
+    "op6_quality_rules": op6_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
