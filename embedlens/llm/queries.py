@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedlens.llm import chat_format, decision_list, near_dedup, packing, substring_dedup
+from embedlens.llm import chat_format, decision_list, language_id, near_dedup, packing, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.apply_rules(docs, decision_list.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -61,6 +71,8 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat_format": op4_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
