@@ -112,6 +112,6 @@ def with_stats(docs: DataFrame, *keep: str) -> DataFrame:
             stats = batch_stats(batch.column(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(stats[:, i]) for i in range(len(ALL)))], [*batch.schema.names[1:], *ALL])
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), *keep)
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + [f"{c} long" for c in ALL]
+    rows = docs.select(F.col("text").cast("string").alias("text_"), *keep)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + [f"{c} long" for c in ALL]
     return rows.mapInArrow(work, ", ".join(kinds))
