@@ -210,8 +210,8 @@ def confirmed_links(members: DataFrame, percent: int = 85, size: int = 5, block:
     return rows.mapInArrow(work, _PAIR).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: one row per row of ``docs``; component = smallest linked doc_id."""
+def _judged(docs: DataFrame, percent: int, size: int, block: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id, kept``: one row per row of ``docs``."""
     signed = cut(signatures(docs, size))
     first = F.min(F.struct("doc_id", "text_hash"))
     classes = cut(
@@ -222,8 +222,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, block: in
     )
     groups = components(candidate_links(classes, block)).select(F.col("id").alias("node"), F.col("component").alias("group"))
     groups = groups.join(classes, "node").select("node", "group", "signature", "doc_id", "text_hash")
-    text = _rows(docs)
-    texts = text.join(groups, ["doc_id", "text_hash"]).select("node", "group", "signature", "text")
+    texts = _rows(docs).join(groups, ["doc_id", "text_hash"]).select("node", "group", "signature", "text")
     linked = components(confirmed_links(texts, percent, size, block)).withColumnRenamed("id", "node")
     linked = cut(linked.join(classes.select("node", "doc_id"), "node"))
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -231,6 +230,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, block: in
     members = classes.join(linked, "node", "left").select("high", "low", F.coalesce("component_id", "doc_id").alias("component_id"))
     return (
         signed.join(members, ["high", "low"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .select("doc_id", "text_hash", "n_shingles", "component_id", "kept")
     )
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``: one row per row of ``docs``; component = smallest linked doc_id."""
+    return _judged(docs, percent, size, block).drop("text_hash")
+
+
+def remove_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that stay, columns as they were; of repeated rows with one doc_id and text the first stays."""
+    judged = cut(_judged(docs, percent, size, block).where("doc_id IS NOT NULL"))
+    key = [F.col("doc_id").cast("long").alias("id_"), F.xxhash64(F.col("text").cast("string")).alias("hash_")]
+    rows = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
+    out = judged.where("NOT kept").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct()
+    rows = rows.join(out, ["id_", "hash_"], "left_anti")
+    again = judged.where("kept").groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if not again.isEmpty():
+        once = rows.join(again, ["id_", "hash_"], "left_semi").groupBy("id_", "hash_").agg(F.first("row_").alias("row_"))
+        rows = rows.join(again, ["id_", "hash_"], "left_anti").unionByName(once)
+    return rows.select("row_.*")

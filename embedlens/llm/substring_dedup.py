@@ -163,10 +163,11 @@ def _take(table: pa.Table, kind: str, dtype: np.dtype) -> np.ndarray:
     return unpack([data[i].as_py() for i, k in enumerate(kinds) if k == kind], dtype)
 
 
-def documents(docs: DataFrame) -> DataFrame:
+def documents(docs: DataFrame, *keep: str) -> DataFrame:
+    """``row`` (the columns to keep), ``doc``, ``tag`` (which of the texts of a doc_id) and ``text``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.struct(*(F.col(f"`{c}`") for c in keep or ["doc_id"])).alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"),
         F.hash(text).alias("tag"),
         text.alias("text"),
@@ -330,7 +331,9 @@ def repeated_stretches(rows: DataFrame) -> DataFrame:
 
 
 def cut_out(rows: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` from ``doc_id, text, data``."""
+    """``row, n_bytes, n_removed, n_spans, kept_sha256, kept`` from ``row, text, data``.
+
+    The digest is of the bytes that stay; ``kept`` is them as text, without bytes of a character that was cut in the middle."""
 
     def work(batches):
         for batch in batches:
@@ -348,18 +351,30 @@ def cut_out(rows: DataFrame) -> DataFrame:
                         parts.append(text[at:a])
                         removed, spans, at = removed + b - a, spans + 1, b
                     kept = b"".join(p.tobytes() for p in [*parts, text[at:]])
-                for column, value in zip(out, (len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept)):
+                for column, value in zip(out, (len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             )
 
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return rows.select("doc_id", "text", "data").mapInArrow(work, kind)
+    kind = f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    return rows.select("row", "text", "data").mapInArrow(work, kind)
+
+
+def remove_repeats(docs: DataFrame, *keep: str) -> DataFrame:
+    """A row per row of ``docs``: columns ``keep`` (doc_id), sizes, removed bytes and runs, digest of what stays, the text that stays."""
+    rows = documents(docs, *keep)
+    out = cut_out(rows.join(repeated_stretches(rows), ["doc", "tag"], "left"))
+    return out.select("row.*", *(F.col(c) for c in out.columns[1:]))
+
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated substrings cut from ``text`` and ``n_chars`` (if there) counted anew; other columns as they were.
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """A row per row of ``docs``: sizes, removed bytes and runs, digest of what stays, and the bytes that stay."""
-    rows = documents(docs)
-    return cut_out(rows.join(repeated_stretches(rows), ["doc", "tag"], "left"))
+    A null text stays null."""
+    rows = documents(docs, *docs.columns)
+    out = cut_out(rows.join(repeated_stretches(rows), ["doc", "tag"], "left"))
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
