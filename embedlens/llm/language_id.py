@@ -102,6 +102,8 @@ def fit(docs: DataFrame, rows: int = FIT_DOCS, known: int = KNOWN) -> Model:
     sample = able.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most FIT_DOCS ids
     languages = [r[0] for r in chosen.select(F.col("lang").cast("string")).distinct().collect()]
     languages.sort()
+    if not languages:
+        return Model([], np.zeros(0), [], [])
     by_language = [F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(F.lit(0))).alias(f"c{i}") for i, x in enumerate(languages)]
     columns = [f"c{i}" for i in range(len(languages))]
     raw = counts(sample.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
@@ -112,7 +114,7 @@ def fit(docs: DataFrame, rows: int = FIT_DOCS, known: int = KNOWN) -> Model:
     for n in range(LONGEST + 1):
         table = total.where(F.col("n") == n).orderBy(F.desc("all"), "key").limit(known).select("key", *columns).toArrow()
         key = table.column("key").to_numpy().astype(np.int64).view(np.uint64)
-        count = np.stack([table.column(c).to_numpy() for c in columns], axis=1).astype(float) if columns else np.zeros((len(key), 0))
+        count = np.stack([table.column(c).to_numpy() for c in columns], axis=1).astype(float)
         own = sums.get(n, none)
         order = np.argsort(key)
         keys.append(key[order])
