@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 A feature is the presence of a character n-gram (n = 3 to 5, lower-cased, hashed to ``BINS`` bins) in a text. From labelled
-texts each bin gets the ratio r = log of its share among toxic documents over its share among clean ones, both smoothed. The ``SELECTED`` bins whose
-counts differ most for their size, among those in ``LEAST`` documents or more, are kept; on features scaled by r a
+texts each bin gets the ratio r = log of its share among toxic documents over its share among clean ones, both smoothed. Of the
+bins with r > 0 in ``LEAST`` documents or more, the ``SELECTED`` with the greatest likelihood ratio of their counts are kept, if it is ``EVIDENCE``
+or more (n-grams of clean texts say nothing that an absent bin doesn't); on features scaled by r a
 logistic regression with L2 penalty is trained: in each of ``ROUNDS`` rounds tasks improve the weights on their own rows
 and the weights are averaged (by number of rows). The score is the regression's probability.
 
@@ -25,8 +26,8 @@ from embedlens.llm import chars
 from embedlens.session import cut
 
 FIT_ROWS, BINS_LOG2, SIZES = 12_000, 18, (3, 4, 5)
-SELECTED, LEAST = 4096, 8
-ROUNDS, STEPS, SHARDS, PENALTY = 4, 40, 6, 1e-4
+SELECTED, LEAST, EVIDENCE = 512, 4, 8.0
+ROUNDS, STEPS, SHARDS, PENALTY = 4, 40, 6, 3e-4
 THRESHOLD = 0.3
 
 
@@ -79,15 +80,20 @@ def bin_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_count_ratios(counts: np.ndarray, docs: np.ndarray, selected: int = SELECTED) -> np.ndarray:
-    """r by bin, 0 where not selected."""
+    """r by bin, 0 where not selected: bins that speak for toxic, by the likelihood ratio of their counts."""
+    both, n = counts.sum(axis=0), docs.sum()
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-9)), 0.0)
+
+    ratio = 2 * sum(part(counts[k], both * docs[k] / n) + part(docs[k] - counts[k], (n - both) * docs[k] / n) for k in (0, 1))
     share = (counts + 1) / (docs[:, None] + 2)
-    both = counts.sum(axis=0)
-    spread = np.sqrt(share[0] * (1 - share[0]) / max(docs[0], 1) + share[1] * (1 - share[1]) / max(docs[1], 1))
-    strength = np.where(both >= LEAST, np.abs(share[1] - share[0]) / np.maximum(spread, 1e-12), 0)
+    r = np.log(share[1] / share[0])
+    strength = np.where((both >= LEAST) & (r > 0), ratio, 0)
     keep = np.argsort(-strength, kind="stable")[:selected]
+    keep = keep[strength[keep] >= EVIDENCE]
     out = np.zeros(counts.shape[1])
-    keep = keep[strength[keep] > 0]
-    out[keep] = np.log(share[1, keep] / share[0, keep])
+    out[keep] = r[keep]
     return out
 
 

@@ -64,7 +64,7 @@ def test_language_backs_off(docs_of):
 def test_toxicity(spark):
     docs, labels = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet"), spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet")
     rows = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
-    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.9
+    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.9  # 94 rows, about 300 to learn from
     assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
 
 
