@@ -445,7 +445,7 @@ z AS (SELECT *, sum(cutp) OVER (ORDER BY age_days, id ROWS UNBOUNDED PRECEDING)
 zz AS (SELECT run, count(*) AS count, min(age_days) AS mn, max(age_days) AS mx, avg(age_days) AS me, array_to_string(list(id ORDER BY age_days, id)[1:5], ';') AS sample_ids FROM z GROUP BY run HAVING count(*) >= 3)"""
 add("w2_dead_zones", f"""
 WITH {AGES}, {ZONES} SELECT (row_number() OVER (ORDER BY run) - 1)::INT AS zone, count, {R('mn')} AS min_age_days, {R('mx')} AS max_age_days, {R('me')} AS mean_age_days, sample_ids FROM zz""")
-add("w3_cumulative_variance", f"WITH {DIMS} SELECT dim, row_number() OVER (ORDER BY variance DESC, dim) - 1 AS place, {R('variance')} AS variance FROM dims")
+add("w3_cumulative_variance", f"WITH {DIMS} SELECT dim, row_number() OVER (ORDER BY variance DESC, dim) - 1 AS place, {R('variance')} AS variance, {R('sum(variance) OVER (ORDER BY variance DESC, dim) / sum(variance) OVER ()')} AS share FROM dims")
 add("w4_ordinals", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS ordinal FROM orders")
 add("w5_first_ids", "SELECT source, array_to_string(list(doc_id ORDER BY doc_id)[1:5], ';') AS sample_ids FROM documents GROUP BY source")
 
@@ -523,7 +523,7 @@ r AS (SELECT i.cluster, max((si.s + sj.s) / list_distance(i.v, j.v)) AS r FROM c
 SELECT {R('(SELECT s FROM sil)')} AS silhouette, {R('sum(r) / 3')} AS davies_bouldin, 3 AS cluster_count FROM r""")
 add("r4_outliers", f"""
 WITH {KMEANS}, st AS (SELECT avg(dist) AS m, stddev_pop(dist) AS s FROM km)
-SELECT id, {R('dist')} AS distance_to_cluster, {R('(dist - m) / s')} AS outlier_score FROM km, st WHERE dist > m + 1.5 * s""")
+SELECT id, {R('dist')} AS distance_to_cluster, {R('(dist - m) / s')} AS outlier_score, row_number() OVER (ORDER BY dist DESC, id) - 1 AS rank FROM km, st WHERE dist > m + 1.5 * s""")
 BYTES = "CASE WHEN {0} >= 1073741824 THEN printf('%.1f GB', {0} / 1073741824.0) WHEN {0} >= 1048576 THEN printf('%.1f MB', {0} / 1048576.0) WHEN {0} >= 1024 THEN printf('%.1f KB', {0} / 1024.0) ELSE {0} || ' bytes' END"
 add("r5_recommendations", f"""
 WITH {SIZES}, alls AS (SELECT * FROM mem UNION ALL SELECT 'lineitem', count(*), NULL, count(*) * 200 FROM lineitem), tot AS (SELECT sum(n) AS n, sum(m) AS m FROM alls)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import fixtures as X
@@ -639,7 +640,9 @@ def w2_dead_zones(spark, d):
 def w3_cumulative_variance(spark, d):
     dims = O.dimension_stats(X.embeddings(spark, d))
     ranked = O.with_ordinal(dims.select("dim", "variance").withColumn("minus", -F.col("variance")), "minus", "dim", name="place")
-    return rounded(ranked.select("dim", "place", "variance"))
+    # one row per dimension: the width of a vector
+    upto = F.sum("variance").over(Window.orderBy("place")) / F.sum("variance").over(Window.partitionBy())
+    return rounded(ranked.select("dim", "place", "variance", upto.alias("share")))
 
 
 @query
@@ -782,7 +785,8 @@ def r4_default_clusters(spark, d):
 @query
 def r4_outliers(spark, d):
     found = R.distribution(X.plain(spark, d), k=3, iterations=3, threshold=1.5)
-    return rounded(found.outliers)
+    ranked = O.with_ordinal(found.outliers.withColumn("minus", -F.col("outlier_score")), "minus", "id", name="rank").drop("minus")
+    return rounded(ranked)
 
 
 @query

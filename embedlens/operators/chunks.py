@@ -30,13 +30,12 @@ def _text(coll: Collection, field: str) -> Column:
     return F.lit(None).cast("string")
 
 
-def content_field(coll: Collection, sample: int = 5) -> str | None:
-    """First well-known field with text in one of the first rows by id; else the first field, in
-    name order, that is named like content."""
+def content_field(coll: Collection) -> str | None:
+    """First well-known field with text in any row; else the first field, in name order, that is
+    named like content."""
     present = [f for f in CONTENT_FIELDS if f in coll.fields]
     if present:
-        rows = coll.df.orderBy("id").limit(sample)
-        found = rows.agg(*[F.coalesce(F.bool_or(_text(coll, f) != ""), F.lit(False)).alias(f) for f in present]).first()
+        found = coll.df.agg(*[F.coalesce(F.bool_or(_text(coll, f) != ""), F.lit(False)).alias(f) for f in present]).first()
         for f in present:
             if found[f]:
                 return f

@@ -243,14 +243,14 @@ def _worst_ratio(rows: DataFrame, k: int) -> DataFrame:
 
 
 def outliers(assigned: DataFrame, threshold: float = OUTLIER_THRESHOLD) -> DataFrame:
-    """``(id, distance_to_cluster, outlier_score)`` beyond mean + threshold * std of all distances."""
+    """``(id, distance_to_cluster, outlier_score)`` beyond mean + threshold * std of all distances, greatest score first."""
     stats = assigned.agg(F.avg("dist").alias("m"), F.stddev_pop("dist").alias("s")).first()
     if stats.m is None:
         return assigned.select("id", F.col("dist").alias("distance_to_cluster"), F.lit(0.0).alias("outlier_score")).limit(0)
     score = F.try_divide(F.col("dist") - stats.m, F.lit(stats.s))
     return assigned.where(F.col("dist") > F.lit(stats.m + threshold * stats.s)).select(
         "id", F.col("dist").alias("distance_to_cluster"), score.alias("outlier_score")
-    )
+    ).orderBy(F.desc("outlier_score"), "id")
 
 
 def local_density(vectors: DataFrame, k: int = DENSITY_NEIGHBORS) -> DataFrame:

@@ -129,7 +129,7 @@ class Contradictions:
 
         Each id stands for its signature, ``row_pairs`` for the rows behind both.
         """
-        most = self.max_results if max_results is None else min(max_results, self.max_results)
+        most = self.max_results if max_results is None else max_results
         top = cut(self._listed(most).orderBy(F.desc("similarity"), "a", "b").limit(most))
         ids = top.select(F.col("a").alias("id")).unionAll(top.select(F.col("b").alias("id"))).distinct()
         meta = F.struct(*[_canonical(self.coll, f).alias(f) for f in self.fields]) if self.fields else F.struct(F.lit(0).alias("none"))

@@ -39,12 +39,26 @@ def value_at_ranks(df: DataFrame, column: str, ranks: list[int]) -> list[float]:
     """Exact values at 0-based ranks of the sorted column, by repeated histograms.
 
     Every pass counts rows in at most 4096 bins per rank and keeps the bin that holds the rank, until
-    the bin has one value. Nothing is sorted and no pass moves more than the bin counts.
+    the bin has one value. Nothing is sorted and no pass moves more than the bin counts. Infinite values
+    and NaN (the greatest) are counted apart; a span too narrow to be cut holds at most 4096 different
+    numbers, which are counted singly.
     """
     value = F.col(column).cast("double")
     base = df.where(F.col(column).isNotNull()).select(value.alias("v"))
-    first = base.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    spans = [(first.lo, first.hi, r) for r in ranks]
+    infinite = float("inf")
+    low, high, nan = F.col("v") == -infinite, F.col("v") == infinite, F.isnan("v")
+    finite = F.when(~(low | high | nan), F.col("v"))
+    first = base.agg(
+        F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count_if(low).alias("low"), F.count(finite).alias("n"), F.count_if(high).alias("high")
+    ).first()
+    edges = [(first.low, -infinite), (first.low + first.n, None), (first.low + first.n + first.high, infinite)]
+    placed = [next((v for upto, v in edges if r < upto), float("nan")) for r in ranks]
+    found = iter(_finite_at_ranks(base.where(finite.isNotNull()), first.lo, first.hi, [r - first.low for r, v in zip(ranks, placed) if v is None]))
+    return [next(found) if v is None else v for v in placed]
+
+
+def _finite_at_ranks(base: DataFrame, low: float, high: float, ranks: list[int]) -> list[float]:
+    spans = [(low, high, r) for r in ranks]
     while any(lo != hi for lo, hi, _ in spans):
         open_spans = sorted({(lo, hi) for lo, hi, _ in spans if lo != hi})
         # spans are bins of earlier passes: equal or disjoint, so a row is in at most one
@@ -61,6 +75,10 @@ def value_at_ranks(df: DataFrame, column: str, ranks: list[int]) -> list[float]:
         bins = {}
         for row in sorted(counted, key=lambda r: r.slot):
             bins.setdefault(open_spans[row.slot // _BINS], []).append(row)
+        for (lo, hi), rows in bins.items():
+            if len(rows) == 1 and (rows[0].lo, rows[0].hi) == (lo, hi):  # bins of no width
+                single = base.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+                bins[(lo, hi)] = single.select("n", F.col("v").alias("lo"), F.col("v").alias("hi")).orderBy("lo").collect()
         spans = [_descend(bins[(lo, hi)], r) if lo != hi else (lo, hi, r) for lo, hi, r in spans]
     return [lo for lo, _, _ in spans]
 
@@ -99,10 +117,12 @@ def moments(df: DataFrame, column: str) -> DataFrame:
 
 
 def bin_of(v: Column, lo: float, hi: float, bins: int) -> Column:
-    """Equal-width bin number; the last bin is closed."""
+    """Equal-width bin number; the last bin is closed. Halves keep the widest spans finite."""
     width = (hi - lo) / bins
     if width == 0:
         return F.lit(0)
+    if width == float("inf"):
+        v, lo, width = v / 2, lo / 2, (hi / 2 - lo / 2) / bins
     return F.least(F.floor((v - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
 
 

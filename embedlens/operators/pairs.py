@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +38,12 @@ SLACK = 1e-9  # widens pruning bounds against rounding; results are re-checked e
 
 
 def matrix(column) -> np.ndarray:
-    """A list column as a 2-d array. All lists have one length here."""
+    """A list column as a 2-d array. Lists of unequal lengths raise an error."""
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    widths = pc.min_max(pc.list_value_length(column)).as_py()
+    if widths["min"] != widths["max"]:
+        raise ValueError(f"vectors have from {widths['min']} to {widths['max']} elements; compare one width at a time")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 

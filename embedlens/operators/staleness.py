@@ -22,13 +22,12 @@ ZONE_MIN_SIZE = 3  # fixed value
 PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.99)  # fixed values
 
 
-def timestamp_field(coll: Collection, sample: int = 10) -> str | None:
-    """First candidate field that holds a point in time in one of the first rows by id."""
+def timestamp_field(coll: Collection) -> str | None:
+    """First candidate field that holds a point in time in any row."""
     present = [f for f in times.TIMESTAMP_FIELDS if f in coll.fields]
     if not present:
         return None
-    rows = coll.df.orderBy("id").limit(sample)
-    found = rows.agg(*[
+    found = coll.df.agg(*[
         F.coalesce(F.bool_or(times.epoch_micros(coll.field(f), coll.types[f]).isNotNull()), F.lit(False)).alias(f)
         for f in present
     ]).first()

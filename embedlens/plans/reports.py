@@ -6,7 +6,6 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -390,7 +389,7 @@ def collection_health(coll: Collection, as_of: datetime, sample_rows: int | None
             if bc > 0.6:
                 add("warning", "mixed", None, bc)
         if facts.norms >= 20:
-            ratio = _first_distances(seen)
+            ratio = _discrimination(seen)
             if ratio is not None and ratio < 0.3:
                 add("warning", "distance", None, ratio)
         field = next((f for f in time_fields if facts[f"time_{f}"] >= 5), None)
@@ -408,14 +407,10 @@ def collection_health(coll: Collection, as_of: datetime, sample_rows: int | None
     return row, issues
 
 
-def _first_distances(coll: Collection) -> float | None:
-    """(max - min) / mean distance among the first twenty vectors by id."""
-    rows = coll.vectors().orderBy("id").limit(20).collect()
-    width = len(rows[0].vector)
-    x = np.array([r.vector for r in rows if len(r.vector) == width])
-    i, j = np.triu_indices(len(x), 1)
-    d = np.sqrt(((x[i] - x[j]) ** 2).sum(1))
-    return float((d.max() - d.min()) / d.mean()) if len(d) and d.mean() > 0 else None
+def _discrimination(coll: Collection, pairs: int = distances.SAMPLE_PAIRS) -> float | None:
+    """(max - min) / mean distance over evenly strided pairs of the whole collection; pairs of unequal widths have no distance."""
+    d = distances.strided_pairs(coll.vectors(), pairs).agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.avg("dist").alias("mean")).first()
+    return (d.hi - d.lo) / d.mean if d.mean else None
 
 
 def health(collections: list[Collection], as_of: datetime | None = None, sample_rows: int | None = None, count_duplicates: bool = False) -> Health:
@@ -544,7 +539,7 @@ def export_collection(
     else:
         coll = find_collection(collections, name)
         if data_type == "vectors":
-            rows = export.vector_rows(coll, include_vectors, limit or export.VECTOR_LIMIT)
+            rows = export.vector_rows(coll, include_vectors, limit)
         elif data_type == "orphans":
             rows = export.orphan_rows(find_orphans(coll))
         elif data_type == "duplicates":

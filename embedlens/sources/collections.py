@@ -118,16 +118,3 @@ def id_fingerprint(df: DataFrame) -> DataFrame:
     """Order-free fingerprint of the id set: row count and xor of id hashes."""
     key = F.xxhash64(F.col("id").cast("string"))
     return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(key), F.lit(0)).alias("id_hash"))
-
-
-def articles(spark: SparkSession) -> DataFrame:
-    """Two rows per category in the shape of the sample loader: title, content, category."""
-    topics = {
-        "AI": "machines that learn from examples",
-        "Database": "stores that index vectors",
-        "Search": "ranking by meaning",
-        "ML": "training and evaluating models",
-        "NLP": "processing human language",
-    }
-    rows = [(f"{c} {kind}", f"{kind}: {what}.", c) for c, what in topics.items() for kind in ("basics", "practice")]
-    return spark.createDataFrame(rows, "title string, content string, category string")

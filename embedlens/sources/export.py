@@ -11,11 +11,9 @@ from embedlens.functions import text as X
 from embedlens.functions import vectors as V
 from embedlens.sources.collections import Collection
 
-VECTOR_LIMIT = 10_000  # fixed value: default number of exported vectors
 
-
-def vector_rows(coll: Collection, include_vectors: bool = False, limit: int | None = VECTOR_LIMIT) -> DataFrame:
-    """``id[, vector], metadata`` in id order; None exports the whole collection, unordered."""
+def vector_rows(coll: Collection, include_vectors: bool = False, limit: int | None = None) -> DataFrame:
+    """``id[, vector], metadata`` of the whole collection; with a limit, of its first rows by id."""
     rows = coll.df if limit is None else coll.df.orderBy("id").limit(limit)
     columns = [V.vector_text(F.col("vector")).alias("vector")] if include_vectors else []
     return rows.select(F.col("id").cast("string").alias("id"), *columns, coll.metadata_json().alias("metadata"))

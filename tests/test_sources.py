@@ -109,12 +109,6 @@ def test_search_overlays(spark):
     assert {r.id: r.z for r in R.attach_coordinates(hits, xyz).collect()} == {1: 3.0, 2: 0.0, 3: 0.0}
 
 
-def test_sample_articles(spark):
-    rows = S.articles(spark)
-    assert rows.columns == ["title", "content", "category"] and rows.groupBy("category").count().count() == 5
-
-
-@pytest.mark.parametrize("kind", ["vectors", "orphans", "duplicates", "outliers", "health_report"])
 def test_export_by_type(spark, coll, tmp_path, kind):
     name = "*" if kind == "health_report" else "small"
     row = R.export_collection([coll], name, kind, "json", str(tmp_path / kind), AS_OF).first()
