@@ -305,7 +305,7 @@ def composite(nodes: dict[str, tuple[int, float | None, int, float | None]]) ->
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """``host, nodes``: array of (node, importance, pages), for hosts with more than one page."""
+    """``host, nodes``: a line of importance, pages and node for each node on more than one page."""
     k, ln = F.col("pages").cast("double"), F.log(F.col("pages").cast("double"))
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
     sums = node_counts(pages).groupBy("host", "node").agg(
@@ -324,27 +324,31 @@ def style_trees(pages: DataFrame) -> DataFrame:
             content = min(1.0, max(0.0, 1 - c["cl"][i] / texts / base)) if texts else None
             nodes[node] = (m, presentation, int(c["styles"][i] or 0), content)
         nodes = {p: v for p, v in nodes.items() if not p or p.rpartition("/")[0] in nodes}
-        tree = [{"node": p, "importance": i, "pages": m} for p, (i, m) in sorted(composite(nodes).items())]
-        kind = pa.list_(pa.struct([("node", pa.string()), ("importance", pa.float64()), ("pages", pa.int64())]))
-        return pa.table({"host": pa.array(c["host"][:1], pa.string()), "nodes": pa.array([tree], kind)})
+        tree = "\n".join(f"{i:.9g} {m} {p}" for p, (i, m) in sorted(composite(nodes).items()))
+        return pa.table({"host": pa.array(c["host"][:1], pa.string()), "nodes": pa.array([tree], pa.string())})
 
-    return sums.groupBy("host").applyInArrow(work, "host string, nodes array<struct<node: string, importance: double, pages: bigint>>")
+    return sums.groupBy("host").applyInArrow(work, "host string, nodes string")
+
+
+def tree_of(lines: str | None) -> dict[str, tuple[float, int]]:
+    """(importance, pages) by node."""
+    parts = [line.split(" ", 2) for line in (lines or "").split("\n") if line]
+    return {node: (float(importance), int(pages)) for importance, pages, node in parts}
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars``: a row per row of ``pages``."""
     rows = pages.select("page_id", "url", host_of().alias("host"), F.col("html").cast("string").alias("html"))
-    joined = rows.join(style_trees(pages), "host", "left").select("page_id", "url", "html", "host", "nodes")
+    joined = rows.join(style_trees(pages), "host", "left").select("page_id", "url", "html", "nodes")
 
     def work(batches):
-        host, tree = None, {}
         for batch in batches:
-            out = []
-            for text, own, nodes in zip(batch.column(2), batch.column(3), batch.column(4)):
-                if own.as_py() != host:
-                    host = own.as_py()
-                    tree = {x["node"]: (x["importance"], x["pages"]) for x in nodes.as_py() or ()}
-                out.append(extract(text.as_py(), tree))
+            out, trees = [], {}
+            for text, nodes in zip(batch.column(2), batch.column(3)):
+                lines = nodes.as_py()
+                if lines not in trees:
+                    trees[lines] = tree_of(lines)
+                out.append(extract(text.as_py(), trees[lines]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(np.array([len(t) for t in out], np.int64))], ["page_id", "url", "text", "n_chars"]
             )
