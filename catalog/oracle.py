@@ -133,8 +133,13 @@ add("s12_csv_roundtrip", f"WITH {TEXT} SELECT id::VARCHAR AS id, {meta_json()} A
 add("s13_manifest", f"""
 WITH {TEXT} SELECT 'csv' AS format, 'vectors' AS data_type, count(*) AS record_count, 'docs_vectors_20240601_000000.csv' AS filename FROM tc""")
 
+HASH = "('0x' || left(md5({0}::VARCHAR), 15))::BIGINT"
+add("s15_id_fingerprint", f"WITH {COLL} SELECT count(*) AS n, bit_xor({HASH.format('id')}) AS id_hash FROM c")
+
 # ---------------------------------------------------------------- filters and predicates
 
+add("f14_hash_sample", f"SELECT vec_id AS id FROM embeddings WHERE {HASH.format('vec_id')} % 1000000 < 300000")
+
 add("f1_empty_values", """
 WITH j AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '{"f":null}' WHEN 1 THEN '{"f":"  "}' WHEN 2 THEN '{"f":[]}' WHEN 3 THEN '{"f":{}}'
   WHEN 4 THEN '{"f":"[]"}' WHEN 5 THEN '{}' WHEN 6 THEN '{"f":0}' ELSE to_json({'f': source})::VARCHAR END AS m FROM documents)

@@ -57,3 +57,8 @@ def is_content_name(name: str) -> bool:
 
 def is_vector_name(name: str) -> bool:
     return "vector" in name.lower() or "embedding" in name.lower()
+
+
+def id_hash(c: Column) -> Column:
+    """60 bits of the MD5 of an id's text: the same number on any SQL engine."""
+    return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")

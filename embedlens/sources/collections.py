@@ -116,5 +116,5 @@ def find_collection(collections: list[Collection], name: str) -> Collection:
 
 def id_fingerprint(df: DataFrame) -> DataFrame:
     """Order-free fingerprint of the id set: row count and xor of id hashes."""
-    key = F.xxhash64(F.col("id").cast("string"))
+    key = values.id_hash(F.col("id"))
     return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(key), F.lit(0)).alias("id_hash"))
