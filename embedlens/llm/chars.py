@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from embedlens.llm import kernels
 
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 300_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

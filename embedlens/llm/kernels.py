@@ -1,7 +1,7 @@
 """Array kernels over whole texts inside a task: words, word hashes, shingle sets and fingerprints.
 
 A text is its UTF-8 bytes. A word is a longest run of bytes other than space and 0x09-0x0D, as in the
-pattern ``[^\\x20\\x09-\\x0D]+``. Texts of an Arrow batch are worked on in slices of a few MB, so memory
+pattern ``[^\\x20\\x09-\\x0D]+``. Texts of an Arrow batch are worked on in slices of half a MB, so memory
 follows the slice and the longest single text, never the batch or the partition.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 _U = np.uint64
