@@ -12,7 +12,8 @@
    pages that bear witness, up to ``WEIGHT``; branches below ``KEEP`` are removed, and blocks of what is left are the text.
 
 Statistics are sums by (host, node, value), added up inside tasks first, so a host with a third of all pages is many small
-keys; a host's nodes, not its pages, meet in one task. Removed nodes are joined back to the pages by host.
+keys; a host's nodes, not its pages, meet in one task. The trees are joined back to the pages by host: sent to all tasks if they are small
+together, else by a shuffle.
 
 Null html or url counts as empty; pages without a host share one tree. A page without any element is text. Repeated pages
 are extracted each and count each. Text outside elements, unclosed and stray tags, unclosed comments and character
@@ -33,7 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from embedlens.session import cut
+
 GAMMA, WEIGHT, HALF_PAGES, KEEP = 0.9, 0.45, 8, 0.5
+TREE_BYTES = 16_000_000
 
 # fixed values: tag names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -339,7 +343,10 @@ def tree_of(lines: str | None) -> dict[str, tuple[float, int]]:
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars``: a row per row of ``pages``."""
     rows = pages.select("page_id", "url", host_of().alias("host"), F.col("html").cast("string").alias("html"))
-    joined = rows.join(style_trees(pages), "host", "left").select("page_id", "url", "html", "nodes")
+    trees = cut(style_trees(pages))
+    size = trees.agg(F.sum(F.octet_length("host") + F.octet_length("nodes"))).first()[0] or 0
+    trees = F.broadcast(trees) if size <= TREE_BYTES else trees  # beyond that, pages meet their host's tree by a shuffle
+    joined = rows.join(trees, "host", "left").select("page_id", "url", "html", "nodes")
 
     def work(batches):
         for batch in batches:

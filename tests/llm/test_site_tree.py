@@ -31,6 +31,11 @@ def test_repeated_branches_go_where_the_markup_says_nothing(spark):
     assert got[99] == "same words on every page\ntext 99 of page 99"  # one page bears no witness
 
 
+def test_large_trees_meet_pages_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(site_tree, "TREE_BYTES", 0)
+    test_repeated_branches_go_where_the_markup_says_nothing(spark)
+
+
 def test_articles_stay_even_if_all_pages_are_copies(spark):
     rows = [(i, "http://h.example/x", "<body><nav>a</nav><article><p>the text</p></article>") for i in range(50)]
     assert {r.text for r in site_tree.main_text(spark.createDataFrame(rows, PAGES)).collect()} == {"the text"}
