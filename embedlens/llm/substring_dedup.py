@@ -164,10 +164,10 @@ def _take(table: pa.Table, kind: str, dtype: np.dtype) -> np.ndarray:
 
 
 def documents(docs: DataFrame, *keep: str) -> DataFrame:
-    """``row`` (the columns to keep), ``doc``, ``tag`` (which of the texts of a doc_id) and ``text``."""
+    """``row`` (the columns to keep but for text, and whether text is null), ``doc``, ``tag`` (which of the texts of a doc_id) and ``text``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in keep or ["doc_id"])).alias("row"),
+        F.struct(F.struct(F.col("doc_id"), *(F.col(f"`{c}`") for c in keep if c not in ("doc_id", "text"))).alias("own"), F.col("text").isNull().alias("absent")).alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"),
         F.hash(text).alias("tag"),
         text.alias("text"),
@@ -262,7 +262,8 @@ def open_contexts(open_: DataFrame, buckets: int) -> DataFrame:
                 ["bucket", "runs", "bytes"],
             )
 
-    return open_.select("data", "text").mapInArrow(work, "bucket int, runs binary, bytes binary")
+    # row is not used here, but with it the texts' shuffle is the one that cut_out reads as well
+    return open_.select("data", "text", "row").mapInArrow(work, "bucket int, runs binary, bytes binary")
 
 
 def covered_windows(runs: np.ndarray, pieces: np.ndarray) -> np.ndarray:
@@ -324,7 +325,7 @@ def repeated_stretches(rows: DataFrame) -> DataFrame:
     n_open = found.where("kind = 'open'").agg(F.sum(F.octet_length("data"))).first()[0] or 0
     if not n_open:
         return per_document(found, "cover", COVER)
-    opened = per_document(found, "open", RUN).join(rows.select("doc", "tag", "text"), ["doc", "tag"])
+    opened = per_document(found, "open", RUN).join(rows, ["doc", "tag"])
     sorts = max(8, -(-n_open // (RUN.itemsize * OPEN_PER_BUCKET)))
     more = resolve_open(open_contexts(opened, sorts), buckets)
     return per_document(found.where("kind = 'cover'").unionAll(more), "cover", COVER)
@@ -366,7 +367,7 @@ def remove_repeats(docs: DataFrame, *keep: str) -> DataFrame:
     """A row per row of ``docs``: columns ``keep`` (doc_id), sizes, removed bytes and runs, digest of what stays, the text that stays."""
     rows = documents(docs, *keep)
     out = cut_out(rows.join(repeated_stretches(rows), ["doc", "tag"], "left"))
-    return out.select("row.*", *(F.col(c) for c in out.columns[1:]))
+    return out.select("row.own.*", *(F.col(c) for c in out.columns[1:]))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -375,6 +376,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A null text stays null."""
     rows = documents(docs, *docs.columns)
     out = cut_out(rows.join(repeated_stretches(rows), ["doc", "tag"], "left"))
-    text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
+    text = F.when(~F.col("row.absent"), F.col("kept"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"row.own.`{c}`") for c in docs.columns))
