@@ -5,7 +5,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF = "/root/testdata/sf0.001"
+from helpers import SF  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -32,8 +33,6 @@ def odd(spark):
     frame = spark.createDataFrame(rows, DOCS)
     clash = "n_words kept key node group row data tag doc score label shard bin n left right found text_ row_".split()
     for c in clash:
-        from pyspark.sql import functions as F
-
         frame = frame.withColumn(c, F.lit("clash"))
     return frame
 

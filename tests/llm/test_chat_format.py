@@ -1,4 +1,4 @@
-from conftest import SF
+from helpers import SF
 from pyspark.sql import functions as F
 
 from embedlens.llm import chat_format, queries

@@ -1,5 +1,4 @@
-from conftest import SF
-from helpers import near_components, repeated_bytes
+from helpers import SF, near_components, repeated_bytes
 
 import corpus_pipeline
 

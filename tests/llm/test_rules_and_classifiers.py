@@ -1,8 +1,7 @@
 import random
 
 import numpy as np
-from conftest import SF
-from helpers import base_counts
+from helpers import SF, base_counts
 from pyspark.sql import functions as F
 
 from embedlens.llm import chars, cotraining, decision_list, language_id, text_stats, toxicity
