@@ -7,9 +7,10 @@
    carries little. Content matters as 1 minus the mean of log_m k over its different texts, k being the pages with
    that text: what repeats across a site is not what a page is about. A node's composite importance is
    (1 - g^l) presentation + g^l (mean of its own content's and its children's composite importance), l styles, g = 0.9.
-3. Verdict on each page's branches. What the markup itself says gives a prior: 1 inside an article, 0 for menus, footers, forms, adverts,
-   comments and the like, in between if it says nothing. Score = (1 - w) prior + w importance, where w grows with the
-   pages that bear witness, up to ``WEIGHT``; branches below ``KEEP`` are removed, and blocks of what is left are the text.
+3. Verdict on each page's branches. Where the markup itself says something it decides: what is inside an article stays; menus, footers, forms,
+   adverts, comments and the like go. Where it says nothing, score = (1 - w) prior + w importance, the importance being the highest
+   of the branch and all below it (a branch is noise only if all of it is), and w = m / (m + ``HALF_PAGES``) passing every bound
+   below 1 as the pages that bear witness grow; branches below ``KEEP`` are removed, and blocks of what is left are the text.
 
 Statistics are sums by (host, node, value), added up inside tasks first, so a host with a third of all pages is many small
 keys; a host's nodes, not its pages, meet in one task. The trees are joined back to the pages by host: sent to all tasks if they are small
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from embedlens.session import cut
 
-GAMMA, WEIGHT, HALF_PAGES, KEEP = 0.9, 0.45, 8, 0.5
+GAMMA, HALF_PAGES, KEEP = 0.9, 8, 0.5
 TREE_BYTES = 16_000_000
 
 # fixed values: tag names of HTML
@@ -243,25 +244,22 @@ def read_page(text: str | None) -> Page:
     return Page(styles, blocks, has_main)
 
 
-def prior_of(said: float | None, has_main: bool) -> float:
-    """What says nothing is likely content on a page without an article, and likely not beside one."""
-    return said if said is not None else (0.2 if has_main else 0.7)
-
-
-def verdict(prior: float, importance: float | None, pages: int) -> bool:
-    """Keep a branch?"""
-    w = 0.0 if importance is None else WEIGHT * pages / (pages + HALF_PAGES)
-    return (1 - w) * prior + w * (importance or 0.0) >= KEEP
+def verdict(said: float | None, has_main: bool, importance: float | None, pages: int) -> bool:
+    """Keep a branch? What says nothing is likely content on a page without an article, and likely not beside one."""
+    if said is not None:
+        return said >= KEEP
+    w = 0.0 if importance is None else pages / (pages + HALF_PAGES)
+    return (1 - w) * (0.2 if has_main else 0.7) + w * (importance or 0.0) >= KEEP
 
 
 def extract(text: str | None, tree: dict[str, tuple[float, int]]) -> str:
-    """The main text of a page, given (importance, pages) of its host's nodes."""
+    """The main text of a page, given (highest importance of the branch, pages) of its host's nodes."""
     page = read_page(text)
     out = []
     for path, said, block in page.blocks:
-        prior, branch, keep = prior_of(said, page.has_main), path, True
+        branch, keep = path, True
         while keep and branch:
-            keep = verdict(prior, *tree.get(branch, (None, 0)))
+            keep = verdict(said, page.has_main, *tree.get(branch, (None, 0)))
             branch = branch.rpartition("/")[0] if said is None else ""
         if keep:
             out.append(block)
@@ -308,8 +306,18 @@ def composite(nodes: dict[str, tuple[int, float | None, int, float | None]]) ->
     return out
 
 
+def strongest(tree: dict[str, tuple[float, int]]) -> dict[str, tuple[float, int]]:
+    """The highest importance of each node and all below it, with the node's pages."""
+    out = dict(tree)
+    for path in sorted(tree, key=lambda p: -p.count("/")):
+        if path:
+            above = path.rpartition("/")[0]
+            out[above] = (max(out[above][0], out[path][0]), out[above][1])
+    return out
+
+
 def style_trees(pages: DataFrame) -> DataFrame:
-    """``host, nodes``: a line of importance, pages and node for each node on more than one page."""
+    """``host, nodes``: a line of the branch's highest importance, pages and node for each node on more than one page."""
     k, ln = F.col("pages").cast("double"), F.log(F.col("pages").cast("double"))
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
     sums = node_counts(pages).groupBy("host", "node").agg(
@@ -328,7 +336,7 @@ def style_trees(pages: DataFrame) -> DataFrame:
             content = min(1.0, max(0.0, 1 - c["cl"][i] / texts / base)) if texts else None
             nodes[node] = (m, presentation, int(c["styles"][i] or 0), content)
         nodes = {p: v for p, v in nodes.items() if not p or p.rpartition("/")[0] in nodes}
-        tree = "\n".join(f"{i:.9g} {m} {p}" for p, (i, m) in sorted(composite(nodes).items()))
+        tree = "\n".join(f"{i:.9g} {m} {p}" for p, (i, m) in sorted(strongest(composite(nodes)).items()))
         return pa.table({"host": pa.array(c["host"][:1], pa.string()), "nodes": pa.array([tree], pa.string())})
 
     return sums.groupBy("host").applyInArrow(work, "host string, nodes string")

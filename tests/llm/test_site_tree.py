@@ -31,6 +31,21 @@ def test_repeated_branches_go_where_the_markup_says_nothing(spark):
     assert got[99] == "same words on every page\ntext 99 of page 99"  # one page bears no witness
 
 
+def test_importance_decides_where_the_markup_says_nothing(spark):
+    """From few pages on, in both directions, and noise beside it takes no content away."""
+    same = "".join(f'<div class="{c}">{c} on every page</div>' for c in "abcd")
+    plain = '<body><div class="u">same words</div><div class="v">text {0} of page {0}</div></body>'
+    beside = '<body><article><p>own {0}</p></article><div class="u">same words</div><div class="v">text {0}</div></body>'
+    mixed = f'<body>{same}<div class="v">text {{0}}</div></body>'
+    marked = '<body><div class="ad">advert {0}</div><article><p>the same article</p></article></body>'
+    rows = [(100 * k + i, f"http://h{k}.example/{i}", page.format(i)) for k, (page, n) in enumerate([(plain, 6), (beside, 10), (mixed, 60), (marked, 60)]) for i in range(n)]
+    got = {r.page_id: r.text for r in site_tree.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"text {i} of page {i}" for i in range(6))
+    assert all(got[100 + i] == f"own {i}\ntext {i}" for i in range(10))
+    assert all(got[200 + i] == f"text {i}" for i in range(60))
+    assert all(got[300 + i] == "the same article" for i in range(60))
+
+
 def test_large_trees_meet_pages_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(site_tree, "TREE_BYTES", 0)
     test_repeated_branches_go_where_the_markup_says_nothing(spark)
