@@ -12,6 +12,8 @@ marks its bytes as removed.
 3. For open runs the texts are read by a join. Suffixes that start at the anchors, and the bytes before them read
    backwards, are sorted by deep-shallow sorting; the common prefixes of neighbours decide for each window of
    each run, on real bytes, which have equal content. The earliest stays, the others are covered.
+   Anchors with more than ``HOT`` different runs aren't brought to one task: each of their windows is keyed by 128 bits of hash, the
+   earliest place of each key is a grouped minimum, and windows that start later are covered.
 4. Covered stretches of each document are merged and cut from its text.
 
 Buckets are as many as the size of the input asks for. A passage that a third of all documents share costs a bucket one
@@ -36,6 +38,7 @@ from embedlens.session import cut
 LENGTH, GRAM = 100, 40
 BUCKET_BYTES = 24_000_000
 OPEN_PER_BUCKET = 60_000
+HOT = 60_000
 _SPAN = 1 << 18
 _NULL_ID = -(1 << 63)
 
@@ -199,7 +202,8 @@ def anchor_blobs(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def resolve_runs(blobs: DataFrame, buckets: int) -> DataFrame:
-    """By bucket of documents: covered stretches, and the runs that are still open."""
+    """By bucket of documents: covered stretches, and the runs that are still open, those of hot anchors apart."""
+    most = HOT
 
     def work(table: pa.Table) -> pa.Table:
         out = []
@@ -211,7 +215,11 @@ def resolve_runs(blobs: DataFrame, buckets: int) -> DataFrame:
             equal = kinds["gram"][1:] == kinds["gram"][:-1]
             same[1:] |= equal
             same[:-1] |= equal
-            out += [(b, "open", pack(r)) for b, r in by_document(kinds[same], buckets)]
+            kinds = kinds[same]
+            _, gram, count = np.unique(kinds["gram"], return_inverse=True, return_counts=True)
+            hot = count[gram] > most
+            for kind, own in (("open", kinds[~hot]), ("hot", kinds[hot])):
+                out += [(b, kind, pack(r)) for b, r in by_document(own, buckets)]
             cover = np.concatenate([cover, covers(runs[~earliest])])
         if len(cover):
             out += [(b, "cover", pack(r)) for b, r in by_document(merge(cover), buckets)]
@@ -316,19 +324,65 @@ def resolve_open(contexts: DataFrame, buckets: int) -> DataFrame:
     return contexts.groupBy("bucket").applyInArrow(work, _BLOBS)
 
 
+def hot_windows(hot: DataFrame) -> DataFrame:
+    """``h1, h2, doc, tag, at``: each window of runs of hot anchors with 128 bits of hash."""
+
+    def work(batches):
+        power, back = (p[: 2 * LENGTH] for p in _powers())
+        column = np.arange(LENGTH - GRAM + 1)
+        for batch in batches:
+            raw, offs = kernels.text_bytes(batch.column(1))
+            for i, blob in enumerate(batch.column(0)):
+                runs, text = unpack([blob.as_py()], RUN), raw[offs[i] : offs[i + 1]]
+                for lo in range(0, len(runs), 4096):
+                    own = runs[lo : lo + 4096]
+                    at, inside = own["at"].astype(np.int64)[:, None] + column, column < own["n"][:, None]
+                    place = np.minimum(own["at"].astype(np.int64)[:, None] + np.arange(2 * LENGTH), len(text) - 1)
+                    hashes = []
+                    for values in (kernels._BYTE, kernels.stream(9, 256)):
+                        sums = np.zeros((len(own), 2 * LENGTH + 1), np.uint64)
+                        np.cumsum(values[text[place]] * power, axis=1, out=sums[:, 1:])
+                        hashes.append(kernels.mix((sums[:, column + LENGTH] - sums[:, column]) * back[column])[inside])
+                    n = own["n"]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(h.view(np.int64)) for h in hashes), pa.array(np.repeat(own["doc"], n)), pa.array(np.repeat(own["tag"], n)), pa.array(at[inside])],
+                        ["h1", "h2", "doc", "tag", "at"],
+                    )
+
+    return hot.select("data", "text").mapInArrow(work, "h1 long, h2 long, doc long, tag int, at long")
+
+
+def resolve_hot(hot: DataFrame, buckets: int) -> DataFrame:
+    """Covered stretches of hot anchors' runs; no task holds an anchor."""
+
+    def work(batches):
+        for batch in batches:
+            own = np.empty(len(batch), COVER)
+            own["doc"], own["tag"], own["at"] = (batch.column(k).to_numpy() for k in range(3))
+            own["end"] = own["at"] + LENGTH
+            yield _blobs([(b, "cover", pack(r)) for b, r in by_document(merge(own), buckets)])
+
+    windows, place = hot_windows(hot), F.struct("doc", "tag", "at")
+    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return windows.join(first, ["h1", "h2"]).where(place > F.col("first")).select("doc", "tag", "at").mapInArrow(work, _BLOBS)
+
+
 def repeated_stretches(rows: DataFrame) -> DataFrame:
     """``doc, tag, data``: merged covered stretches of each document that has any."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-size // BUCKET_BYTES))
     found = cut(resolve_runs(anchor_blobs(rows, buckets), buckets))
     # an open blob holds 8 bytes and RUN.itemsize bytes a run
-    n_open = found.where("kind = 'open'").agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    if not n_open:
-        return per_document(found, "cover", COVER)
-    opened = per_document(found, "open", RUN).join(rows, ["doc", "tag"])
-    sorts = max(8, -(-n_open // (RUN.itemsize * OPEN_PER_BUCKET)))
-    more = resolve_open(open_contexts(opened, sorts), buckets)
-    return per_document(found.where("kind = 'cover'").unionAll(more), "cover", COVER)
+    sizes = found.where("kind <> 'cover'").groupBy("kind").agg(F.sum(F.octet_length("data")).alias("n"))
+    sizes = {r["kind"]: r["n"] for r in sizes.collect()}  # at most two rows
+    cover = found.where("kind = 'cover'")
+    if "open" in sizes:
+        opened = per_document(found, "open", RUN).join(rows, ["doc", "tag"])
+        sorts = max(8, -(-sizes["open"] // (RUN.itemsize * OPEN_PER_BUCKET)))
+        cover = cover.unionAll(resolve_open(open_contexts(opened, sorts), buckets))
+    if "hot" in sizes:
+        cover = cover.unionAll(resolve_hot(per_document(found, "hot", RUN).join(rows, ["doc", "tag"]), buckets))
+    return per_document(cover, "cover", COVER)
 
 
 def cut_out(rows: DataFrame) -> DataFrame:

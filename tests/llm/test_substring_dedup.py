@@ -47,6 +47,21 @@ def test_against_all_windows(docs_of, monkeypatch):
     assert sum(e[1] > 0 for e in expected.values()) > 20
 
 
+def test_hot_anchors_are_not_brought_together(docs_of, monkeypatch):
+    """A passage in all documents with other neighbours in each: its anchors go by windows, with the same result."""
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    hot, split = [], substring_dedup.resolve_hot
+    monkeypatch.setattr(substring_dedup, "resolve_hot", lambda runs, buckets: hot.append(runs.count()) or split(runs, buckets))
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = say(300)
+    docs = [(i, say(rng.randint(0, 150)) + shared + say(rng.randint(0, 150))) for i in range(60)] + [(1000 + i, t) for i, t in passages(3)]
+    expected = repeated_bytes(docs)
+    rows = substring_dedup.remove_repeats(docs_of(docs, 5)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == {i: e[:4] for i, e in expected.items()}
+    assert hot[0] >= 60
+
+
 def test_odd_rows(odd, none):
     rows = substring_dedup.remove_repeats(odd).collect()
     assert len(rows) == 11 and substring_dedup.remove_repeats(none).count() == 0
