@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embedlens.llm import chat_format, cotraining, decision_list, decontaminate, language_id, near_dedup, packing, site_tree, substring_dedup, toxicity
+from embedlens.llm import chat_format, cotraining, decision_list, decontaminate, language_id, near_dedup, packing, site_tree, spelling, substring_dedup, toxicity, vantage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -90,6 +98,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
@@ -110,4 +120,47 @@ ORACLE: dict[str, str] = {
             regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'tool' THEN 't' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text), 's?ua([ut]a)*') AS valid
         FROM safe GROUP BY conv_id
     """,
+    "op12_nearest_neighbours": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), near AS (
+            SELECT q.vec_id AS query_id, c.vec_id, min(sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b))) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0 GROUP BY ALL
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM near QUALIFY rank <= 10
+    """,
+    # crc32 over the bytes by its table (made from the polynomial); near words meet at a common word less one code point
+    "op13_spelling_variants": """
+        WITH crc AS (
+            SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t
+        ), runs AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+        ), counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+        hashed AS (
+            SELECT run, n, xor(4294967295, list_reduce(
+                flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [(192 + (ord(c) >> 6))::BIGINT, (128 + (ord(c) & 63))::BIGINT] END)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS h
+            FROM counted, crc
+        ), words AS (
+            SELECT word, sum(n)::BIGINT AS n FROM (
+                SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed
+            ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+        ), less AS (SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, unnest(range(length(word))) r(i)),
+        near AS (
+            SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+            UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS near, max(n) AS near_n FROM near GROUP BY word
+        ), judged AS (
+            SELECT word, CASE WHEN near_n >= 10 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)
+        ), chain AS (
+            WITH RECURSIVE c AS (
+                SELECT word, form AS root FROM judged WHERE form IS NOT NULL
+                UNION ALL SELECT c.word, j.form FROM c JOIN judged j ON j.word = c.root WHERE j.form IS NOT NULL
+            ) SELECT word, root FROM c WHERE root IN (SELECT word FROM judged WHERE form IS NULL)
+        )
+        SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM judged LEFT JOIN chain USING (word)
+    """,
 }

@@ -1,7 +1,9 @@
 """Brute-force versions that share no code with the operators."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +78,66 @@ def lcs(a, b):
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
     return row[-1]
+
+
+# ---------------------------------------------------------------- spelling variants
+
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def spelling_words(docs):
+    """word -> occurrences, from (doc_id, text)."""
+    seen = Counter()
+    for i, text in docs:
+        for run in RUN.findall(text or ""):
+            run = lower_ascii(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            seen[run] += 1
+    return {w: n for w, n in seen.items() if len(w) >= 7 and n >= 2}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spelling_rows(docs):
+    """word -> (form, root, n, n_near, form_n), comparing all pairs of words."""
+    words = spelling_words(docs)
+    near = {w: [v for v in words if one_edit(w, v)] for w in words}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= 10 * words[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), n, len(near[w]), words[form[w]] if form[w] else None) for w, n in words.items()}
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+
+def nearest_rows(rows, asked, k=10):
+    """query -> [(id, distance)], from (id, vector) rows, by comparing all."""
+    good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for q in {i for i, _ in good if asked(i)}:
+        far = {}
+        for i, v in good:
+            for own, w in good:
+                if own == q and i != q and len(v) == len(w):
+                    far[i] = min(far.get(i, math.inf), math.dist(v, w))
+        out[q] = sorted(far.items(), key=lambda e: (e[1], e[0]))[:k]
+    return out
