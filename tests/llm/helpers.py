@@ -141,3 +141,35 @@ def nearest_rows(rows, asked, k=10):
                     far[i] = min(far.get(i, math.inf), math.dist(v, w))
         out[q] = sorted(far.items(), key=lambda e: (e[1], e[0]))[:k]
     return out
+
+
+# ---------------------------------------------------------------- phrases
+
+
+def phrase_rows(docs, least=10, cover=50, first=2000):
+    """(lang, rank, phrase, a, l, r, n, score) from (text, lang), counting every phrase by itself."""
+    count, total = Counter(), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", lower_ascii(text)):
+            words = re.findall("[^ \t]+", piece)
+            total[lang] += len(words)
+            for size in (1, 2, 3):
+                for i in range(len(words) - size + 1):
+                    count[lang, tuple(words[i : i + size])] += 1
+    chosen = {key: a for key, a in count.items() if len(key[1]) > 1 and a >= least}
+    covered = set()
+    for (lang, words), a in chosen.items():
+        if len(words) == 3:
+            covered |= {(lang, part) for part in (words[:2], words[1:]) if 100 * a >= cover * count[lang, part]}
+    out = {}
+    for (lang, words), a in chosen.items():
+        if (lang, words) in covered:
+            continue
+        cuts = [(count[lang, words[:k]], count[lang, words[k:]]) for k in range(1, len(words))]
+        score, _, l, r = min((10**6 * a * a // (l * r), k, l, r) for k, (l, r) in enumerate(cuts))
+        out.setdefault(lang, []).append((-score, -a, " ".join(words).encode(), l, r))
+    return [
+        (lang, i + 1, phrase.decode(), -a, l, r, total[lang], -score)
+        for lang, rows in out.items() for i, (score, a, phrase, l, r) in enumerate(sorted(rows)[:first])
+    ]
