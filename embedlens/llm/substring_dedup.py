@@ -19,7 +19,7 @@ marks its bytes as removed.
 Buckets are as many as the size of the input asks for. A passage that a third of all documents share costs a bucket one
 entry per map batch, plus one per distinct run at its two ends. Null text counts as empty, null doc_id as the smallest
 id. Rows of one doc_id and one text count once, and each gets the result; other texts under the same doc_id count as
-other documents, ordered by a hash of the text. Extra columns are ignored.
+other documents, told apart and ordered by 128 bits of hash of the text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,9 +42,11 @@ HOT = 60_000
 _SPAN = 1 << 18
 _NULL_ID = -(1 << 63)
 
-#: doc_id, text tag, first start, number of starts, anchor's place, gram hash, run hash
-RUN = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("at", "<u4"), ("n", "u1"), ("off", "u1"), ("gram", "<u8"), ("run", "<u8")])
-COVER = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("at", "<u4"), ("end", "<u4")])
+#: doc_id, 128-bit text key, first start, number of starts, anchor's place, gram hash, run hash
+RUN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("tag2", "<i8"), ("at", "<u4"), ("n", "u1"), ("off", "u1"), ("gram", "<u8"), ("run", "<u8")])
+#: a document is a doc_id and a text; texts of one doc_id are told apart, and ordered, by 128 bits of hash
+KEY = ["doc", "tag", "tag2"]
+COVER = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("tag2", "<i8"), ("at", "<u4"), ("end", "<u4")])
 
 
 def pack(rows: np.ndarray) -> bytes:
@@ -107,30 +109,40 @@ def anchored_runs(data: np.ndarray, offs: np.ndarray, power: np.ndarray, back: n
     return [np.concatenate(c) for c in zip(*out)]
 
 
+def _order(rows: np.ndarray) -> list[np.ndarray]:
+    """Sort keys of documents, least significant first."""
+    return [rows[c] for c in reversed(KEY)]
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a["doc"] != b["doc"]) | (a["tag"] != b["tag"]) | (a["tag2"] != b["tag2"])
+
+
 def split_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs in order of (gram, run, place); True for those that are the earliest of their kind or at its place."""
-    rows = rows[np.lexsort((rows["at"], rows["tag"], rows["doc"], rows["run"], rows["gram"]))]
+    rows = rows[np.lexsort((rows["at"], *_order(rows), rows["run"], rows["gram"]))]
     new = np.ones(len(rows), bool)
     if len(rows):
         new[1:] = (rows["run"][1:] != rows["run"][:-1]) | (rows["gram"][1:] != rows["gram"][:-1])
     lead = rows[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(rows) else rows
-    earliest = (rows["doc"] == lead["doc"]) & (rows["tag"] == lead["tag"]) & (rows["at"] == lead["at"])
+    earliest = ~_differ(rows, lead) & (rows["at"] == lead["at"])
     return rows, new, earliest
 
 
 def covers(rows: np.ndarray) -> np.ndarray:
     out = np.empty(len(rows), COVER)
-    out["doc"], out["tag"], out["at"] = rows["doc"], rows["tag"], rows["at"]
+    for c in (*KEY, "at"):
+        out[c] = rows[c]
     out["end"] = rows["at"].astype(np.int64) + rows["n"] - 1 + LENGTH
     return out
 
 
 def merge(rows: np.ndarray) -> np.ndarray:
     """Stretches of each document that overlap or touch, joined."""
-    rows = rows[np.lexsort((rows["at"], rows["tag"], rows["doc"]))]
+    rows = rows[np.lexsort((rows["at"], *_order(rows)))]
     if len(rows) < 2:
         return rows
-    other = (rows["doc"][1:] != rows["doc"][:-1]) | (rows["tag"][1:] != rows["tag"][:-1])
+    other = _differ(rows[1:], rows[:-1])
     group = np.append(0, np.cumsum(other))
     reach = np.maximum.accumulate(rows["end"].astype(np.int64) + group * (1 << 33)) - group * (1 << 33)
     new = np.append(True, other | (rows["at"][1:] > reach[:-1]))
@@ -141,8 +153,8 @@ def merge(rows: np.ndarray) -> np.ndarray:
 
 
 def by_document(rows: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """Rows by the bucket of their document."""
-    key = kernels.mix(rows["doc"].astype(np.uint64)) % np.uint64(buckets)
+    """Rows by the bucket of their document; texts of one doc_id go to different ones."""
+    key = kernels.mix(rows["doc"].astype(np.uint64) ^ rows["tag"].astype(np.uint64)) % np.uint64(buckets)
     return by_bucket(rows, key, buckets)
 
 
@@ -167,12 +179,13 @@ def _take(table: pa.Table, kind: str, dtype: np.dtype) -> np.ndarray:
 
 
 def documents(docs: DataFrame, *keep: str) -> DataFrame:
-    """``row`` (the columns to keep but for text, and whether text is null), ``doc``, ``tag`` (which of the texts of a doc_id) and ``text``."""
+    """``row`` (the columns to keep but for text, and whether text is null), ``doc``, ``tag``, ``tag2`` (which of the texts of a doc_id) and ``text``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.struct(F.struct(F.col("doc_id"), *(F.col(f"`{c}`") for c in keep if c not in ("doc_id", "text"))).alias("own"), F.col("text").isNull().alias("absent")).alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"),
-        F.hash(text).alias("tag"),
+        F.xxhash64(text).alias("tag"),
+        F.xxhash64(F.lit(1), text).alias("tag2"),
         text.alias("text"),
     )
 
@@ -183,12 +196,13 @@ def anchor_blobs(rows: DataFrame, buckets: int) -> DataFrame:
     def work(batches):
         power, back = _powers()
         for batch in batches:
-            doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key = [batch.column(i).to_numpy() for i in range(3)]
             parts = []
-            for lo, _, data, offs in kernels.slices(batch.column(2)):
+            for lo, _, data, offs in kernels.slices(batch.column(3)):
                 text, at, n, off, gram, run = anchored_runs(data, offs, power, back)
                 got = np.empty(len(at), RUN)
-                got["doc"], got["tag"] = doc[lo + text], tag[lo + text]
+                for c, values in zip(KEY, key):
+                    got[c] = values[lo + text]
                 got["at"], got["n"], got["off"], got["gram"], got["run"] = at, n, off, gram, run
                 parts.append(got)
             runs, new, earliest = split_equal(np.concatenate(parts) if parts else np.empty(0, RUN))
@@ -198,7 +212,7 @@ def anchor_blobs(rows: DataFrame, buckets: int) -> DataFrame:
                 out += [(b, "cover", pack(r)) for b, r in by_document(merge(covers(own)), buckets)]
             yield _blobs(out)
 
-    return rows.select("doc", "tag", "text").mapInArrow(work, _BLOBS)
+    return rows.select(*KEY, "text").mapInArrow(work, _BLOBS)
 
 
 def resolve_runs(blobs: DataFrame, buckets: int) -> DataFrame:
@@ -229,18 +243,18 @@ def resolve_runs(blobs: DataFrame, buckets: int) -> DataFrame:
 
 
 def per_document(blobs: DataFrame, kind: str, dtype: np.dtype) -> DataFrame:
-    """``doc, tag, data``: the rows of each document in one blob; stretches are merged."""
+    """``doc, tag, tag2, data``: the rows of each document in one blob; stretches are merged."""
 
     def work(table: pa.Table) -> pa.Table:
         rows = _take(table, kind, dtype)
-        rows = merge(rows) if dtype == COVER else rows[np.lexsort((rows["at"], rows["tag"], rows["doc"]))]
-        new = np.append(True, (rows["doc"][1:] != rows["doc"][:-1]) | (rows["tag"][1:] != rows["tag"][:-1]))[: len(rows)]
+        rows = merge(rows) if dtype == COVER else rows[np.lexsort((rows["at"], *_order(rows)))]
+        new = np.append(True, _differ(rows[1:], rows[:-1]))[: len(rows)]
         cuts = np.append(np.flatnonzero(new), len(rows))
         first = rows[cuts[:-1]]
         data = [pack(rows[a:b]) for a, b in zip(cuts, cuts[1:])]
-        return pa.table({"doc": pa.array(first["doc"]), "tag": pa.array(first["tag"]), "data": pa.array(data, pa.binary())})
+        return pa.table({c: pa.array(first[c]) for c in KEY} | {"data": pa.array(data, pa.binary())})
 
-    return blobs.where(F.col("kind") == kind).groupBy("bucket").applyInArrow(work, "doc long, tag int, data binary")
+    return blobs.where(F.col("kind") == kind).groupBy("bucket").applyInArrow(work, "doc long, tag long, tag2 long, data binary")
 
 
 def open_contexts(open_: DataFrame, buckets: int) -> DataFrame:
@@ -289,7 +303,7 @@ def covered_windows(runs: np.ndarray, pieces: np.ndarray) -> np.ndarray:
         order = deep_shallow_order(rows, lens)
         classes.append((order, neighbour_lcp(rows, lens, order)))
     spot = runs["at"].astype(np.int64) + off
-    _, rank = np.unique(np.rec.fromarrays([runs["doc"], runs["tag"], spot]), return_inverse=True)
+    _, rank = np.unique(np.rec.fromarrays([*(runs[c] for c in KEY), spot]), return_inverse=True)
     hit = np.zeros((n, LENGTH - GRAM + 1), bool)
     for o in range(LENGTH - GRAM + 1):
         own = np.flatnonzero((o <= off) & (o > off - runs["n"]))
@@ -310,7 +324,8 @@ def covered_windows(runs: np.ndarray, pieces: np.ndarray) -> np.ndarray:
     row, low = np.nonzero(edge == 1)
     high = np.nonzero(edge == -1)[1] - 1
     out = np.empty(len(row), COVER)
-    out["doc"], out["tag"] = runs["doc"][row], runs["tag"][row]
+    for c in KEY:
+        out[c] = runs[c][row]
     out["at"], out["end"] = spot[row] - high, spot[row] - low + LENGTH
     return out
 
@@ -325,7 +340,7 @@ def resolve_open(contexts: DataFrame, buckets: int) -> DataFrame:
 
 
 def hot_windows(hot: DataFrame) -> DataFrame:
-    """``h1, h2, doc, tag, at``: each window of runs of hot anchors with 128 bits of hash."""
+    """``h1, h2, doc, tag, tag2, at``: each window of runs of hot anchors with 128 bits of hash."""
 
     def work(batches):
         power, back = (p[: 2 * LENGTH] for p in _powers())
@@ -345,11 +360,11 @@ def hot_windows(hot: DataFrame) -> DataFrame:
                         hashes.append(kernels.mix((sums[:, column + LENGTH] - sums[:, column]) * back[column])[inside])
                     n = own["n"]
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(h.view(np.int64)) for h in hashes), pa.array(np.repeat(own["doc"], n)), pa.array(np.repeat(own["tag"], n)), pa.array(at[inside])],
-                        ["h1", "h2", "doc", "tag", "at"],
+                        [*(pa.array(h.view(np.int64)) for h in hashes), *(pa.array(np.repeat(own[c], n)) for c in KEY), pa.array(at[inside])],
+                        ["h1", "h2", *KEY, "at"],
                     )
 
-    return hot.select("data", "text").mapInArrow(work, "h1 long, h2 long, doc long, tag int, at long")
+    return hot.select("data", "text").mapInArrow(work, "h1 long, h2 long, doc long, tag long, tag2 long, at long")
 
 
 def resolve_hot(hot: DataFrame, buckets: int) -> DataFrame:
@@ -358,17 +373,18 @@ def resolve_hot(hot: DataFrame, buckets: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             own = np.empty(len(batch), COVER)
-            own["doc"], own["tag"], own["at"] = (batch.column(k).to_numpy() for k in range(3))
+            for k, c in enumerate([*KEY, "at"]):
+                own[c] = batch.column(k).to_numpy()
             own["end"] = own["at"] + LENGTH
             yield _blobs([(b, "cover", pack(r)) for b, r in by_document(merge(own), buckets)])
 
-    windows, place = hot_windows(hot), F.struct("doc", "tag", "at")
+    windows, place = hot_windows(hot), F.struct(*KEY, "at")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return windows.join(first, ["h1", "h2"]).where(place > F.col("first")).select("doc", "tag", "at").mapInArrow(work, _BLOBS)
+    return windows.join(first, ["h1", "h2"]).where(place > F.col("first")).select(*KEY, "at").mapInArrow(work, _BLOBS)
 
 
 def repeated_stretches(rows: DataFrame) -> DataFrame:
-    """``doc, tag, data``: merged covered stretches of each document that has any."""
+    """``doc, tag, tag2, data``: merged covered stretches of each document that has any."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-size // BUCKET_BYTES))
     found = cut(resolve_runs(anchor_blobs(rows, buckets), buckets))
@@ -377,11 +393,11 @@ def repeated_stretches(rows: DataFrame) -> DataFrame:
     sizes = {r["kind"]: r["n"] for r in sizes.collect()}  # at most two rows
     cover = found.where("kind = 'cover'")
     if "open" in sizes:
-        opened = per_document(found, "open", RUN).join(rows, ["doc", "tag"])
+        opened = per_document(found, "open", RUN).join(rows, KEY)
         sorts = max(8, -(-sizes["open"] // (RUN.itemsize * OPEN_PER_BUCKET)))
         cover = cover.unionAll(resolve_open(open_contexts(opened, sorts), buckets))
     if "hot" in sizes:
-        cover = cover.unionAll(resolve_hot(per_document(found, "hot", RUN).join(rows, ["doc", "tag"]), buckets))
+        cover = cover.unionAll(resolve_hot(per_document(found, "hot", RUN).join(rows, KEY), buckets))
     return per_document(cover, "cover", COVER)
 
 
@@ -420,7 +436,7 @@ def cut_out(rows: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, *keep: str) -> DataFrame:
     """A row per row of ``docs``: columns ``keep`` (doc_id), sizes, removed bytes and runs, digest of what stays, the text that stays."""
     rows = documents(docs, *keep)
-    out = cut_out(rows.join(repeated_stretches(rows), ["doc", "tag"], "left"))
+    out = cut_out(rows.join(repeated_stretches(rows), KEY, "left"))
     return out.select("row.own.*", *(F.col(c) for c in out.columns[1:]))
 
 
@@ -429,7 +445,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A null text stays null."""
     rows = documents(docs, *docs.columns)
-    out = cut_out(rows.join(repeated_stretches(rows), ["doc", "tag"], "left"))
+    out = cut_out(rows.join(repeated_stretches(rows), KEY, "left"))
     text = F.when(~F.col("row.absent"), F.col("kept"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return out.select(*(new[c].alias(c) if c in new else F.col(f"row.own.`{c}`") for c in docs.columns))

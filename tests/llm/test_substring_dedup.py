@@ -70,3 +70,20 @@ def test_odd_rows(odd, none):
     assert by[4].n_removed > 100_000  # the text has a period of 997 words
     left = substring_dedup.without_repeats(odd)
     assert left.columns == odd.columns and left.where("text IS NULL").count() == 2
+
+
+def test_many_texts_under_null_ids(spark):
+    """Texts of null ids with equal 32-bit hashes and different lengths, among hundreds of thousands: each is a document of its own."""
+    from pyspark.sql import functions as F
+
+    text = F.concat(F.repeat(F.sha2(F.col("id").cast("string"), 256), F.lit(2)), F.repeat(F.lit("z"), F.pmod("id", F.lit(50)).cast("int")))
+    rows = spark.range(300_000).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
+    twins = rows.groupBy(F.hash("text").alias("h")).agg(F.collect_set("text").alias("texts")).where(F.size("texts") > 1).collect()
+    assert any(len({len(t) for t in r.texts}) > 1 for r in twins)
+    got = substring_dedup.remove_repeats(rows)
+    assert got.where("n_removed > 0").count() == 0
+    # copies of the twins under an id of their own are cut, whichever text came first
+    some = [t for r in twins for t in r.texts]
+    more = rows.unionByName(spark.createDataFrame([(7, t) for t in some], "doc_id long, text string"))
+    cut = {(r.n_bytes, r.n_removed) for r in substring_dedup.remove_repeats(more).where("doc_id = 7").select("n_bytes", "n_removed").collect()}
+    assert cut and all(a == b for a, b in cut)
