@@ -1,10 +1,12 @@
-"""Connected components by alternating star contraction.
+"""Connected components by alternating star contraction with split hubs.
 
 Each round replaces links by links to the smallest neighbour, first for larger then for smaller
-neighbours, until nothing changes; rounds grow with the logarithm of the longest chain. Every step
-is a grouped minimum (combined before the shuffle) and an equi-join with one row per node, so a hub
-with a third of all links is a skewed join side that adaptive execution splits, never one collected
-group. Each round is checkpointed.
+neighbours, until nothing changes; rounds grow with the logarithm of the longest chain. The smallest
+neighbour of a node is a grouped minimum: partial minima per task, then one per node. Bringing it back to the
+node's links is a join on the node. A node with more than one in ``HUBS`` of all links is a hub: there are fewer than
+``HUBS`` of them whatever the data, so their minima are broadcast and their links stay where they are. Of the
+other nodes none holds more than a ``HUBS``-th of the links, so the join is dealt evenly. Each round is
+checkpointed.
 """
 
 from __future__ import annotations
@@ -14,18 +16,30 @@ from pyspark.sql import functions as F
 
 from embedlens.session import cut
 
+HUBS = 1000
 
-def _large_star(links: DataFrame) -> DataFrame:
+
+def with_least(rows: DataFrame, n: int, hubs: int = HUBS) -> DataFrame:
+    """``rows`` (u, v), ``n`` of them at most, with ``m``: the smallest v of each u."""
+    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
+    most = max(1, n // hubs)
+    heavy = F.broadcast(low.where(F.col("links") > most).select("u", "m"))  # fewer than n / most rows
+    split = rows.join(heavy, "u")
+    even = rows.join(heavy.select("u"), "u", "left_anti").join(low.where(F.col("links") <= most).select("u", "m"), "u")
+    return split.unionByName(even)
+
+
+def _large_star(links: DataFrame, n: int, hubs: int) -> DataFrame:
     both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    linked = with_least(both, 2 * n, hubs).where("v > u")
+    return linked.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int, hubs: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    linked = with_least(down, n, hubs)
+    # the smallest neighbour itself keeps its link to the node; every other one is linked to it
+    return linked.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _state(links: DataFrame):
@@ -34,13 +48,14 @@ def _state(links: DataFrame):
     ).first()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", hubs: int = HUBS) -> DataFrame:
     """``(id, component)`` for every id that occurs in a link; component = its smallest id."""
     now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = cut(now)
     seen = _state(now)
     while True:
-        now = cut(_small_star(_large_star(now)))
+        n = seen["n"]  # each larger neighbour of a node gives one link: stars never have more than they are made of
+        now = cut(_small_star(_large_star(now, n, hubs), n, hubs))
         state = _state(now)
         if state == seen:
             break

@@ -1,5 +1,6 @@
 """Orphans, duplicates, contradictions, staleness and chunks."""
 
+import random
 from datetime import datetime, timedelta, timezone
 from itertools import combinations
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from embedlens.operators import chunks, duplicates, orphans, staleness
+from embedlens.operators.components import components
 from embedlens.operators.contradictions import Contradictions
 from embedlens.plans import reports as R
 from embedlens.sources.collections import Collection
@@ -193,3 +195,50 @@ def test_content_field_choice(spark):
 def test_timestamp_field_choice(spark):
     c = Collection(spark.createDataFrame([(1, None, "soon", "17")], "id int, vector array<double>, created_at string, date string"), ("created_at", "date"))
     assert staleness.timestamp_field(c) == "date"
+
+
+def _linked(spark, pairs):
+    return spark.createDataFrame(pairs, "a long, b long").repartition(4)
+
+
+def _brute_components(pairs):
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in list(root)}
+
+
+@pytest.mark.parametrize("hubs", [1000, 3, 1])
+def test_components_of_stars_chains_and_rings(spark, hubs):
+    rng = random.Random(2)
+    pairs = [(500, i) for i in range(501, 560)] + [(i, 499) for i in range(600, 640)] + [(i, i + 1) for i in range(40)]
+    pairs += [(700 + i, 700 + (i + 1) % 9) for i in range(9)] + [(800, 800)] + [(rng.randrange(900, 960), rng.randrange(900, 960)) for _ in range(40)]
+    got = {r.id: r.component for r in components(_linked(spark, pairs), hubs=hubs).collect()}
+    assert got == _brute_components([p for p in pairs if p[0] != p[1]])
+
+
+def test_a_hub_with_a_third_of_all_links_is_spread(spark):
+    """Links of a hub stay in the partitions they are in: none holds more than its share."""
+    from embedlens.operators.components import with_least
+
+    hub = spark.range(3000).select(F.lit(10**9).alias("u"), (F.col("id") + 5).alias("v"))
+    rest = spark.range(6000).select((F.col("id") % 2900).alias("u"), (F.col("id") * 7 % 2900 + 10).alias("v"))
+    rows = hub.unionByName(rest).repartition(16, "v").cache()
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = with_least(rows, 9000)
+        sizes = [r["count"] for r in out.where("u = 1000000000").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 3000 and max(sizes) < 400 and len(sizes) == 16
+        assert out.where("u = 1000000000").select("m").distinct().collect() == [(5,)]
+        assert out.count() == 9000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        rows.unpersist()
