@@ -7,14 +7,15 @@ edges to ``END`` included (the piece-end correction), and how often a word occur
 
 On Spark. Edges are combined within slices of a task and dealt by node. The rows of a partition arrive sorted and are summed as they pass: edges and
 nodes of at least ``least`` occurrences and partial sums of words are all that leaves. Nodes that hold a large share of a
-bounded sample of documents are dealt by edge instead and their flows summed afterwards; this moves work, results are the same.
+bounded sample of documents are dealt by edge instead and their flows summed afterwards, and the sample's most frequent words get short
+numbers, which take less room in the shuffle; results do not depend on the sample.
 
 A node is unary if all its occurrences come by one edge and leave by one, so both weigh as much as the node. Edges that meet in unary nodes
 are compacted into paths: longest word sequences of one weight. They are found by pointer doubling over the frequent edges. Inside a path
 every pair occurs as often as the path; only pairs at its ends need their node's flow.
 
-Words are 64-bit hashes of language and word until the end; the hash is checked against the words themselves and
-the count starts anew with another seed should two of them share one.
+All other words are 64-bit hashes of language and word until the end; hashes are checked against the words themselves and
+the count starts anew with another seed should two of them share one. Languages with a NUL character are not told from their beginnings.
 
 Null or empty text: no words. Null language: ``und``. Repeated rows count again. Other columns are ignored. Texts and pieces of any length.
 """
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ LEAST, COVER, FIRST = 10, 50, 2000
 SLICE_BYTES = 8_000_000  # text whose edges are combined at a time
 SAMPLE_ROWS, HOT_SHARE, SALTS = 2000, 0.002, 64
 END = 0
+CODES = 1 << 16  # numbers below are kept for the most frequent words of the sample
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _GAPS = b" \t"
 
@@ -83,17 +86,35 @@ def combined(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray | None =
 def _hashes(data, starts, ends, text, langs, seed) -> np.ndarray:
     salt = kernels.mix(langs[text] + np.uint64(seed))
     words = kernels.mix(kernels.hash_runs(data, starts, ends) ^ salt)
-    words[words == END] = 1
+    words[words < CODES] += np.uint64(1 << 63)
     return words
 
 
-def _edge_rows(docs: DataFrame, seed: int, hot: list[tuple[int, int]]) -> DataFrame:
-    """``a, b, c, n, salt, lang, word``: combined edges of slices; each word's text once a slice, with n 0."""
+def _names(langs: pa.Array, words: pa.Array) -> pa.Array:
+    """Language and word in one text; languages hold no NUL before a word."""
+    return pc.binary_join_element_wise(langs.cast(pa.string()), words.cast(pa.string()), "\0")
+
+
+def _edge_rows(docs: DataFrame, seed: int, common: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """``a, b, c, n, salt, name``: combined edges of slices; each word's name once a task, with n 0.
+
+    ``common``: hashes of words that get short numbers, their places here. ``hot``: nodes dealt by edge. The empty word of a language
+    stands for all its words: n words."""
     held = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     rows = held.select("lang", "text", F.xxhash64("lang").alias("code")).where("text IS NOT NULL")
-    hot_a, hot_b = (np.array([h[i] for h in hot], np.int64) for i in (0, 1))
+    order = np.argsort(common)
+    known = common[order]
+
+    def numbered(words):
+        if not len(known):
+            return words
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        return np.where(known[at] == words, (order[at] + 1).astype(np.uint64), words)
+
+    hot_a, hot_b = (numbered(hot[:, i].view(np.uint64)).view(np.int64) for i in (0, 1))
 
     def work(batches):
+        seen = np.zeros(0, np.uint64)  # names this task has sent
         for batch in batches:
             for lo, hi, data, offs in kernels.slices(batch.column(1), SLICE_BYTES):
                 data = kernels.lower_ascii(data)
@@ -101,53 +122,63 @@ def _edge_rows(docs: DataFrame, seed: int, hot: list[tuple[int, int]]) -> DataFr
                 if not len(starts):
                     continue
                 langs = batch.column(2).slice(lo, hi - lo).to_numpy().view(np.uint64)
-                words = _hashes(data, starts, ends, text, langs, seed).view(np.int64)
+                hashed = _hashes(data, starts, ends, text, langs, seed)
+                words = numbered(hashed).view(np.int64)
                 a, b, c, n, _ = combined(*edges(words, piece))
                 salt = np.zeros(len(a), np.int32)
                 for x, y in zip(hot_a, hot_b):
                     own = slice(*np.searchsorted(a, [x, x + 1]))
                     salt[own] = np.where(b[own] == y, 1 + (c[own] & (SALTS - 1)), salt[own])
-                second = kernels.hash_runs(data ^ np.uint8(0x5A), starts, ends)  # tells words of one hash apart
-                order = np.lexsort((second, words))
-                new = np.ones(len(order), bool)
-                new[1:] = (words[order[1:]] != words[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
-                at = order[new]
+                yield _edge_batch(a, b, c, n, salt, pa.nulls(len(a), pa.string()))
+                # words new to this task, and words of one hash told apart by another
+                second = kernels.hash_runs(data ^ np.uint8(0x5A), starts, ends)
+                both = kernels.mix(hashed + second)
+                _, at = np.unique(both, return_index=True)
+                at = at[~np.isin(both[at], seen)]
+                seen = np.union1d(seen, both[at])
                 raw = data.tobytes()
-                names = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-                own_langs = batch.column(0).slice(lo, hi - lo).take(pa.array(text[at]))
+                texts = pa.array([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())], pa.binary())
+                own = batch.column(0).slice(lo, hi - lo)
                 zero = np.zeros(len(at), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(b), pa.array(c), pa.array(n), pa.array(salt), pa.nulls(len(a), pa.string()), pa.nulls(len(a), pa.string())], _EDGE
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words[at]), pa.array(zero), pa.array(zero), pa.array(zero), pa.array(zero.astype(np.int32)), own_langs.cast(pa.string()), pa.array(names, pa.binary()).cast(pa.string())],
-                    _EDGE,
-                )
+                yield _edge_batch(words[at], zero, zero, zero, zero.astype(np.int32), _names(own.take(pa.array(text[at])), texts))
+                first, count = np.unique(langs[text], return_counts=True)
+                at = np.array([int(np.flatnonzero(langs == x)[0]) for x in first])
+                zero = np.zeros(len(at), np.int64)
+                empty = pa.array([b""] * len(at), pa.binary())
+                whole = kernels.mix(first ^ np.uint64(0xA5A5A5A5)) | np.uint64(1 << 63)
+                yield _edge_batch(whole.view(np.int64), zero, zero, count.astype(np.int64), zero.astype(np.int32), _names(own.take(pa.array(at)), empty))
+
+    return rows.mapInArrow(work, "a long, b long, c long, n long, salt int, name string")
+
+
+_EDGE = ["a", "b", "c", "n", "salt", "name"]
 
-    return rows.mapInArrow(work, "a long, b long, c long, n long, salt int, lang string, word string")
 
+def _edge_batch(a, b, c, n, salt, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (a, b, c, n, salt)), names], _EDGE)
 
-_EDGE = ["a", "b", "c", "n", "salt", "lang", "word"]
 
+def _sampled(docs: DataFrame, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words, and the nodes that hold more than ``HOT_SHARE`` of the edges, in about ``SAMPLE_ROWS`` documents chosen by hash.
 
-def _hot_nodes(docs: DataFrame, seed: int) -> list[tuple[int, int]]:
-    """Nodes that hold more than ``HOT_SHARE`` of the edges of the first ``SAMPLE_ROWS`` documents by hash (different edges
-    count once a slice). Only where they are added up depends on it."""
-    first = docs.where("text IS NOT NULL").orderBy(F.xxhash64("text")).limit(SAMPLE_ROWS)
-    rows = _edge_rows(first, seed, []).where("n > 0 AND b <> 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    rows = cut(rows)
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    return [(r.a, r.b) for r in rows.where(F.col("n") > HOT_SHARE * total).collect()]  # at most 1 / HOT_SHARE
+    Results do not depend on them: words get shorter numbers and nodes are added up elsewhere."""
+    none = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(max(1, n // SAMPLE_ROWS))) == 0)
+    rows = cut(_edge_rows(some, seed, *none).where("n > 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("edges"), F.sum("n").alias("n")))
+    total = rows.agg(F.sum("edges")).first()[0] or 0
+    hot = rows.where((F.col("b") != END) & (F.col("edges") > HOT_SHARE * total)).select("a", "b").collect()  # at most 1 / HOT_SHARE
+    common = rows.groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "a").limit(CODES - 1).toArrow()
+    return common["a"].to_numpy().view(np.uint64), np.array([(r.a, r.b) for r in hot], np.int64).reshape(-1, 2)
 
 
 # ---------------------------------------------------------------- flows
 
 
 def flows(docs: DataFrame, least: int = LEAST, seed: int = 0) -> DataFrame:
-    """``a, b, c, n, lang, word``: edges (c set) and nodes (b set, c null) of at least ``least`` occurrences, parts of flows of words (b null)
-    and their names (n = 0). Flows of hot nodes come in parts too."""
-    rows = _edge_rows(docs, seed, _hot_nodes(docs, seed))
-    dealt = rows.repartition("a", "b", "salt").sortWithinPartitions("a", "b", "salt", "c")
+    """``a, b, c, n, name, shared``: edges (c set), nodes (b set, c null) and words (b null) of at least ``least`` occurrences, and each
+    language's empty word with the number of all its words. ``shared``: more than one word has this number."""
+    dealt = _edge_rows(docs, seed, *_sampled(docs, seed)).repartition("a", "b", "salt").sortWithinPartitions("a", "b", "salt", "c")
 
     def sums(a, b, c, n, salt):
         """Rows that leave, from the rows of whole nodes."""
@@ -170,10 +201,10 @@ def flows(docs: DataFrame, least: int = LEAST, seed: int = 0) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            named = pa.Table.from_batches([batch]).filter(batch.column(6).is_valid())
+            named = pa.Table.from_batches([batch]).filter(batch.column(5).is_valid())
             if named.num_rows:
-                names = named.group_by(["a", "lang", "word"]).aggregate([])
-                yield _flow_rows(names["a"].to_numpy(), None, None, np.zeros(len(names), np.int64), names)
+                names = named.group_by(["a", "name"]).aggregate([])
+                yield _flow_rows(names["a"].to_numpy(), None, None, np.zeros(len(names), np.int64), names["name"].combine_chunks())
             cols = [np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest)]
             # the last node may go on in the next batch: its edges are summed and kept back
             last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[4] == cols[4][-1])
@@ -185,7 +216,10 @@ def flows(docs: DataFrame, least: int = LEAST, seed: int = 0) -> DataFrame:
         if len(rest[0]):
             yield from sums(*rest)
 
-    return dealt.mapInArrow(work, "a long, b long, c long, n long, lang string, word string")
+    parts = dealt.mapInArrow(work, "a long, b long, c long, n long, name string")
+    whole = parts.groupBy("a", "b", "c").agg(F.sum("n").alias("n"), F.min("name").alias("name"), F.max("name").alias("other"))
+    whole = whole.select("a", "b", "c", "n", "name", F.coalesce(F.col("name") != F.col("other"), F.lit(False)).alias("shared"))
+    return whole.where((F.col("n") >= least) | F.col("name").endswith("\0"))
 
 
 def _runs(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,28 +227,20 @@ def _runs(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.add.reduceat(n, at)
 
 
-def _flow_rows(a, b, c, n, names: pa.Table | None = None) -> pa.RecordBatch:
+def _flow_rows(a, b, c, n, names: pa.Array | None = None) -> pa.RecordBatch:
     size = len(a)
     ids = [pa.array(a), *(pa.nulls(size, pa.int64()) if x is None else pa.array(x) for x in (b, c)), pa.array(n)]
-    text = [pa.nulls(size, pa.string())] * 2 if names is None else [names[x].combine_chunks() for x in ("lang", "word")]
-    return pa.RecordBatch.from_arrays([*ids, *text], ["a", "b", "c", "n", "lang", "word"])
+    return pa.RecordBatch.from_arrays([*ids, pa.nulls(size, pa.string()) if names is None else names], ["a", "b", "c", "n", "name"])
 
 
 def graph(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges ``a, b, c, n``; nodes ``a, b, f``; words ``a, f, lang, word``: all words, edges and nodes of at least ``least``."""
+    """Edges ``a, b, c, n``; nodes ``a, b, f``; words ``a, f, lang, word``, each of at least ``least`` occurrences, and the empty words."""
     for seed in range(64):
         all_ = cut(flows(docs, least, seed))
-        names = F.struct("lang", "word")
-        words = cut(
-            all_.where("b IS NULL").groupBy("a")
-            .agg(F.sum("n").alias("f"), F.min(F.when(F.col("word").isNotNull(), names)).alias("name"), F.max(F.when(F.col("word").isNotNull(), names)).alias("other"))
-            .select("a", "f", "name.lang", "name.word", (F.col("name") != F.col("other")).alias("shared"))
-        )
-        if words.where("shared").isEmpty():
+        if all_.where("shared").isEmpty():
             break
-    edges_ = all_.where("c IS NOT NULL").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
-    nodes = all_.where("b IS NOT NULL AND c IS NULL").groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return edges_, nodes, words.drop("shared")
+    words = all_.where("b IS NULL").select("a", F.col("n").alias("f"), F.substring_index("name", "\0", 1).alias("lang"), F.expr("substring(name, locate('\\0', name) + 1)").alias("word"))
+    return all_.where("c IS NOT NULL").select("a", "b", "c", "n"), all_.where("b IS NOT NULL AND c IS NULL").select("a", "b", F.col("n").alias("f")), words
 
 
 # ---------------------------------------------------------------- paths
@@ -253,7 +279,6 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, first: int = FIRST) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's first phrases of two and three words."""
     edges_, nodes, words = graph(docs, least)
-    nodes = cut(nodes)
     strings = paths(edges_, nodes)
     size = F.size("words")
     ends = strings.select(
@@ -264,10 +289,9 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, first:
     over = ends.select(F.explode(F.array(F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")))).alias("w"), "n")
     over = over.groupBy("w.a", "w.b").agg(F.max("n").alias("over"))
     pairs = nodes.join(within, ["a", "b"], "left_anti").join(over, ["a", "b"], "left").where(F.coalesce(100 * F.col("over") < cover * F.col("f"), F.lit(True)))
-    known = words.where(F.col("f") >= least)
 
     def named(rows: DataFrame, key: str, f: str, word: str, lang: bool = False) -> DataFrame:
-        held = known.select(F.col("a").alias(key), F.col("f").alias(f), F.col("word").alias(word), *([F.col("lang")] if lang else []))
+        held = words.select(F.col("a").alias(key), F.col("f").alias(f), F.col("word").alias(word), *([F.col("lang")] if lang else []))
         return rows.join(held, key)
 
     two = named(named(pairs.select(F.col("a").alias("w1"), F.col("b").alias("w2"), F.col("f").alias("a")), "w1", "l", "t1", True), "w2", "r", "t2")
@@ -294,5 +318,5 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, first:
     some = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order))
     best = two.unionByName(three).withColumn("rank", some).where(F.col("rank") <= first)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = words.where("word = ''").select("lang", F.col("f").alias("n"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
