@@ -1,8 +1,8 @@
 """Pairs of near vectors: exact threshold pairs, exact and approximate nearest neighbours.
 
-Rows go to the cell of their nearest pivot. Pivots are a hash sample of the rows, so cells are of
-about equal size wherever the data is dense. A row is also sent to another cell only if the
-half-space between the two pivots allows a partner there; the bound is exact, so no pair is lost.
+Rows go to cells of a tree of pivots (``cells``), which is cut finer wherever the data is dense. A row is
+also sent to another cell only if the bounds on the way there allow a partner in it; the bounds are
+exact, so no pair is lost, and a row meets the cells around it, not all cells of the collection.
 Inside a cell rows are split into blocks and each pair of blocks is one Arrow group, so a group
 never holds more than two blocks however large its cell is. Only results leave a group: pairs over
 the threshold, a spanning forest of them, or the best k per row.
@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embedlens.functions import vectors as V
+from embedlens.operators import cells as C
+from embedlens.operators.cells import SLACK, PivotTree, squared as _squared, unit_rows as _unit_rows
 from embedlens.session import cut
 
 BLOCK_ROWS = 4096  # rows of a block: larger blocks mean fewer copies of each row
 SLICE_ROWS = 512  # rows of a block compared at a time
 CELL_ROWS = 8192
-MAX_PIVOTS = 4096
 BROADCAST_BYTES = 64 << 20  # largest matrix shipped to every task
-SLACK = 1e-9  # widens pruning bounds against rounding; results are re-checked exactly
 
 
 # ---------------------------------------------------------------- rows as matrices
@@ -52,11 +52,6 @@ def ids_of(column) -> np.ndarray:
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(d, 0.0)
-
-
 def _slices(n: int):
     for start in range(0, n, SLICE_ROWS):
         yield start, min(n, start + SLICE_ROWS)
@@ -129,9 +124,8 @@ class Plan:
     n: int
     dims: int
     block_rows: int
-    pivots: np.ndarray | None = None
+    tree: PivotTree | None = None
     unit: bool = False  # cells are cut by direction: rows are scaled to length one to find theirs
-    pivot_ids: np.ndarray | None = None
 
 
 def by_width(vectors: DataFrame, run: Callable[[DataFrame, int, int], DataFrame]) -> DataFrame:
@@ -144,23 +138,8 @@ def by_width(vectors: DataFrame, run: Callable[[DataFrame, int, int], DataFrame]
 def plan(
     vectors: DataFrame, n: int, dims: int, cell_rows: int | None = None, block_rows: int | None = None, unit: bool = False
 ) -> Plan:
-    cell_rows = cell_rows or CELL_ROWS
     block = block_rows or max(256, min(BLOCK_ROWS, -(-n // 4)))
-    wanted = min(-(-n // cell_rows), MAX_PIVOTS, BROADCAST_BYTES // (8 * dims))
-    if wanted < 4:
-        return Plan(n, dims, block)
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).select("id", "vector").toArrow()
-    rows = matrix(sample["vector"]).astype(float)
-    pivots, first = np.unique(_unit_rows(rows) if unit else rows, axis=0, return_index=True)
-    if len(pivots) < 4:
-        return Plan(n, dims, block)
-    return Plan(n, dims, block, pivots, unit, ids_of(sample["id"])[first])
-
-
-def _gap(pivots: np.ndarray) -> np.ndarray:
-    d = np.sqrt(_squared(pivots, pivots))
-    np.fill_diagonal(d, np.inf)
-    return d
+    return Plan(n, dims, block, C.build(vectors.select("id", "vector"), n, dims, cell_rows or CELL_ROWS, unit), unit)
 
 
 def _cell_schema(vectors: DataFrame) -> str:
@@ -176,13 +155,10 @@ def _placed(batch: pa.RecordBatch, rows: np.ndarray, cells: np.ndarray, guest: n
 
 
 def to_cells(vectors: DataFrame, p: Plan, radius: float | None, guests_in_lower_cells_only: bool) -> DataFrame:
-    """Home row of every vector, and guest rows in cells where a partner within ``radius`` may live.
-
-    For x nearer to pivot h than to c, every y in cell c has d(x,y) >= (d(x,c)^2 - d(x,h)^2) / (2 d(h,c)).
-    """
-    if p.pivots is None:
+    """Home row of every vector, and guest rows in cells where a partner within ``radius`` may live."""
+    if p.tree is None:
         return vectors.select("*", F.lit(0).alias("cell"), F.lit(False).alias("guest"))
-    pivots, gap, unit = p.pivots, _gap(p.pivots), p.unit
+    tree, unit = p.tree, p.unit
 
     def assign(batches):
         for batch in batches:
@@ -190,19 +166,14 @@ def to_cells(vectors: DataFrame, p: Plan, radius: float | None, guests_in_lower_
                 continue
             x = matrix(batch["vector"])
             x = _unit_rows(x) if unit else x
-            sq = _squared(x, pivots)
-            home = sq.argmin(1)
+            home, _ = tree.home(x)
             rows, cells = np.arange(len(x)), home
             guest = np.zeros(len(x), bool)
             if radius is not None:
-                lower = (sq - sq[rows, home][:, None]) / (2.0 * gap[home])
-                near = lower <= radius + SLACK
-                near[rows, home] = False
-                if guests_in_lower_cells_only:
-                    near &= np.arange(len(pivots))[None, :] < home[:, None]
-                r, c = np.nonzero(near)
-                rows, cells = np.concatenate([rows, r]), np.concatenate([cells, c])
-                guest = np.concatenate([guest, np.ones(len(r), bool)])
+                r, c = tree.reach(x, np.full(len(x), radius))
+                away = c < home[r] if guests_in_lower_cells_only else c != home[r]
+                rows, cells = np.concatenate([rows, r[away]]), np.concatenate([cells, c[away]])
+                guest = np.concatenate([guest, np.ones(int(away.sum()), bool)])
             yield _placed(batch, rows, cells, guest)
 
     return vectors.mapInArrow(assign, _cell_schema(vectors))
@@ -213,7 +184,7 @@ def block_tasks(
 ) -> DataFrame:
     """Run ``kernel`` once per pair of blocks: home blocks with each other, guests with home blocks."""
     spark = rows.sparkSession
-    if p.pivots is None and not guests:
+    if p.tree is None and not guests:
         sizes = [(0, p.n, 0)]
     else:
         sizes = [
@@ -221,10 +192,10 @@ def block_tasks(
             for r in rows.groupBy("cell").agg(
                 F.count_if(~F.col("guest")).alias("home"), F.count_if("guest").alias("guests")
             ).collect()
-        ]  # one row per cell, at most MAX_PIVOTS
+        ]  # one row per cell; the tree they come from is bounded
     blocks = [(c, max(1, -(-h // p.block_rows)), -(-g // p.block_rows)) for c, h, g in sizes]
     tasks = sum(among_home * h * (h + 1) // 2 + h * g for _, h, g in blocks)
-    if p.pivots is None and not guests:
+    if p.tree is None and not guests:
         sized = rows.withColumn("home", F.lit(blocks[0][1])).withColumn("guests", F.lit(0))
     else:
         table = F.broadcast(spark.createDataFrame(blocks, "cell int, home int, guests int"))
@@ -309,23 +280,27 @@ def similar(
     def run(rows, n, dims):
         # the cell bound holds for unit vectors; zero vectors have similarity 0 and pair only at threshold <= 0
         p = plan(rows, n, dims, cell_rows, block_rows, unit=True)
-        if p.pivots is not None and (threshold <= 0 or not _worth_cells(p.pivots, radius)):
+        if p.tree is not None and (threshold <= 0 or not _worth_cells(p.tree, radius)):
             p = Plan(n, dims, p.block_rows)
-        return block_tasks(to_cells(rows, p, radius, True), p, kernel, schema, p.pivots is not None)
+        return block_tasks(to_cells(rows, p, radius, True), p, kernel, schema, p.tree is not None)
 
     return by_width(vectors, run)
 
 
-def _worth_cells(pivots: np.ndarray, radius: float, group: np.ndarray | None = None) -> bool:
-    """Judge by the pivots themselves, a sample of the data, whether the radius prunes most cells
+def _worth_cells(tree: PivotTree, radius: float, group: np.ndarray | None = None) -> bool:
+    """Judge by leaves' pivots, a sample of the data, whether the radius prunes most cells
     (cells of one ``group`` need no comparison)."""
-    sq, gap = _squared(pivots, pivots), _gap(pivots)
-    masked = sq + np.diag(np.full(len(pivots), np.inf))
-    home = masked.argmin(1)
-    rows = np.arange(len(pivots))
-    near = (masked - masked[rows, home][:, None]) / (2.0 * gap[home]) <= radius
+    pivots = tree.pivots
+    some = np.arange(0, len(pivots), max(1, len(pivots) // max(64, min(1024, (1 << 22) // len(pivots)))))
+    sq = _squared(pivots[some], pivots)
+    rows = np.arange(len(some))
+    sq[rows, some] = np.inf  # a pivot stands for any row near it: its home is the next one
+    home = sq.argmin(1)
+    gap = np.sqrt(_squared(pivots[home], pivots))
+    gap[gap == 0] = np.inf
+    near = (sq - sq[rows, home][:, None]) / (2.0 * gap) <= radius
     if group is not None:
-        near &= group[:, None] != group[None, :]
+        near &= group[some][:, None] != group[None, :]
     return float(near.mean()) < 0.25
 
 
@@ -370,13 +345,20 @@ def similar_links(vectors: DataFrame, threshold: float, cell_rows: int | None =
 
     def run(rows, n, dims):
         p = plan(rows, n, dims, cell_rows, block_rows, unit=True) if threshold > 0 else Plan(n, dims, block_rows or BLOCK_ROWS)
-        if p.pivots is None:
+        if p.tree is None:
             return block_tasks(to_cells(rows, p, None, True), p, kernel, schema, False)
-        linked = p.pivots @ p.pivots.T >= threshold
-        root, member = _forest([np.nonzero(np.triu(linked, 1))], len(p.pivots))
-        group = np.arange(len(p.pivots))
+        pivots = p.tree.pivots
+        step = max(1, (1 << 22) // len(pivots))
+
+        def linked():
+            for lo in range(0, len(pivots), step):
+                i, j = np.nonzero(pivots[lo : lo + step] @ pivots.T >= threshold)
+                yield i[i + lo < j] + lo, j[i + lo < j]
+
+        root, member = _forest(linked(), len(pivots))
+        group = np.arange(len(pivots))
         group[member] = root
-        if not _worth_cells(p.pivots, radius, group):
+        if not _worth_cells(p.tree, radius, group):
             return block_tasks(to_cells(rows, Plan(n, dims, p.block_rows), None, True), Plan(n, dims, p.block_rows), kernel, schema, False)
         return _links_by_cells(rows, p, threshold, radius, group, kernel, schema)
 
@@ -392,54 +374,51 @@ def _links_by_cells(rows: DataFrame, p: Plan, threshold: float, radius: float, g
     and settled rows of different groups. A group of near copies, however large, is settled whole.
     """
     spark = rows.sparkSession
-    pivots, gap = p.pivots, _gap(p.pivots)
+    tree, pivots = p.tree, p.tree.pivots
     kind = rows.schema["id"].dataType.simpleString()
 
     def locate(batch):
         x = _unit_rows(matrix(batch["vector"]))
-        sq = _squared(x, pivots)
-        home = sq.argmin(1)
-        at = np.arange(len(x))
-        near = (sq - sq[at, home][:, None]) / (2.0 * gap[home]) <= radius + SLACK
-        near[at, home] = False
+        home, _ = tree.home(x)
+        r, c = tree.reach(x, np.full(len(x), radius))
+        away = c != home[r]
         settled = (x * pivots[home]).sum(1) >= threshold
-        return home, settled, near
+        return home, settled, r[away], c[away]
 
     def tag(batches):
         for batch in batches:
             if batch.num_rows:
-                home, settled, _ = locate(batch)
+                home, settled, _, _ = locate(batch)
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array(home.astype("int32")), pa.array(settled)], ["id", "cell", "settled"])
 
     tags = cut(rows.mapInArrow(tag, f"id {kind}, cell int, settled boolean"))
-    ids = p.pivot_ids.tolist()
+    ids = tree.pivot_ids.tolist()
     pivot_of = spark.createDataFrame(list(enumerate(ids)), f"cell int, pivot {kind}")
     to_pivot = tags.where("settled").join(F.broadcast(pivot_of), "cell").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     among = [(ids[group[i]], ids[i]) for i in range(len(ids)) if group[i] != i]
     open_rows = np.zeros(len(pivots), int)
     for r in tags.where("NOT settled").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
         open_rows[r.cell] = r.n
-    cells = np.arange(len(pivots))
 
     def unsettled(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            home, settled, near = locate(batch)
+            home, settled, r, c = locate(batch)
             # two unsettled rows meet in the lower cell; a settled row visits the unsettled ones
-            near &= (open_rows > 0)[None, :] & (settled[:, None] | (cells[None, :] < home[:, None]))
+            near = (open_rows[c] > 0) & (settled[r] | (c < home[r]))
             own = np.nonzero(~settled | (open_rows[home] > 0))[0]
-            r, c = np.nonzero(near)
+            r, c = r[near], c[near]
             yield _placed(batch, np.concatenate([own, r]), np.concatenate([home[own], c]), np.concatenate([settled[own], np.ones(len(r), bool)]))
 
     def across(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            home, settled, near = locate(batch)
-            near &= settled[:, None] & (group[home][:, None] != group[None, :]) & (cells[None, :] < home[:, None])
+            home, settled, r, c = locate(batch)
+            near = settled[r] & (group[home[r]] != group[c]) & (c < home[r])
             own = np.nonzero(settled)[0]
-            r, c = np.nonzero(near)
+            r, c = r[near], c[near]
             yield _placed(batch, np.concatenate([own, r]), np.concatenate([home[own], c]), np.concatenate([np.zeros(len(own), bool), np.ones(len(r), bool)]))
 
     met = block_tasks(rows.mapInArrow(unsettled, _cell_schema(rows)), p, kernel, schema, True)
@@ -510,47 +489,46 @@ def _knn_distinct(rows: DataFrame, n: int, dims: int, k: int, cell_rows, block_r
     p = plan(rows, n, dims, cell_rows, block_rows)
     home = to_cells(rows, p, None, False)
     local = best_k(block_tasks(home, p, _knn_kernel(k, fields, False), schema, False), k)
-    if p.pivots is None:
+    if p.tree is None:
         return local
     local = cut(local)  # used for the bounds and in the answer
+    held = home.select("id", "vector", "cell")
     if probes is None:
         kth = local.groupBy("src").agg(F.when(F.count("*") >= k, F.max("dist")).alias("bound"))
-        reach = rows.join(kth, rows["id"] == kth["src"], "left").select(
-            "id", "vector", F.coalesce("bound", F.lit(float("inf"))).alias("bound")
-        )
+        held = held.join(kth, held["id"] == kth["src"], "left").select("id", "vector", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
     else:
-        reach = rows.select("id", "vector", F.lit(float("inf")).alias("bound"))
-    visits = _guests(reach, p, probes)
+        held = held.withColumn("bound", F.lit(float("inf")))
+    visits = _guests(held, p, k, probes)
     both = home.withColumn("bound", F.lit(float("inf"))).unionByName(visits)
     away = block_tasks(both, p, _knn_kernel(k, fields, True), schema, True, among_home=False)
     return best_k(local.drop("rank").unionByName(away), k)
 
 
-def _guests(reach: DataFrame, p: Plan, probes: int | None) -> DataFrame:
+def _guests(held: DataFrame, p: Plan, k: int, probes: int | None) -> DataFrame:
     """Send each row to the other cells that can hold a neighbour nearer than its bound, or to the
-    ``probes`` nearest cells when an approximate answer is asked for."""
-    pivots, gap = p.pivots, _gap(p.pivots)
+    ``probes`` nearest cells when an approximate answer is asked for. A row whose own cell has fewer than k others
+    is bounded by the nearest cells that together hold as many."""
+    tree = p.tree
 
     def visit(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, bound = matrix(batch["vector"]), batch["bound"].to_numpy()
-            sq = _squared(x, pivots)
-            home = sq.argmin(1)
-            at = np.arange(len(x))
+            x, bound, home = matrix(batch["vector"]), batch["bound"].to_numpy().copy(), batch["cell"].to_numpy()
             if probes is None:
-                lower = (sq - sq[at, home][:, None]) / (2.0 * gap[home])
-                near = lower <= bound[:, None] + SLACK
+                short = np.flatnonzero(np.isinf(bound))
+                bound[short] = tree.within(x[short], k + 1)
+                r, c = tree.reach(x, bound)
             else:
-                near = np.zeros(sq.shape, bool)
-                top = np.argpartition(sq, min(probes, sq.shape[1] - 1), axis=1)[:, :probes]
-                near[at[:, None], top] = True
-            near[at, home] = False
-            r, c = np.nonzero(near)
-            yield _placed(batch, r, c, np.ones(len(r), bool))
+                r, c = tree.nearest_leaves(x, probes)
+            away = c != home[r]
+            r, c = r[away], c[away]
+            columns = [batch["id"], batch["vector"], pa.array(bound)]
+            columns = [x.take(pa.array(r)) for x in columns] + [pa.array(c.astype("int32")), pa.array(np.ones(len(r), bool))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "bound", "cell", "guest"])
 
-    return reach.mapInArrow(visit, _cell_schema(reach))
+    kinds = dict(held.dtypes)
+    return held.mapInArrow(visit, f"id {kinds['id']}, vector {kinds['vector']}, bound double, cell int, guest boolean")
 
 
 def knn(
@@ -647,11 +625,6 @@ def _search_slice(vectors, rows, k, metric, exclude_self):
     return fit.mapInArrow(scan, f"query {qkind}, id {kind}, dist double")
 
 
-def _unit_rows(x: np.ndarray) -> np.ndarray:
-    length = np.sqrt((x * x).sum(1, keepdims=True))
-    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-
-
 def neighbors(vectors: DataFrame, vector_id, k: int = 10) -> DataFrame:
     """k nearest rows of one stored record."""
     target = vectors.where(F.col("id") == F.lit(vector_id)).select(F.col("id").alias("query"), "vector")

@@ -129,7 +129,7 @@ def _spread(points: DataFrame, n: int, spacing: float, cell_rows, block_rows) ->
         move = np.concatenate([d[m] for _, d, m in out])
         return pa.table([pa.array(ids), *[pa.array(move[:, c]) for c in range(3)]], names=fields.names).cast(fields)
 
-    moves = block_tasks(to_cells(rows, p, spacing, True), p, kernel, f"id {kind}, dx double, dy double, dz double", p.pivots is not None)
+    moves = block_tasks(to_cells(rows, p, spacing, True), p, kernel, f"id {kind}, dx double, dy double, dz double", p.tree is not None)
     total = moves.groupBy("id").agg(*[F.sum(f"d{c}").alias(f"d{c}") for c in AXES])
     return points.join(total, "id", "left").select("id", *[(F.col(c) + F.coalesce(f"d{c}", F.lit(0.0))).alias(c) for c in AXES])
 

@@ -72,7 +72,7 @@ def test_mixed_widths_never_pair(make):
 def test_cells_are_used_and_lose_nothing(make):
     x = clustered(300, 8, 3)
     p = P.plan(make(x), 300, 8, cell_rows=20, unit=True)
-    assert p.pivots is not None and P._worth_cells(p.pivots, 0.2)
+    assert p.tree is not None and P._worth_cells(p.tree, 0.2)
 
 
 @pytest.mark.parametrize("cell_rows,block_rows", [(None, 16), (25, 16)])
@@ -215,3 +215,93 @@ def test_strided_pairs(make):
     got = sorted((r.id_a, r.id_b) for r in strided_pairs(make(x), 100).collect())
     assert got == sorted(every[t * 4] for t in range(100))
     assert strided_pairs(make(x), 10_000).count() == 435
+
+
+# ---------------------------------------------------------------- the tree of pivots
+
+
+def spread(n, dims, seed):
+    """Clusters of clusters, of very different density."""
+    rng = np.random.default_rng(seed)
+    top = rng.normal(0, 20, (5, dims))
+    low = top[rng.integers(5, size=40)] + rng.normal(0, 2, (40, dims))
+    size = np.sort(rng.integers(40, size=n) * rng.integers(40, size=n) // 40)
+    return low[size] + rng.normal(0, 0.2, (n, dims))
+
+
+def test_tree_cuts_dense_cells_until_they_are_small(make, monkeypatch):
+    monkeypatch.setattr(P.C, "FAN", 4)
+    x = spread(900, 3, 5)
+    tree = P.plan(make(x), 900, 3, cell_rows=20).tree
+    assert len(tree.nodes) > 10 and tree.rows.sum() == 900 and tree.rows.max() <= 40
+    leaf, dist = tree.home(x)
+    assert np.array_equal(np.bincount(leaf, minlength=tree.leaves), tree.rows)
+    ball = tree._of_leaves("ball")
+    assert (dist <= ball[leaf] + 1e-9).all()
+
+
+@pytest.mark.parametrize("radius", [0.05, 0.7, 6.0])
+def test_reach_loses_no_row_within_the_radius(make, monkeypatch, radius):
+    monkeypatch.setattr(P.C, "FAN", 4)
+    x = spread(500, 3, 6)
+    tree = P.plan(make(x), 500, 3, cell_rows=15).tree
+    leaf, _ = tree.home(x)
+    row, cell = tree.reach(x, np.full(len(x), radius))
+    met = set(zip(row.tolist(), cell.tolist()))
+    assert len(met) == len(row)
+    near = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(2)) <= radius
+    assert all((i, leaf[j]) in met for i, j in zip(*np.nonzero(near)))
+    assert radius > 1 or len(met) < 0.3 * len(x) * tree.leaves
+
+
+def test_a_cell_of_copies_stays_whole(make, monkeypatch):
+    monkeypatch.setattr(P.C, "FAN", 4)
+    x = np.concatenate([np.ones((100, 2)), spread(300, 2, 7)])
+    tree = P.plan(make(x), 400, 2, cell_rows=10).tree
+    leaf, _ = tree.home(x)
+    assert len(set(leaf[:100])) == 1 and tree.rows.sum() == 400
+    assert P.plan(make(np.ones((200, 2))), 200, 2, cell_rows=10).tree is None
+
+
+@pytest.mark.parametrize("build", [spread, hot])
+def test_knn_through_a_deep_tree(make, monkeypatch, build):
+    monkeypatch.setattr(P.C, "FAN", 4)
+    x = build(220, 3, 8)
+    got = P.knn(make(x), 4, 6, 64).collect()  # cells of about as many rows as neighbours asked for
+    assert {(r.src, r.dst, r.rank) for r in got} == brute_knn(x, 4)
+
+
+def test_pairs_and_links_through_a_deep_tree(make, monkeypatch):
+    monkeypatch.setattr(P.C, "FAN", 5)
+    x = clustered(300, 4, 9, centers=25, spread=0.02)
+    want = brute_pairs(x, 0.995)
+    got = P.similar_pairs(make(x), 0.995, 8, 64)
+    assert {(r.a, r.b) for r in got.collect()} == want and len(P.plan(make(x), 300, 4, 8, unit=True).tree.nodes) > 1
+    label = {r.id: r.component for r in components(P.similar_links(make(x), 0.995, 8, 64)).collect()}
+    assert all(label[i] == label[j] for i, j in want)
+    assert set(label) == {i for p in want for i in p}
+
+
+def test_copies_of_a_row_do_not_grow_with_the_rows(make, monkeypatch):
+    """Cells are as small in a collection of sixteen times the rows; each row still meets about as many of them."""
+    monkeypatch.setattr(P.C, "FAN", 16)
+    copies = []
+    for n in (1500, 24_000):
+        x = np.random.default_rng(n).random((n, 2))
+        tree = P.plan(make(x), n, 2, cell_rows=32).tree
+        some = np.random.default_rng(1).integers(n, size=500)
+        d = np.sqrt(P._squared(x[some], x))
+        kth = np.partition(d, 5, axis=1)[:, 5]
+        row, _ = tree.reach(x[some], kth)
+        copies.append(len(row) / 500)
+        assert tree.rows.max() <= 64
+    assert copies[1] < 1.5 * copies[0] and copies[1] < 5
+
+
+def test_rows_of_thin_cells_are_bounded_by_the_cells_around_them(make, monkeypatch):
+    monkeypatch.setattr(P.C, "FAN", 4)
+    x = spread(600, 3, 10)
+    tree = P.plan(make(x), 600, 3, cell_rows=4).tree
+    bound = tree.within(x, 11)
+    d = np.sort(np.sqrt(P._squared(x, x)), axis=1)[:, 10]
+    assert (bound >= d - 1e-9).all() and np.median(bound) < 3
