@@ -210,6 +210,12 @@ def confirmed_links(members: DataFrame, percent: int = 85, size: int = 5, block:
     return rows.mapInArrow(work, _PAIR).distinct()
 
 
+def _texts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``node, group, signature, text`` of the first document of each class; a row that is repeated counts once."""
+    once = [F.first(c).alias(c) for c in ("node", "group", "signature", "text")]
+    return _rows(docs).join(groups, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(*once).drop("doc_id", "text_hash")
+
+
 def _judged(docs: DataFrame, percent: int, size: int, block: int) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, kept``: one row per row of ``docs``."""
     signed = cut(signatures(docs, size))
@@ -222,7 +228,7 @@ def _judged(docs: DataFrame, percent: int, size: int, block: int) -> DataFrame:
     )
     groups = components(candidate_links(classes, block)).select(F.col("id").alias("node"), F.col("component").alias("group"))
     groups = groups.join(classes, "node").select("node", "group", "signature", "doc_id", "text_hash")
-    texts = _rows(docs).join(groups, ["doc_id", "text_hash"]).select("node", "group", "signature", "text")
+    texts = _texts(docs, groups)
     linked = components(confirmed_links(texts, percent, size, block)).withColumnRenamed("id", "node")
     linked = cut(linked.join(classes.select("node", "doc_id"), "node"))
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -63,3 +63,13 @@ def test_odd_rows(odd, none):
     left = near_dedup.remove_near_duplicates(odd)
     assert left.columns == odd.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "3", "4", "5", "7", "8", "None", "None"]
+
+
+def test_a_repeated_row_is_confirmed_once(spark, docs_of):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = docs_of([(1, text)] * 400 + [(2, text + " x")])
+    keys = docs.select("doc_id", near_dedup.F.xxhash64("text").alias("text_hash")).distinct()
+    groups = keys.select(near_dedup.F.col("doc_id").alias("node"), near_dedup.F.lit(1).alias("group"), near_dedup.F.lit(b"").alias("signature"), "doc_id", "text_hash")
+    assert near_dedup._texts(docs, groups).count() == 2
+    rows = near_dedup.near_duplicates(docs).collect()
+    assert len(rows) == 401 and all(r.component_id == 1 for r in rows)
