@@ -3,9 +3,9 @@
 Each round replaces links by links to the smallest neighbour, first for larger then for smaller
 neighbours, until nothing changes; rounds grow with the logarithm of the longest chain. The smallest
 neighbour of a node is a grouped minimum: partial minima per task, then one per node. Bringing it back to the
-node's links is a join on the node. A node with more than one in ``HUBS`` of all links is a hub: there are fewer than
-``HUBS`` of them whatever the data, so their minima are broadcast and their links stay where they are. Of the
-other nodes none holds more than a ``HUBS``-th of the links, so the join is dealt evenly. Each round is
+node's links is a join on the node. A node with more than one in ``HUBS`` of all links, and more than ``HUBS``, is a hub: there are
+fewer than ``HUBS`` of them whatever the data, so their minima are broadcast and their links stay where they are. Of the
+other nodes none holds more, so the join is dealt evenly. Each round is
 checkpointed.
 """
 
@@ -22,7 +22,9 @@ HUBS = 1000
 def with_least(rows: DataFrame, n: int, hubs: int = HUBS) -> DataFrame:
     """``rows`` (u, v), ``n`` of them at most, with ``m``: the smallest v of each u."""
     low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
-    most = max(1, n // hubs)
+    most = max(hubs, n // hubs)
+    if n <= most:
+        return rows.join(low.select("u", "m"), "u")
     heavy = F.broadcast(low.where(F.col("links") > most).select("u", "m"))  # fewer than n / most rows
     split = rows.join(heavy, "u")
     even = rows.join(heavy.select("u"), "u", "left_anti").join(low.where(F.col("links") <= most).select("u", "m"), "u")

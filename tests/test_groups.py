@@ -216,7 +216,7 @@ def _brute_components(pairs):
     return {i: find(i) for i in list(root)}
 
 
-@pytest.mark.parametrize("hubs", [1000, 3, 1])
+@pytest.mark.parametrize("hubs", [1000, 20])
 def test_components_of_stars_chains_and_rings(spark, hubs):
     rng = random.Random(2)
     pairs = [(500, i) for i in range(501, 560)] + [(i, 499) for i in range(600, 640)] + [(i, i + 1) for i in range(40)]
@@ -242,3 +242,63 @@ def test_a_hub_with_a_third_of_all_links_is_spread(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         rows.unpersist()
+
+
+def _contradicting(spark, seed, n=160, hot=70):
+    """Rows of near vectors; a third is one vector with many different and some equal metadata."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, 5))
+    rows = []
+    for i in range(n):
+        v = centres[rng.integers(6)] + 0.01 * rng.normal(size=5) if i >= hot else centres[0]
+        rows.append((f"r{i * 37 % 1000:03d}", [float(x) for x in v.round(3)], f"m{rng.integers(9 if i >= hot else 40)}"))
+    rows += [("copy", rows[-1][1], "other"), ("same", rows[-1][1], rows[-1][2])]
+    df = spark.createDataFrame(rows, "id string, vector array<double>, title string").repartition(4)
+    return rows, Collection.of(df, "id", "vector")
+
+
+def _brute_contradictions(rows, threshold):
+    x = np.array([v for _, v, _ in rows])
+    norm = np.sqrt((x * x).sum(1))
+    sim = (x @ x.T) / np.outer(norm, norm)
+    return [
+        (sim[i, j], *sorted((i, j), key=lambda r: rows[r][0])) for i in range(len(rows)) for j in range(i + 1, len(rows))
+        if rows[i][2] != rows[j][2] and (sim[i, j] >= threshold or rows[i][1] == rows[j][1])
+    ]
+
+
+@pytest.mark.parametrize("signatures", [256, 3])
+def test_contradictions_against_all_row_pairs(spark, monkeypatch, signatures):
+    from embedlens.operators import contradictions
+
+    monkeypatch.setattr(contradictions, "SIGNATURES", signatures)
+    rows, coll = _contradicting(spark, 3)
+    want = _brute_contradictions(rows, 0.9)
+    found = Contradictions(coll, 0.9, 40)
+    assert found.total().first()[0] == len(want)
+    # rows of one vector and one title are one signature, the smallest id stands for it
+    least = {}
+    for i, v, t in rows:
+        least[str(v), t] = min(least.get((str(v), t), i), i)
+    pairs = {}
+    for sim, i, j in want:
+        a, b = sorted(least[str(rows[r][1]), rows[r][2]] for r in (i, j))
+        s, n = pairs.get((a, b), (sim, 0))
+        pairs[a, b] = (s, n + 1)
+    order = sorted((-round(s, 9), a, b, n) for (a, b), (s, n) in pairs.items())
+    got = [(-round(r.similarity, 9), r.vector_a_id, r.vector_b_id, r.row_pairs) for r in found.pairs().collect()]
+    assert sorted(got) == order[:40]
+
+
+def test_undecided_pairs_never_leave_a_task(spark, monkeypatch):
+    """However many pairs of vectors with differing copies are near each other, a task returns its count and its best."""
+    from embedlens.operators import contradictions, pairs
+
+    rows = [(f"r{i:04d}", [1.0, 0.001 * (i // 3)], f"m{i % 3}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id string, vector array<double>, title string").repartition(4)
+    real = pairs.plan
+    monkeypatch.setattr(pairs, "plan", lambda v, n, d, cell_rows=None, block_rows=None, unit=False: real(v, n, d, cell_rows, 50, unit))
+    found = contradictions.Contradictions(Collection.of(df, "id", "vector"), 0.9, 7)
+    tasks = 4 * 5 // 2  # pairs of blocks
+    assert found.found.count() <= tasks * (7 + 1)
+    assert found.total().first()[0] == len(_brute_contradictions(rows, 0.9))
