@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from embedlens.functions import text as X
 from embedlens.functions.values import is_content_name
 from embedlens.operators.ordering import with_ordinal
-from embedlens.operators.pairs import max_similarity
+from embedlens.operators.pairs import lone_rows
 from embedlens.sources.collections import Collection
 
 CONTENT_FIELDS = ("text", "content", "body", "chunk", "passage", "document")  # fixed values, tried in order
@@ -69,7 +69,7 @@ def isolation_issues(coll: Collection, rows: DataFrame) -> DataFrame:
     vectors = coll.vectors()
     if len(vectors.limit(2).collect()) < 2:
         return rows.limit(0).select("id", F.lit("orphan").alias("issue"), F.lit("").alias("detail"), F.lit("").alias("preview"))
-    lone = max_similarity(vectors).where(F.col("max_sim") < ISOLATED_BELOW)
+    lone = lone_rows(vectors, ISOLATED_BELOW)
     return lone.join(rows.select("id", X.preview(F.col("text")).alias("p")), "id", "left").select(
         "id", F.lit("orphan").alias("issue"),
         F.lit(f"Max similarity to other chunks < {ISOLATED_BELOW}").alias("detail"), F.coalesce("p", F.lit("")).alias("preview"),

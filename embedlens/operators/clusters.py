@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedlens.functions import vectors as V
-from embedlens.operators.pairs import Plan, block_tasks, distance_sums, ids_of, knn, matrix, result_schema, sides_of, to_cells
+from embedlens.operators.pairs import Plan, block_tasks, cluster_distances, ids_of, knn, matrix, result_schema, sides_of, to_cells
 from embedlens.sources.collections import Collection
 
 OUTLIER_THRESHOLD = 2.5  # fixed value: standard deviations
@@ -179,17 +179,7 @@ def silhouette(assigned: DataFrame, singleton_zero: bool = False) -> DataFrame:
     a = mean distance inside the own cluster (0 when alone), b = smallest mean distance to another
     cluster. ``singleton_zero`` gives lone rows 0, the usual convention, in place of 1.
     """
-    sums = distance_sums(assigned)
-    own = assigned.select("id", F.col("cluster").cast("int").alias("cluster"))
-    mean = F.col("total") / F.col("n")
-    per_row = (
-        own.join(sums, "id", "left")
-        .groupBy("id", "cluster")
-        .agg(
-            F.min(F.when(F.col("other") == F.col("cluster"), mean)).alias("inner"),
-            F.min(F.when(F.col("other") != F.col("cluster"), mean)).alias("outer"),
-        )
-    )
+    per_row = cluster_distances(assigned)
     a, b = F.coalesce("inner", F.lit(0.0)), F.col("outer")
     top = F.greatest(a, b)
     # without another cluster b is infinite and the score tends to 1

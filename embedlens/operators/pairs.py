@@ -32,6 +32,7 @@ BLOCK_ROWS = 4096  # rows of a block: larger blocks mean fewer copies of each ro
 SLICE_ROWS = 512  # rows of a block compared at a time
 CELL_ROWS = 8192
 BROADCAST_BYTES = 64 << 20  # largest matrix shipped to every task
+HELD_BYTES = 64 << 20  # rows that a task keeps while others stream past
 
 
 # ---------------------------------------------------------------- rows as matrices
@@ -652,46 +653,184 @@ def max_similarity(vectors: DataFrame, cell_rows: int | None = None, block_rows:
     return joined.select("id", sim.alias("max_sim"))
 
 
-# ---------------------------------------------------------------- per-row sums by cluster
+def lone_rows(vectors: DataFrame, threshold: float, cell_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
+    """``(id)`` of rows without another row of cosine similarity >= threshold (> 0): a semi-join that stops early.
 
+    A row leaves as soon as it is settled, by one similar row: first rows with an equal direction, then those that meet one in their
+    own cell, then in the cells next to it, and only what is left visits all cells within reach. Rows are not compared with
+    others once they are settled, and no similarities leave a task. Zero vectors are similar to nothing."""
+    rows = vectors.select("id", "vector")
+    flat = V.near_zero_exact(F.col("vector"))
+    units = rows.where(~flat).select("id", V.unit(F.col("vector")).alias("vector"))
+    members = cut(copy_members(units))
+    # copies are settled; one of each group stands for them as a partner of other rows
+    open_ = collapse_copies(units, members).join(members.select("id").withColumn("copied", F.lit(True)), "id", "left")
+    open_ = open_.select("id", "vector", F.coalesce("copied", F.lit(False)).alias("settled"))
+    alone = by_width(open_, lambda part, n, dims: _unsettled(part, n, dims, threshold, cell_rows, block_rows))
+    return rows.where(flat).select("id").unionByName(alone)
 
-def distance_sums(rows: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """``(id, cluster, other, n, total)``: summed distance of each row to each cluster's other rows.
 
-    ``rows`` has ``id, vector, cluster``. Every pair is compared, but a block pair emits one row per
-    record and cluster, never the pairs.
-    """
+NEXT_CELLS = 4
+
+
+def _unsettled(rows: DataFrame, n: int, dims: int, threshold: float, cell_rows, block_rows) -> DataFrame:
+    radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
     kind = rows.schema["id"].dataType.simpleString()
-    fields = result_schema(rows, ["id"], [("other", pa.int32()), ("n", pa.int64()), ("total", pa.float64())])
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("w")).first()
-    block = block_rows or max(256, min(BLOCK_ROWS, -(-size.n // 4)))
-    p = Plan(size.n, size.w or 1, block)
+    fields = result_schema(rows, ["id"], [])
+    p = plan(rows, n, dims, cell_rows, block_rows, unit=True)
+    if p.tree is not None and not _worth_cells(p.tree, radius):
+        p = Plan(n, dims, p.block_rows)
+
+    def kernel(guests_only):
+        def run(key, table):
+            left, right, same = sides_of(key, table)
+            a, b = matrix(left["vector"]), matrix(right["vector"])
+            out = [_first_similar(b, a, right["settled"].to_numpy(), threshold, same, ids_of(right["id"]))]
+            if not same and not guests_only:
+                out.append(_first_similar(a, b, left["settled"].to_numpy(), threshold, False, ids_of(left["id"])))
+            return pa.table([pa.array(np.concatenate(out))], names=["id"]).cast(fields)
+
+        return run
+
+    home = cut(to_cells(rows, p, None, False))
+    met = block_tasks(home, p, kernel(False), f"id {kind}", False).distinct()
+    left = home.where("NOT settled").join(met, "id", "left_anti")
+    if p.tree is None:
+        return left.select("id")
+    for probes in (NEXT_CELLS, None):
+        left = cut(left)
+        visits = _visits(left, p, radius, probes)
+        met = block_tasks(home.unionByName(visits), p, kernel(True), f"id {kind}", True, among_home=False).distinct()
+        left = left.join(met, "id", "left_anti")
+    return left.select("id")
+
+
+def _first_similar(a, b, settled, threshold, same, names):
+    """Names of the open rows of ``a`` with a similar row in ``b``; a row is left alone once it has one."""
+    todo = np.flatnonzero(~settled)
+    found = []
+    for lo, hi in _slices(len(b) if len(todo) else 0):
+        sim = a[todo] @ b[lo:hi].T
+        if same:
+            own = (todo >= lo) & (todo < hi)
+            sim[np.flatnonzero(own), todo[own] - lo] = -np.inf
+        hit = (sim >= threshold).any(axis=1)
+        found.append(todo[hit])
+        todo = todo[~hit]
+        if not len(todo):
+            break
+    return names[np.concatenate(found)] if found else names[:0]
+
+
+def _visits(open_rows: DataFrame, p: Plan, radius: float, probes: int | None) -> DataFrame:
+    """Open rows as guests of the cells within the radius: of the nearest ones, or of all."""
+    tree = p.tree
 
-    def kernel(key, table):
-        left, right, same = sides_of(key, table)
-        out = [fields.empty_table(), *_sum_by_cluster(left, right, same)]
-        if not same:
-            out += _sum_by_cluster(right, left, False)
-        return pa.concat_tables(out)
+    def visit(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, home = matrix(batch["vector"]), batch["cell"].to_numpy()
+                r, c = tree.reach(x, np.full(len(x), radius))
+                if probes is not None:
+                    row, cell = tree.nearest_leaves(x, probes + 1)
+                    near = np.isin(r * tree.leaves + c, row * tree.leaves + cell)
+                    r, c = r[near], c[near]
+                away = c != home[r]
+                yield _placed(batch.drop_columns(["cell", "guest"]), r[away], c[away], np.ones(int(away.sum()), bool))
+
+    return open_rows.select("id", "vector", "settled", "cell", "guest").mapInArrow(visit, _cell_schema(open_rows.select("id", "vector", "settled")))
+
+
+# ---------------------------------------------------------------- per-row means by cluster
 
-    def _sum_by_cluster(left, right, same):
-        a, b = matrix(left["vector"]), matrix(right["vector"])
-        names, code = np.unique(right["cluster"].to_numpy(), return_inverse=True)
+
+def cluster_distances(rows: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """``(id, cluster, inner, outer)``: mean distance of each row to the other rows of its cluster (null if alone) and the
+    smallest mean distance to another cluster (null without one).
+
+    ``rows`` has ``id, vector, cluster``. Every pair is compared. A task holds one block of rows, as many as fit
+    ``held_bytes``, with a sum per row and cluster; the whole collection streams past it, and one row per record leaves."""
+    kind = rows.schema["id"].dataType.simpleString()
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("w"), F.count_distinct("cluster").alias("k")).first()
+    per_row = 8 * ((size.w or 1) + 2 * size.k + 4)
+    width = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-size.n * per_row // held_bytes), min(width, size.n // 512))
+    own = rows.select("id", "vector", F.col("cluster").cast("int").alias("cluster"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    held = own.select(F.col("own").alias("block"), F.lit(0).alias("side"), "id", "vector", "cluster", "own")
+    passing = own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "id", "vector", "cluster", "own")
+    dealt = held.unionByName(passing).repartition(blocks, "block").sortWithinPartitions("block", "side")
+
+    def work(batches):
+        block = None
+        for batch in batches:
+            number, side = (batch.column(i).to_numpy() for i in (0, 1))
+            steps = np.flatnonzero((number[1:] != number[:-1]) | (side[1:] != side[:-1])) + 1
+            for lo, hi in zip([0, *steps], [*steps, len(number)]):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if block is None or block.number != number[lo]:
+                    if block is not None:
+                        yield block.result()
+                    block = _Held(int(number[lo]))
+                (block.hold if side[lo] == 0 else block.meet)(part)
+        if block is not None:
+            yield block.result()
+
+    return dealt.mapInArrow(work, f"id {kind}, cluster int, inner double, outer double")
+
+
+class _Held:
+    """One block's rows and their summed distances to each cluster met so far."""
+
+    def __init__(self, number: int):
+        self.number, self.parts, self.x = number, [], None
+
+    def hold(self, part: pa.RecordBatch) -> None:
+        self.parts.append(part)
+
+    def _ready(self) -> None:
+        table = pa.Table.from_batches(self.parts).combine_chunks()
+        self.ids, self.x, self.cluster = table["id"], matrix(table["vector"]).astype(float), table["cluster"].to_numpy()
+        names = ids_of(self.ids)
+        self.order = np.argsort(names, kind="stable")
+        self.sorted = names[self.order]
+        self.slot: dict[int, int] = {}  # cluster -> column of the sums
+        self.sums, self.sizes = np.zeros((len(self.x), 0)), np.zeros(0)
+
+    def meet(self, part: pa.RecordBatch) -> None:
+        if self.x is None:
+            self._ready()
+        b, cluster = matrix(part.column(3)).astype(float), part.column(4).to_numpy()
+        names, code = np.unique(cluster, return_inverse=True)
+        for c in names.tolist():
+            self.slot.setdefault(c, len(self.slot))
+        if len(self.slot) > self.sums.shape[1]:
+            more = len(self.slot) - self.sums.shape[1]
+            self.sums, self.sizes = np.pad(self.sums, ((0, 0), (0, more))), np.pad(self.sizes, (0, more))
+        columns = np.array([self.slot[c] for c in names.tolist()])
         member = np.zeros((len(code), len(names)))
         member[np.arange(len(code)), code] = 1.0
-        ids = ids_of(left["id"])
-        for lo, hi in _slices(len(a) if len(b) else 0):
-            dist = np.sqrt(_squared(a[lo:hi], b))
-            n = np.broadcast_to(member.sum(0), (hi - lo, len(names))).copy()
-            if same:
-                at = np.arange(lo, hi)
-                dist[at - lo, at] = 0.0
-                n[at - lo, code[at]] -= 1.0
-            total = dist @ member
-            i, j = np.nonzero(n > 0)
-            columns = [ids[lo:hi][i], names[j].astype("int32"), n[i, j].astype("int64"), total[i, j]]
-            yield pa.table([pa.array(c) for c in columns], names=fields.names).cast(fields)
-
-    cells = rows.select("id", "vector", F.col("cluster").cast("int").alias("cluster"), F.lit(0).alias("cell"), F.lit(False).alias("guest"))
-    sums = block_tasks(cells, p, kernel, f"id {kind}, other int, n long, total double", False)
-    return sums.groupBy("id", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        self.sizes[columns] += member.sum(0)
+        # a row is at distance zero from itself, whatever rounding says
+        mine = np.flatnonzero(part.column(5).to_numpy() == self.number)
+        at = self.order[np.searchsorted(self.sorted, ids_of(part.column(2))[mine])] if len(mine) else mine
+        for lo, hi in _slices(len(self.x)):
+            dist = np.sqrt(_squared(self.x[lo:hi], b))
+            here = (at >= lo) & (at < hi)
+            dist[at[here] - lo, mine[here]] = 0.0
+            self.sums[lo:hi, columns] += dist @ member
+
+    def result(self) -> pa.RecordBatch:
+        own = np.array([self.slot[c] for c in self.cluster.tolist()])
+        rows = np.arange(len(own))
+        n = np.broadcast_to(self.sizes, self.sums.shape).copy()
+        n[rows, own] -= 1
+        mean = np.divide(self.sums, n, out=np.full(self.sums.shape, np.inf), where=n > 0)
+        inner = mean[rows, own].copy()
+        mean[rows, own] = np.inf
+        outer = mean.min(1)
+        return pa.RecordBatch.from_arrays(
+            [self.ids.combine_chunks(), pa.array(self.cluster.astype("int32")), pa.array(inner, mask=np.isinf(inner)), pa.array(outer, mask=np.isinf(outer))],
+            ["id", "cluster", "inner", "outer"],
+        )

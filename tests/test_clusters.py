@@ -64,16 +64,29 @@ def assigned(make, spark, x, at):
     return make(x).join(c, "id")
 
 
-@pytest.mark.parametrize("block", [None, 16])
+@pytest.mark.parametrize("block", [None, 2000])
 def test_silhouette(make, spark, block, monkeypatch):
     x, at = blobs()
     at = at.copy()
     at[5] = 7  # a cluster of one
     df = assigned(make, spark, x, at)
     assert C.silhouette(df).first()[0] == pytest.approx(silhouette(x, at))
-    sums = C.distance_sums(df, block).where("id = 5").collect()
-    d = np.sqrt(((x - x[5]) ** 2).sum(1))
-    assert {r.other: pytest.approx(r.total) for r in sums} == {c: d[at == c].sum() for c in (0, 1, 2)}
+    rows = C.cluster_distances(df, block or 1 << 26).collect()
+    assert len(rows) == len(x)  # one row per record, however many blocks
+    for r in rows:
+        d, own = np.sqrt(((x - x[r.id]) ** 2).sum(1)), at == at[r.id]
+        others = [d[at == c].mean() for c in set(at) if c != at[r.id]]
+        assert r.outer == pytest.approx(min(others)) and r.cluster == at[r.id]
+        assert r.inner is None if own.sum() == 1 else r.inner == pytest.approx(d[own].sum() / (own.sum() - 1))
+
+
+def test_silhouette_of_copies_and_one_cluster(make, spark):
+    x = np.repeat(np.random.default_rng(1).normal(size=(7, 3)), 5, axis=0)
+    at = np.arange(35) // 5 % 3
+    assert C.silhouette(assigned(make, spark, x, at)).first()[0] == pytest.approx(silhouette(x, at))
+    one = C.cluster_distances(assigned(make, spark, x, at * 0)).collect()
+    assert len(one) == 35 and all(r.outer is None and r.inner is not None for r in one)
+    assert C.cluster_distances(assigned(make, spark, x, at).where("1 = 0")).count() == 0
 
 
 def test_davies_bouldin_skips_equal_centroids(make, spark):

@@ -305,3 +305,41 @@ def test_rows_of_thin_cells_are_bounded_by_the_cells_around_them(make, monkeypat
     bound = tree.within(x, 11)
     d = np.sort(np.sqrt(P._squared(x, x)), axis=1)[:, 10]
     assert (bound >= d - 1e-9).all() and np.median(bound) < 3
+
+
+# ---------------------------------------------------------------- rows without a similar one
+
+
+def brute_lone(x, threshold):
+    s = cosines(x)
+    np.fill_diagonal(s, -1)
+    return {i for i in range(len(x)) if s[i].max() < threshold}
+
+
+@pytest.mark.parametrize("cell_rows,block_rows", [(None, None), (None, 30), (10, 16)])
+@pytest.mark.parametrize("build,threshold", [(clustered, 0.995), (hot, 0.98), (spread, 0.9999)])
+def test_lone_rows(make, monkeypatch, build, threshold, cell_rows, block_rows):
+    monkeypatch.setattr(P.C, "FAN", 4)
+    x = build(260, 4, 12)
+    x[::9] += np.random.default_rng(1).normal(0, 2, x[::9].shape)
+    x[3] = 0.0
+    got = [r.id for r in P.lone_rows(make(x), threshold, cell_rows, block_rows).collect()]
+    assert set(got) == brute_lone(x, threshold) and len(got) == len(set(got)) > 3
+
+
+def test_settled_rows_do_not_travel(make, monkeypatch):
+    """Only rows that found nothing in their own cell visit others."""
+    monkeypatch.setattr(P.C, "FAN", 8)
+    sent, real = [], P._visits
+    monkeypatch.setattr(P, "_visits", lambda rows, *more: sent.append(rows.count()) or real(rows, *more))
+    x = clustered(600, 4, 13, centers=20, spread=0.01)
+    x[:5] = np.eye(5)[:, :4] * -9 + 0.3
+    got = {r.id for r in P.lone_rows(make(x), 0.999, 20, 64).collect()}
+    assert got == brute_lone(x, 0.999)
+    assert len(sent) == 2 and sent[1] <= sent[0] < 60
+
+
+def test_lone_rows_of_widths_and_few_rows(make):
+    assert {r.id for r in P.lone_rows(make([[1, 0], [1, 0, 0], [1, 0.01], [0, 0]]), 0.5).collect()} == {1, 3}
+    assert {r.id for r in P.lone_rows(make([[1, 0]]), 0.5).collect()} == {0}
+    assert P.lone_rows(make([]), 0.5).count() == 0
