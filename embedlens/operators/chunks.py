@@ -16,6 +16,7 @@ CONTENT_FIELDS = ("text", "content", "body", "chunk", "passage", "document")  #
 MIN_LENGTH, MAX_LENGTH = 50, 5000  # fixed values: default bounds in bytes
 OVERLAP_SHARE = 0.8  # fixed value
 ISOLATED_BELOW = 0.5  # fixed value: cosine similarity
+SPARSE = 16  # mean distance of ids from which they are numbered anew
 RUN_ROWS = 65_536  # rows of one source that are put in order together
 
 
@@ -81,9 +82,13 @@ def with_previous(rows: DataFrame, source: str | None = None) -> DataFrame:
 
     A source may hold a third of all rows, so no window spans a whole source. Ids are cut into
     stretches of at most 65 536 rows; the last row of each stretch is repeated as the head of the
-    next one. Ids that are not integers are numbered first.
+    next one. Ids that are not integers, or integers far apart, are numbered first.
     """
-    if not isinstance(rows.schema["id"].dataType, T.IntegralType):
+    whole = isinstance(rows.schema["id"].dataType, T.IntegralType)
+    if whole:  # sparse numbers would give a stretch per row
+        wide = (F.max("id").cast("double") - F.min("id")) / F.count(F.lit(1))
+        whole = (rows.agg(wide.alias("w")).first().w or 0.0) <= SPARSE
+    if not whole:
         keys = ([source] if source else []) + ["id"]
         order = with_ordinal(rows.select(*keys), *keys, name="_n").select("id", "_n")
         rows = rows.join(order, "id")

@@ -12,29 +12,69 @@ _LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row num
 _BINS = 4096
 
 
+def _placed(df: DataFrame, *keys: str) -> tuple[DataFrame, Column]:
+    """Rows in key order over range partitions, numbered ``_at`` within each, and the number of a row's partition.
+
+    The sorted rows are checkpointed, because a range shuffle that runs twice may cut its ranges differently."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return cut(ordered.withColumn("_at", F.monotonically_increasing_id())), F.shiftright("_at", _LOCAL_BITS)
+
+
+def _carry(placed: DataFrame, part: Column, rows: list[tuple], schema: str) -> DataFrame:
+    """What each partition starts from, joined to its rows: one row per partition is broadcast."""
+    starts = placed.sparkSession.createDataFrame(rows, f"_part bigint, {schema}")
+    return placed.join(F.broadcast(starts), part == F.col("_part"))
+
+
 def with_ordinal(df: DataFrame, *keys: str, name: str = "ordinal") -> DataFrame:
     """Number rows 0..n-1 in key order.
 
     One range shuffle sorts the rows; the number is the row's place in its partition plus the rows of
-    earlier partitions (one count per partition, broadcast). The sorted rows are checkpointed, because
-    a range shuffle that runs twice may cut its ranges differently.
+    earlier partitions (one count per partition, broadcast).
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    placed = cut(ordered.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", _LOCAL_BITS)
+    placed, part = _placed(df, *keys)
     counts = sorted((r.p, r.n) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     rows, start = [], 0
     for p, n in counts:  # one row per partition
         rows.append((p, start))
         start += n
-    starts = spark.createDataFrame(rows, "_part bigint, _start bigint")
     local = F.col("_at") - F.shiftleft(part, _LOCAL_BITS)
-    joined = placed.join(F.broadcast(starts), part == F.col("_part"))
+    joined = _carry(placed, part, rows, "_start bigint")
     return joined.withColumn(name, F.col("_start") + local).drop("_at", "_part", "_start")
 
 
+def running_total(df: DataFrame, key: str, n: str, name: str = "upto") -> DataFrame:
+    """Adds the sum of ``n`` over all rows up to this one in the order of ``key`` (different in each row): totals of range
+    partitions are carried over, sums inside them are windows of one partition each."""
+    placed, part = _placed(df, key)
+    totals = sorted((r.p, r.n) for r in placed.groupBy(part.alias("p")).agg(F.sum(n).alias("n")).collect())
+    rows, start = [], 0
+    for p, total in totals:
+        rows.append((p, start))
+        start += total
+    inside = F.sum(n).over(Window.partitionBy("_part").orderBy("_at"))
+    return _carry(placed, part, rows, "_start bigint").withColumn(name, F.col("_start") + inside).drop("_at", "_part", "_start")
+
+
+def gap_runs(df: DataFrame, key: str, gap: float, name: str = "run") -> DataFrame:
+    """Numbers the runs of rows between which ``key`` never grows by more than ``gap``, in its order. A run may go on over range
+    partitions: each carries over the last key and the number of runs that ended before it."""
+    placed, part = _placed(df, key)
+    placed = placed.withColumn("_part", part)
+    inside = Window.partitionBy("_part").orderBy("_at")
+    broken = placed.withColumn("_new", (F.coalesce(F.col(key) - F.lag(key).over(inside), F.lit(0)) > gap).cast("bigint"))
+    seen = broken.groupBy("_part").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.sum("_new").alias("n")).collect()
+    rows, before, last = [], 0, None
+    for r in sorted(seen, key=lambda r: r["_part"]):  # one row per partition
+        before += last is not None and r.lo - last > gap
+        rows.append((r["_part"], before))
+        before, last = before + r.n, r.hi
+    starts = placed.sparkSession.createDataFrame(rows, "_part bigint, _start bigint")
+    run = F.col("_start") + F.sum("_new").over(inside)
+    return broken.join(F.broadcast(starts), "_part").withColumn(name, run).drop("_at", "_part", "_start", "_new")
+
+
 def value_at_ranks(df: DataFrame, column: str, ranks: list[int]) -> list[float]:
     """Exact values at 0-based ranks of the sorted column, by repeated histograms.
 

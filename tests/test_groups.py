@@ -302,3 +302,25 @@ def test_undecided_pairs_never_leave_a_task(spark, monkeypatch):
     tasks = 4 * 5 // 2  # pairs of blocks
     assert found.found.count() <= tasks * (7 + 1)
     assert found.total().first()[0] == len(_brute_contradictions(rows, 0.9))
+
+
+def test_dates_in_wrong_units_are_put_in_order_over_tasks(spark, monkeypatch):
+    """The same zones and percentiles whether hours fit one window or not."""
+    rng = random.Random(8)
+    hours = [rng.randrange(3000, 30_000) if i % 5 else rng.randrange(10**9, 10**10) for i in range(300)]
+    ages = spark.createDataFrame([(i, h, h / 24.0) for i, h in enumerate(hours)], "id long, age_hours long, age_days double").repartition(4)
+    assert not staleness._few(staleness.hour_counts(ages), "age_hours")
+    far = sorted(map(tuple, staleness.dead_zones(ages).collect())), staleness.age_percentiles(ages)
+    monkeypatch.setattr(staleness, "FEW_VALUES", 10**12)
+    near = sorted(map(tuple, staleness.dead_zones(ages).collect())), staleness.age_percentiles(ages)
+    assert far == near and len(far[0]) >= 1
+
+
+def test_previous_row_of_sparse_ids(spark):
+    from embedlens.operators.chunks import with_previous
+
+    rows = [(i * 1_000_003, f"t{i}", f"s{i % 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, source string").repartition(4)
+    got = {r.id: r.prev for r in with_previous(df, "source").collect()}
+    assert got == {i: (f"t{n - 2}" if n > 1 else None) for n, (i, _, _) in enumerate(rows)}
+    assert {r.id: r.prev for r in with_previous(df).collect()} == {i: (f"t{n - 1}" if n else None) for n, (i, _, _) in enumerate(rows)}

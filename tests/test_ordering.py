@@ -63,3 +63,26 @@ def test_effective_dimensions(make):
     flat = O.effective_dimensions(O.dimension_stats(make([[1, 1]] * 3))).first()
     assert flat.effective_dims == 0
     assert sum(r.variance_ratio for r in dims.collect()) == pytest.approx(1)
+
+
+def test_running_totals_and_runs_over_range_partitions(spark):
+    import random
+
+    from embedlens.operators import ordering
+
+    rng = random.Random(3)
+    keys = sorted(rng.sample(range(4000), 500))
+    rows = [(k, rng.randrange(1, 9)) for k in keys]
+    df = spark.createDataFrame(rows, "k long, n long").repartition(5)
+    total, want = 0, {}
+    for k, n in rows:
+        total += n
+        want[k] = total
+    assert {r.k: r.upto for r in ordering.running_total(df, "k", "n").collect()} == want
+    for gap in (3, 25, 10_000):
+        run, last, want = 0, None, {}
+        for k in keys:
+            run += last is not None and k - last > gap
+            want[k], last = run, k
+        assert {r.k: r.run for r in ordering.gap_runs(df, "k", gap).collect()} == want
+    assert ordering.running_total(df.limit(0), "k", "n").count() == 0 and ordering.gap_runs(df.limit(0), "k", 3).count() == 0
