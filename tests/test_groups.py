@@ -227,14 +227,16 @@ def test_components_of_stars_chains_and_rings(spark, hubs):
 
 def test_a_hub_with_a_third_of_all_links_is_spread(spark):
     """Links of a hub stay in the partitions they are in: none holds more than its share."""
-    from embedlens.operators.components import with_least
+    from embedlens.operators.components import hub_nodes, with_least
 
     hub = spark.range(3000).select(F.lit(10**9).alias("u"), (F.col("id") + 5).alias("v"))
     rest = spark.range(6000).select((F.col("id") % 2900).alias("u"), (F.col("id") * 7 % 2900 + 10).alias("v"))
     rows = hub.unionByName(rest).repartition(16, "v").cache()
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        out = with_least(rows, 9000)
+        found = hub_nodes(rows, 9000)
+        assert found.collect() == [(10**9,)]
+        out = with_least(rows, found)
         sizes = [r["count"] for r in out.where("u = 1000000000").groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 3000 and max(sizes) < 400 and len(sizes) == 16
         assert out.where("u = 1000000000").select("m").distinct().collect() == [(5,)]
