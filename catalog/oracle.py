@@ -63,6 +63,8 @@ def add(name: str, sql: str) -> None:
 add("s1_offset_page", f"""
 WITH {TEXT} SELECT id, label, lang, (SELECT count(*) FROM tc) AS total FROM tc ORDER BY id LIMIT 50 OFFSET 100""")
 add("s2_keyset_page", f"WITH {TEXT} SELECT id, label, lang FROM tc WHERE id > 123 ORDER BY id LIMIT 50")
+add("s2_page_of_layout", f"WITH {TEXT} SELECT id, label, lang FROM tc WHERE id > 123 ORDER BY id LIMIT 50")
+add("s1_page_of_layout", f"WITH {TEXT} SELECT id, label, lang FROM tc ORDER BY id LIMIT 30 OFFSET 95")
 add("s2_next_cursor", f"""
 WITH {TEXT}, page AS (SELECT id FROM tc WHERE id > 123 ORDER BY id LIMIT 50)
 SELECT CASE WHEN count(*) = 50 THEN max(id) END AS next_cursor FROM page""")
@@ -284,6 +286,9 @@ SELECT id1, id2, {R('distance')} AS distance FROM (SELECT * FROM p WHERE distanc
 add("j13_radius_rows", f"""
 WITH {POINTS}, p AS (SELECT *, sqrt((x - 0.1)**2 + y**2 + (z + 0.1)**2) AS distance FROM pts)
 SELECT id, {R('x')} AS x, {R('y')} AS y, {R('z')} AS z, {R('distance')} AS distance FROM p WHERE distance <= 0.2""")
+add("j13_box_of_layout", f"""
+WITH {POINTS} SELECT id, {R('x')} AS x, {R('y')} AS y, {R('z')} AS z FROM pts
+WHERE x BETWEEN -0.1 AND 0.3 AND y BETWEEN -0.2 AND 0.2 AND z BETWEEN -0.3 AND 0.1""")
 add("j14_delete_ids", f"WITH {TEXT} SELECT id, lang FROM tc WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 add("j15_keep_first", f"""
 WITH {CASCADE} SELECT id, label FROM dup WHERE id NOT IN (SELECT id FROM members WHERE kind <> 'text_hash' AND id <> first_id)""")

@@ -19,7 +19,7 @@ from embedlens.operators.components import components
 from embedlens.plans import reports as R
 from embedlens.session import cut, ensure_checkpoint_dir
 from embedlens.sources import collections as S
-from embedlens.sources import export, projections
+from embedlens.sources import export, layouts, projections
 
 QUERIES: dict = {}
 NEAR = 0.98
@@ -55,6 +55,25 @@ def s2_keyset_page(spark, d):
     return S.page_after(X.text_collection(spark, d).df.select("id", "label", "lang"), 50, 123)
 
 
+def _stored(spark, rows, by, file_rows):
+    """A stored layout of rows that Spark derives from the tables."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/layout-{by}-{datetime.now().timestamp()}"
+    layouts.publish(rows, path, by, file_rows)
+    return layouts.Layout.open(spark, path)
+
+
+@query
+def s2_page_of_layout(spark, d):
+    """The same page from files in id order, of which two or three are opened."""
+    return _stored(spark, X.text_collection(spark, d).df.select("id", "label", "lang"), "id", 40).page_after(50, 123)
+
+
+@query
+def s1_page_of_layout(spark, d):
+    return _stored(spark, X.text_collection(spark, d).df.select("id", "label", "lang"), "id", 40).page(30, 95)
+
+
 @query
 def s2_next_cursor(spark, d):
     page = S.page_after(X.text_collection(spark, d).df.select("id"), 50, 123)
@@ -461,6 +480,12 @@ def j13_radius_rows(spark, d):
     return rounded(spatial.within(X.points(spark, d), (0.1, 0.0, -0.1), 0.2))
 
 
+@query
+def j13_box_of_layout(spark, d):
+    """Points in a box from files along a space-filling curve."""
+    return rounded(_stored(spark, X.points(spark, d).select("id", "x", "y", "z"), "space", 50).box((-0.1, -0.2, -0.3), (0.3, 0.2, 0.1)))
+
+
 @query
 def j14_delete_ids(spark, d):
     c = X.text_collection(spark, d)

@@ -1,13 +1,15 @@
-"""Stored projections: one partition per collection, id set, method and parameters."""
+"""Stored projections: one folder per collection, id set, method and parameters, published by a manifest row written last."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedlens.sources.collections import Collection, id_fingerprint
+from embedlens.sources.layouts import read_table
 
 
 def projection_key(coll: Collection, method: str, n_neighbors: int | None = None, min_dist: float | None = None, perplexity: float | None = None) -> str:
@@ -19,20 +21,22 @@ def projection_key(coll: Collection, method: str, n_neighbors: int | None = None
 
 
 def stored_projection(spark: SparkSession, path: str, key: str) -> DataFrame | None:
-    try:
-        table = spark.read.parquet(path).where(F.col("cache_key") == key)
-    except Exception as error:  # no table yet
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-    return table.drop("cache_key") if table.limit(1).count() else None
+    """The projection published under the key (an empty one too), or none."""
+    table = read_table(spark, f"{path}/manifest")
+    row = None if table is None else table.where(F.col("cache_key") == key).orderBy("folder").first()
+    return None if row is None else spark.read.parquet(f"{path}/data/{row.folder}")
 
 
 def projection(coll: Collection, path: str, method: str, compute: Callable[[], DataFrame], **params) -> DataFrame:
-    """The stored projection of this id set and these parameters, computed and stored if missing."""
+    """The stored projection of this id set and these parameters, computed and stored if missing.
+
+    Rows go to a folder of their own; the manifest row that makes it known is written after them, as one file. A run that fails on the way
+    leaves nothing that a reader would see, and of two runs at once readers agree on one."""
     spark, key = coll.df.sparkSession, projection_key(coll, method, **params)
     found = stored_projection(spark, path, key)
     if found is None:
-        compute().withColumn("cache_key", F.lit(key)).write.mode("append").partitionBy("cache_key").parquet(path)
+        folder = uuid.uuid4().hex
+        compute().write.parquet(f"{path}/data/{folder}")
+        spark.createDataFrame([(key, folder)], "cache_key string, folder string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
         found = stored_projection(spark, path, key)
     return found
