@@ -106,8 +106,8 @@ def same_value(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def copy_members(vectors: DataFrame) -> DataFrame:
-    """Groups of exact copies of one vector, as in ``same_value``."""
-    return same_value(vectors, F.col("vector"))
+    """Groups of exact copies of one vector, as in ``same_value``. A hash of a list skips nulls, so their places are hashed too."""
+    return same_value(vectors, F.struct(F.col("vector"), F.transform("vector", lambda x: x.isNull())))
 
 
 def collapse_copies(vectors: DataFrame, members: DataFrame) -> DataFrame:

@@ -343,3 +343,9 @@ def test_lone_rows_of_widths_and_few_rows(make):
     assert {r.id for r in P.lone_rows(make([[1, 0], [1, 0, 0], [1, 0.01], [0, 0]]), 0.5).collect()} == {1, 3}
     assert {r.id for r in P.lone_rows(make([[1, 0]]), 0.5).collect()} == {0}
     assert P.lone_rows(make([]), 0.5).count() == 0
+
+
+def test_lists_with_nulls_in_other_places_are_no_copies(spark):
+    rows = [(1, [1.0, None, 2.0]), (2, [1.0, 2.0]), (3, [None, 1.0, 2.0]), (4, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    assert sorted((r.id, r.rep) for r in P.copy_members(df).collect()) == [(2, 2), (4, 2)]
