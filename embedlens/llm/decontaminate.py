@@ -1,20 +1,22 @@
-"""Benchmark decontamination by retrieval in the space of the benchmark.
+"""Benchmark decontamination by latent semantic retrieval.
 
 1. Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased, hashed to ``TERMS`` terms. Document
    frequencies of terms are counted over all passages (``PASSAGE`` words each) of all texts.
-2. SVD of the TF-IDF matrix of the passages looked for. All its directions V are kept, so the space tells all of them apart and the
-   cosine with a passage's image is the cosine with the passage; directions of the documents beyond these would change no score.
-3. Items above 64 words are looked for as passages of 64 words. Every window of 16, 32 and 64 words of every text (half overlapping)
-   is scored against the passages whose length asks for that window: the cosine between the window and the passage's image
-   V V'q, for all passages in blocks of a matrix product. Windows at ``COSINE`` or more are candidates for the passage's item.
+2. Randomised SVD of the TF-IDF matrix of all passages of all texts. Each passage is added with a random sign to one of ``SKETCH`` random rows; tasks
+   sum what they read, ranges of terms are summed by Spark, and the driver, which gets ``SKETCH`` x ``TERMS`` numbers whatever the input, takes the
+   ``RANK`` strongest right singular directions V. Words that occur in the same passages have like rows in V.
+3. Items above 64 words are looked for as passages of 64 words. A passage's image is q + ``LATENT`` V V'q: its own words, and words that occur where they do.
+   Every window of 16, 32 and 64 words of every text (half overlapping) is scored by its cosine with the images of the passages whose length asks for that
+   window, in blocks of a matrix product; q is held in the span of its slice's passages, V V'q in the corpus' directions.
+   Windows at ``COSINE`` or more are candidates for the passage's item.
 4. A candidate is checked on words: the longest common subsequence of the item and the text around the window, as a
    share of the item. At ``EXACT`` or more it is a match; from ``PARAPHRASE`` on it is if the item's answer (its last sentence,
    at most ``ANSWER`` words) is found there as well.
 5. Items with fewer than ``LEAST`` words match where all of their words follow one another, and only there.
 
 Texts are not shuffled unless matches of several slices exceed ``FOUND_BYTES``: matches are found where the text is read. The benchmark is read in
-slices of ``ITEMS`` passages, which bounds the rank and what tasks are sent. Each slice is a step of its own over the documents; of more
-than one, each writes its matches by a 128-bit fingerprint of the text, and these are joined to the rows at the end. Items of a single word are not looked for, as they would match anything. Null texts have no words; null item_id is not looked for; repeated items count once.
+slices of ``ITEMS`` passages, which bounds the span, and one pass over the documents searches ``SLICES`` of them, which bounds what tasks are sent. If there is
+more than one slice, matches are written by a 128-bit fingerprint of the text and joined to the rows at the end. Items of a single word are not looked for, as they would match anything. Null texts have no words; null item_id is not looked for; repeated items count once.
 Repeated rows are judged each. Extra columns are ignored, or kept by ``remove_contaminated``.
 """
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,11 @@ from embedlens.llm import kernels
 from embedlens.session import cut
 
 TERMS, PASSAGE = 1 << 15, 32
+SKETCH, RANK, LATENT, RANGES = 128, 64, 2.0, 16
 BLOCK, SCALES = 8, (2, 4, 8)
 COSINE = 0.35
 EXACT, PARAPHRASE, ANSWER, ANSWER_SHARE = 0.8, 0.6, 8, 0.8
-LEAST, ITEMS, FOUND_BYTES = 6, 256, 16_000_000
+LEAST, ITEMS, SLICES, FOUND_BYTES = 6, 256, 8, 16_000_000
 LONGEST = SCALES[-1] * BLOCK
 
 _WORD = np.zeros(256, bool)
@@ -117,6 +120,58 @@ def tfidf_rows(words: np.ndarray, begin: np.ndarray, idf: np.ndarray) -> tuple[n
     return row, term, value / np.maximum(norm[row], 1e-12)
 
 
+def idf_of(frequencies: tuple[np.ndarray, int]) -> np.ndarray:
+    counts, n = frequencies
+    return np.log((n + 1) / (counts + 1)) + 0.1
+
+
+def latent_directions(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """Strongest right singular directions (``TERMS`` x at most ``RANK``) of the TF-IDF matrix of all passages, from a random sketch of its rows.
+
+    Row and sign of a passage come from its doc_id, text and place in it, so they don't depend on partitions."""
+    width = TERMS // RANGES
+
+    def work(batches):
+        total = np.zeros(SKETCH * TERMS, np.float32)
+        for batch in batches:
+            seeds = batch.column(0).to_numpy().view(np.uint64)
+            for lo, _, data, offs in kernels.slices(batch.column(1)):
+                words, firsts = slice_words(data, offs)
+                begin, at = _cut(firsts, PASSAGE)
+                if not len(begin):
+                    continue
+                text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                drawn = kernels.mix(seeds[lo + text] + (np.arange(len(begin)) - at[text]).astype(np.uint64))
+                place = ((drawn >> np.uint64(8)) % np.uint64(SKETCH)).astype(np.int64)
+                sign = 1 - 2 * (drawn & np.uint64(1)).astype(np.int64)
+                row, term, value = tfidf_rows(words, begin, idf)
+                np.add.at(total, place[row] * TERMS + term, (sign[row] * value).astype(np.float32))
+        parts = total.reshape(SKETCH, RANGES, width).transpose(1, 0, 2)
+        for k in range(RANGES):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], ["part", "data"])
+
+    def fold(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, b in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums.setdefault(k, np.zeros(SKETCH * width))
+                sums[k] += np.frombuffer(b.as_py(), np.float32)
+        for k, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "data"])
+
+    kind = "part int, data binary"
+    rows = docs.select(F.xxhash64("doc_id", F.col("text").cast("string")).alias("seed"), F.col("text").cast("string").alias("text"))
+    got = rows.mapInArrow(work, kind).repartition(RANGES, "part").mapInArrow(fold, kind).collect()  # RANGES rows
+    sketch = np.zeros((SKETCH, RANGES, width))
+    for r in got:
+        sketch[:, r["part"]] = np.frombuffer(r["data"], np.float32).reshape(SKETCH, width)
+    sketch = sketch.reshape(SKETCH, TERMS)
+    square, left = np.linalg.eigh(sketch @ sketch.T)
+    use = np.argsort(-square)[:RANK]
+    use = use[square[use] > 1e-9 * max(square.max(), 1e-300)]
+    return (sketch.T @ left[:, use] / np.sqrt(square[use])).astype(np.float32)
+
+
 def directions(passages: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All right singular directions of the passages' TF-IDF matrix (terms of them x rank), and the row of each term, the last for others."""
     begin = np.concatenate([[0], np.cumsum([len(w) for w in passages])])[:-1].astype(np.int64)
@@ -144,6 +199,7 @@ class Index:
     images: list[np.ndarray]  # per scale: rank x passages
     members: list[np.ndarray]  # per scale: places of its passages
     slot: np.ndarray  # row of each term in ``weighted``
+    latent: np.ndarray  # terms x corpus directions, idf times direction
     weighted: np.ndarray  # terms of passages x rank, idf times direction
     square: np.ndarray  # squared idf
 
@@ -159,10 +215,13 @@ def passages_of(n: int) -> list[int]:
     return [*range(0, n - LONGEST, LONGEST), n - LONGEST] if n > LONGEST else [0]
 
 
-def build(items: list[tuple[int, int, str, int, int]], frequencies: tuple[np.ndarray, int]) -> Index:
-    """The index of a slice of items, each with its passages from one number to another, over the corpus' statistics."""
-    counts, n = frequencies
-    idf = np.log((n + 1) / (counts + 1)) + 0.1
+def weighted_space(idf: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Corpus directions as windows meet them: a row per term, times its idf, and one of zeros."""
+    return np.vstack([space * idf[:, None].astype(np.float32), np.zeros((1, space.shape[1]), np.float32)])
+
+
+def build(items: list[tuple[int, int, str, int, int]], idf: np.ndarray, space: np.ndarray, latent: np.ndarray) -> Index:
+    """The index of a slice of items, each with its passages from one number to another, over the corpus' statistics and directions."""
     words = [item_words(t) for _, _, t, _, _ in items]
     short: dict[int, dict[bytes, list[int]]] = {}
     cuts = []
@@ -178,20 +237,22 @@ def build(items: list[tuple[int, int, str, int, int]], frequencies: tuple[np.nda
     images, members = [], []
     for s in range(len(SCALES)):
         own = np.flatnonzero(scale == s)
-        q = np.zeros((len(own), v.shape[1]), np.float32)
+        q, p = np.zeros((len(own), v.shape[1]), np.float32), np.zeros((len(own), space.shape[1]), np.float32)
         if len(own):
             begin = np.concatenate([[0], np.cumsum([len(passages[i]) for i in own])])[:-1].astype(np.int64)
             row, term, value = tfidf_rows(np.concatenate([passages[i] for i in own]), begin, idf)
             np.add.at(q, row, v[slot[term]] * value[:, None].astype(np.float32))
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-        images.append(np.ascontiguousarray(q.T))
+            np.add.at(p, row, space[term] * value[:, None].astype(np.float32))
+        # of q + LATENT V V'q, for orthonormal V
+        length = np.sqrt((q * q).sum(axis=1) + (2 * LATENT + LATENT * LATENT) * (p * p).sum(axis=1))
+        images.append(np.ascontiguousarray((np.hstack([q, LATENT * p]) / np.maximum(length, 1e-9)[:, None]).T))
         members.append(own)
     known = np.flatnonzero(slot[:TERMS] < len(v) - 1)
     weighted = v.copy()
     weighted[slot[known]] *= idf[known, None].astype(np.float32)
     ids, numbers = (np.array([t[k] for t in items], np.int64) for k in (1, 0))
     answers = [item_words(answer_of(t)) for _, _, t, _, _ in items]
-    return Index(ids, numbers, words, answers, short, owner, offset, scale, images, members, slot, weighted, np.append(idf * idf, 0).astype(np.float32))
+    return Index(ids, numbers, words, answers, short, owner, offset, scale, images, members, slot, latent, weighted, np.append(idf * idf, 0).astype(np.float32))
 
 
 def candidates(index: Index, words: np.ndarray, firsts: np.ndarray, cosine: float = COSINE) -> list[tuple[int, int, int, float]]:
@@ -200,11 +261,14 @@ def candidates(index: Index, words: np.ndarray, firsts: np.ndarray, cosine: floa
     if not len(begin):
         return []
     terms = _padded(words, begin, BLOCK)
-    rank, rows = index.weighted.shape[1], index.slot[terms]
+    own, rows = index.weighted.shape[1], index.slot[terms]
+    rank = own + index.latent.shape[1]
     sums = np.zeros((len(begin) + 1, rank), np.float32)
     for lo in range(0, len(begin), 2048):
+        part = sums[lo : min(lo + 2048, len(begin))]
         for j in range(BLOCK):
-            sums[lo : min(lo + 2048, len(begin))] += index.weighted[rows[lo : lo + 2048, j]]
+            part[:, :own] += index.weighted[rows[lo : lo + 2048, j]]
+            part[:, own:] += index.latent[terms[lo : lo + 2048, j]]
     square = np.append(index.square[terms].sum(axis=1), 0).astype(np.float32)
     text = np.repeat(np.arange(len(firsts) - 1), np.diff(runs))
     out = []
@@ -332,15 +396,16 @@ def _marked(rows: DataFrame, index: Index) -> DataFrame:
     return rows.select("row_", "text_").mapInArrow(work, f"row_ {rows.schema['row_'].dataType.simpleString()}, found_ {_FOUND}")
 
 
-def _matched(rows: DataFrame, index: Index) -> DataFrame:
-    """``key_, number, item_id, best``: the matches of one slice of items by fingerprint of the text."""
+def _matched(rows: DataFrame, indexes: list[Index]) -> DataFrame:
+    """``key_, number, item_id, best``: the matches of some slices of items by fingerprint of the text."""
 
     def work(batches):
         for batch in batches:
             out = []
             for lo, _, data, offs in kernels.slices(batch.column(1)):
                 words, firsts = slice_words(data, offs)
-                for text, own in matches(index, words, firsts).items() if len(words) else ():
+                found = [(index, text, own) for index in indexes for text, own in matches(index, words, firsts).items()] if len(words) else ()
+                for index, text, own in found:
                     key = batch.column(0)[lo + text].as_py()
                     out += [(key, int(index.numbers[i]), int(index.ids[i]), s, c) for i, (s, c) in own.items()]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -358,10 +423,12 @@ def _searched(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFra
     items, after = next(slices, None), next(slices, None)
     if items is None:
         return rows.select("row_", F.array().cast(_FOUND).alias("found_"))
-    frequencies = term_frequencies(docs)
+    idf = idf_of(term_frequencies(docs))
+    space = latent_directions(docs, idf)
+    latent = weighted_space(idf, space)
     if after is None:
-        return _marked(rows, build(items, frequencies))
-    found = [cut(_matched(rows, build(own, frequencies))) for own in chain((items, after), slices)]
+        return _marked(rows, build(items, idf, space, latent))
+    found = [cut(_matched(rows, [build(own, idf, space, latent) for own in some])) for some in batched(chain((items, after), slices), SLICES)]
     found = reduce(DataFrame.unionAll, found).groupBy("key_", "number", "item_id").agg(F.max("best").alias("best"))
     small = found.count() * 100 <= FOUND_BYTES
     found = found.groupBy("key_").agg(F.sort_array(F.collect_list(F.struct("number", "item_id", "best"))).alias("all_"))

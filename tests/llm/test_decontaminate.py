@@ -117,3 +117,54 @@ def test_matches_of_slices_are_the_same_by_a_shuffle(spark, docs_of, monkeypatch
         monkeypatch.setattr(decontaminate, "FOUND_BYTES", limit)
         got = [(r.doc_id, list(r.item_ids)) for r in decontaminate.contamination(docs_of(docs), bench).collect()]
         assert sorted(got, key=str) == sorted([(1, [1, 2]), (1, [1, 2]), (2, []), (3, []), (None, [3])], key=str)
+
+
+def test_a_paraphrase_by_co_occurring_words(spark, docs_of):
+    """Rare words replaced by words that occur in the same passages: below the cosine by the words alone, found by the corpus' directions."""
+    rng = random.Random(8)
+    common = WORDS[:12]
+    topics = [[(f"{w}left{k}", f"{w}right{k}") for k in range(9)] for w in WORDS[100:140]]
+    mix = lambda rare, n: [w for r in rare for w in [r, *rng.choices(common, k=n)]]
+    docs = []
+    for i in range(900):
+        pairs = rng.choice(topics)
+        docs.append((i, " ".join(mix(rng.sample([w for p in pairs for w in p], 14), 1)[:28])))
+    own, other = [], []
+    for left, right in topics[3]:
+        between = rng.choices(common, k=2)
+        own += [left, *between]
+        other += [right, *between]
+    own, other = own + common[:4], other + common[:4]
+    assert 0.6 * len(own) <= lcs(own, other) < 0.8 * len(own)
+    docs.append((1000, " ".join(other)))
+    frame, item = docs_of(docs), [(0, 7, " ".join(own), 0, 1)]
+    idf = decontaminate.idf_of(decontaminate.term_frequencies(frame))
+    space = decontaminate.latent_directions(frame, idf)
+    assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-3)
+    none = np.zeros((decontaminate.TERMS, 0), np.float32)
+    words = decontaminate.item_words(" ".join(other))
+    firsts = np.array([0, len(words)])
+    plain = decontaminate.candidates(decontaminate.build(item, idf, none, decontaminate.weighted_space(idf, none)), words, firsts)
+    latent = decontaminate.candidates(decontaminate.build(item, idf, space, decontaminate.weighted_space(idf, space)), words, firsts)
+    assert not plain and latent
+    bench = spark.createDataFrame([(7, " ".join(own))], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.contamination(frame, bench).where("contaminated").collect()] == [1000]
+
+
+def test_directions_are_those_of_all_passages(docs_of):
+    """The strongest direction of the sketch is the one of a plain SVD of the whole matrix."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choices(WORDS[:30] if i % 3 else WORDS[30:50], k=rng.randint(1, 90)))) for i in range(300)]
+    frame = docs_of(docs)
+    idf = decontaminate.idf_of(decontaminate.term_frequencies(frame))
+    rows = []
+    for _, text in docs:
+        words = decontaminate.item_words(text)
+        for at in range(0, len(words), decontaminate.PASSAGE):
+            _, term, value = decontaminate.tfidf_rows(words[at : at + decontaminate.PASSAGE], np.array([0]), idf)
+            rows.append(np.zeros(decontaminate.TERMS))
+            rows[-1][term] = value
+    true = np.linalg.svd(np.array(rows), full_matrices=False)[2][:2]
+    space = decontaminate.latent_directions(frame, idf)
+    assert (np.linalg.norm(true @ space, axis=1) > 0.98).all()
+    assert np.allclose(np.abs(space.T @ decontaminate.latent_directions(frame.repartition(7), idf)[:, :1])[0], 1, atol=1e-3)
