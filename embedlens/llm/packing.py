@@ -4,8 +4,9 @@ A document's length is its number of words; one longer than a bin is cut into pi
 text is dropped or shortened. In a bin there are at most ``PER_SOURCE`` pieces of one source, and one piece of a
 duplicate cluster (by default, equal texts).
 
-Items are dealt evenly by row number to shards of about ``SHARD`` pieces, whatever their source or cluster, and a task
-packs a shard, longest piece first. Open bins are kept by residual: a bit set of residuals in use gives the successor of a
+Items are dealt evenly to shards of about ``SHARD`` pieces by a hash of doc_id, source, text and the number of the copy among
+equal rows, so where a piece goes depends on the rows alone and not on their partitions; a task packs a shard, longest piece
+first, ties by that hash. Open bins are kept by residual: a bit set of residuals in use gives the successor of a
 length, and the search goes on through successors until the tightest compatible bin is found; among equal
 residuals the oldest bin wins. Each bin carries bitmaps of sources (one for each allowed repetition) and clusters
 of 256 hashed bits; a bit that is not set proves that there is no conflict, one that is set is settled on the bin's
@@ -14,7 +15,7 @@ to, so a hot key never makes the search walk over the bins that it fills. A shar
 for want of items.
 
 Null or blank text has length 0 and goes into a bin like any other; a null source or doc_id is a value of its own.
-Repeated rows are packed each, and conflict as copies. Extra columns are ignored.
+Repeated rows are packed each, and conflict as copies; which of them gets which place is the same to the result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from embedlens.session import cut
 
 CAPACITY, PER_SOURCE, SHARD = 2048, 2, 50_000
 HOT_SHARE = 8
+COPIES = 1 << 16
 
 
 def word_counts(docs: DataFrame, *keep: str) -> DataFrame:
@@ -134,27 +136,30 @@ def pack_documents(
 
     ``clusters``: ``doc_id, cluster`` (long) of near duplicates, in place of equal texts."""
     rows = docs
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
     if clusters is None:
-        rows = rows.withColumn("cluster_", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        rows = rows.withColumn("cluster_", F.xxhash64(text))
     else:
-        rows = rows.join(clusters.select("doc_id", F.col("cluster").alias("cluster_")), "doc_id", "left")
-        rows = rows.withColumn("cluster_", F.coalesce("cluster_", F.xxhash64("doc_id", F.col("text").cast("string"))))
-    rows = rows.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\0"))).alias("source_"), "cluster_")
-    counted = cut(word_counts(rows, "doc_id", "source_", "cluster_"))
+        given = clusters.groupBy("doc_id").agg(F.min("cluster").alias("cluster_"))
+        rows = rows.drop("cluster_").join(given, "doc_id", "left").withColumn("cluster_", F.coalesce("cluster_", F.xxhash64("doc_id", text)))
+    rows = rows.select("doc_id", "text", F.xxhash64(source).alias("source_"), "cluster_", *(F.xxhash64(F.lit(k), "doc_id", source, text).alias(f"row{k}") for k in (1, 2)))
+    keys = ["doc_id", "source_", "cluster_", "row1", "row2"]
+    counted = cut(word_counts(rows, *keys).groupBy(*keys, "n_words").agg(F.count(F.lit(1)).alias("copies")))
     pieces = F.greatest(F.ceil(F.col("n_words") / capacity), F.lit(1)).cast("int")
     cut_up = (
-        counted.withColumn("row", F.monotonically_increasing_id())
+        counted.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+        .withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + COPIES, F.col("copies")) - 1)))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .withColumn("first_word", F.col("piece").cast("long") * capacity)
         .withColumn("length", F.least(F.lit(capacity), F.col("n_words") - F.col("first_word")).cast("long"))
     )
-    n = counted.agg(F.sum(pieces)).first()[0] or 0
+    n = counted.agg(F.sum(pieces * F.col("copies"))).first()[0] or 0
     shards = max(1, -(-n // shard))
-    dealt = cut_up.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int"))
+    dealt = cut_up.withColumn("shard", F.pmod(F.xxhash64("row1", "row2", "copy", "piece"), F.lit(shards)).cast("int"))
 
     def work(table: pa.Table) -> pa.Table:
-        length, row, piece = (table.column(c).to_numpy() for c in ("length", "row", "piece"))
-        order = np.lexsort((piece, row, -length))
+        order = np.lexsort([table.column(c).to_numpy() for c in ("piece", "copy", "row2", "row1")] + [-table.column("length").to_numpy()])
         table = table.take(pa.array(order))
         items = zip(*(table.column(c).to_pylist() for c in ("length", "source_", "cluster_")))
         placed = np.array(pack(items, capacity, per_source), np.int64).reshape(-1, 2)
@@ -162,4 +167,4 @@ def pack_documents(
         return pa.table(out | {"n_words": table.column("length"), "shard": table.column("shard"), "bin": placed[:, 0], "position": placed[:, 1]})
 
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, first_word long, n_words long, shard int, bin long, position long"
-    return dealt.select("doc_id", "row", "piece", "first_word", "length", "source_", "cluster_", "shard").groupBy("shard").applyInArrow(work, kind)
+    return dealt.select("doc_id", "row1", "row2", "copy", "piece", "first_word", "length", "source_", "cluster_", "shard").groupBy("shard").applyInArrow(work, kind)
