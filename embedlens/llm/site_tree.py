@@ -18,7 +18,8 @@ together, else by a shuffle.
 
 Null html or url counts as empty; pages without a host share one tree. A page without any element is text. Repeated pages
 are extracted each and count each. Text outside elements, unclosed and stray tags, unclosed comments and character
-references are read as browsers do, as far as text goes. Extra columns are ignored.
+references are read as browsers do, as far as text goes. A page is read in one forward pass whatever its quotes and tags; a node whose path of names
+passes ``LONG_PATH`` characters goes by a hash of it and stands under the root, so deep nesting takes memory in proportion. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from embedlens.session import cut
 
 GAMMA, HALF_PAGES, KEEP = 0.9, 8, 0.5
 TREE_BYTES = 16_000_000
+LONG_PATH = 1000
 
 # fixed values: tag names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,7 +70,11 @@ MAIN_NAMES = frozenset("article main post entry story".split())
 #: noise that may wrap a whole page, so that an article inside it still counts
 WRAPPERS = frozenset("form header sidebar banner notice modal menu widget".split())
 
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<other>[!?][^>]*>?)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_COMMENT = re.compile(r"<!--.*?(?:--!?>|\Z)", re.S)
+_OTHER = re.compile(r"<[!?][^>]*>?")
+_OPEN = re.compile(r"<(/?)[a-zA-Z]")
+_STOP = re.compile(r"[\s/>]")
+_MARK = re.compile(r"[>\"']")
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)>")
 _SAYS = re.compile(r"class|id|role|hidden|style", re.I)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
@@ -92,6 +98,71 @@ class Page:
     has_main: bool
 
 
+class Tags:
+    """The tags of a page in one forward pass: what is known about places further on is kept, so broken quotes don't cause a place to be read again and again."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.seen = {_MARK: (0, -1), _STOP: (0, -1)}  # the next mark after any place from the first to the second is at the second
+        self.dead: set[int] = set()  # places outside quotes from which no tag ends
+        self.closed: dict[int, int] = {}  # place after the quote that closes one at a place, 0 if there is none
+        self.last = {q: text.rfind(q) for q in "\"'"}
+        self.missing: set[str] = set()  # elements without an end tag further on
+
+    def _next(self, kind: re.Pattern, at: int) -> int:
+        low, high = self.seen[kind]
+        if not low <= at <= high:
+            found = kind.search(self.text, at)
+            high = found.start() if found else len(self.text)
+            self.seen[kind] = (at, high)
+        return high
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag whose attributes begin at ``at``, quoted ones passed over; -1 if there is none."""
+        text, been = self.text, []
+        while at not in self.dead:
+            been.append(at)
+            mark = self._next(_MARK, at)
+            if mark < len(text) and text[mark] == ">":
+                return mark
+            if mark not in self.closed:  # the end of the text has no quote to close
+                self.closed[mark] = text.find(text[mark], mark + 1) + 1 if mark < len(text) and mark < self.last[text[mark]] else 0
+            at = self.closed[mark]
+            if not at:
+                break
+        self.dead.update(been)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(place, place after it, ``/`` of an end tag, name, attributes) of the next tag, or comment, which has no name."""
+        text = self.text
+        begin = text.find("<", at)
+        while begin >= 0:
+            found = _PLAIN.match(text, begin)
+            if found is not None:
+                return begin, found.end(), found[1], found[2], ""
+            other = _COMMENT.match(text, begin) or _OTHER.match(text, begin)
+            if other is not None:
+                return begin, other.end(), "", "", ""
+            found = _OPEN.match(text, begin)
+            if found is not None:
+                stop = self._next(_STOP, found.end())
+                end = self.end(stop)
+                if end >= 0:
+                    return begin, end + 1, found[1], text[found.end() - 1 : stop], text[stop:end]
+            begin = text.find("<", begin + 1)
+        return None
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Place after the end tag of an element that holds no markup; -1 if there is none."""
+        if "</" + name in self.missing:
+            return -1
+        tail = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(self.text, at)
+        if tail is None:
+            self.missing.add("</" + name)
+        return tail.end() if tail else -1
+
+
 def _names(attrs: str) -> tuple[str, frozenset[str], bool]:
     """First class name, all names of class, id and role, and whether the element is hidden."""
     if not attrs or not _SAYS.search(attrs):
@@ -112,6 +183,8 @@ def _names(attrs: str) -> tuple[str, frozenset[str], bool]:
 def _opened(above: Node, tag: str, attrs: str) -> Node:
     first, names, hidden = _names(attrs)
     path = f"{above.path}/{tag}.{first}" if first else f"{above.path}/{tag}"
+    if len(path) > LONG_PATH:  # the branch stands under the root from here on
+        path = "/#" + xxhash.xxh3_128_hexdigest(path)
     root = tag in ("html", "body")
     noise = ""
     if not root:
@@ -139,6 +212,7 @@ def read_page(text: str | None) -> Page:
     root = Node("html", "", None, False)
     stack, styles, blocks, parts = [root], [], [], []
     has_main = False
+    opened: Counter = Counter({root.tag: 1})
 
     def flush() -> None:
         if parts:
@@ -152,10 +226,13 @@ def read_page(text: str | None) -> Page:
         flush()
         while len(stack) > depth:
             node = stack.pop()
+            opened[node.tag] -= 1
             styles.append((node.path, ",".join(node.kids)))
 
     def inside(tags, stop=SCOPES) -> int:
         """Depth of the nearest open element of ``tags``, not beyond one of ``stop``; 0 if there is none."""
+        if not any(opened[tag] for tag in tags):
+            return 0
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in tags:
                 return depth
@@ -163,24 +240,18 @@ def read_page(text: str | None) -> Page:
                 return 0
         return 0
 
-    at, n = 0, len(text)
+    at, n, tags = 0, len(text), Tags(text)
     known: dict[tuple, tuple] = {}
     while at < n:
-        begin = text.find("<", at)
-        found = _PLAIN.match(text, begin) if begin >= 0 else None
-        if found is not None:
-            ends, name, attrs = found[1], found[2], ""
-        else:
-            found = _TAG.search(text, begin) if begin >= 0 else None
-            if found is None:
-                parts.append(text[at:])
-                break
-            begin = found.start()
-            ends, name, attrs = found["end"], found["name"], found["attrs"]
+        found = tags.next(at)
+        if found is None:
+            parts.append(text[at:])
+            break
+        begin, after, ends, name, attrs = found
         if begin > at:
             parts.append(text[at:begin])
-        at = found.end()
-        if name is None:
+        at = after
+        if not name:
             continue
         name = name.lower()
         if ends:
@@ -199,8 +270,8 @@ def read_page(text: str | None) -> Page:
                     flush()
             continue
         if name in RAW:
-            tail = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(text, at)
-            at = tail.end() if tail else (n if name in ("script", "style", "textarea", "title") else at)
+            tail = tags.raw_end(name, at)
+            at = tail if tail >= 0 else (n if name in ("script", "style", "textarea", "title") else at)
             parts.append(" ") if name in ("svg", "math", "object") else flush()
             continue
         if name in VOID:
@@ -239,6 +310,7 @@ def read_page(text: str | None) -> Page:
         has_main |= node.prior == 1.0
         if not attrs.rstrip().endswith("/"):
             stack.append(node)
+            opened[name] += 1
     close(0 if not stack else 1)
     styles.append((root.path, ",".join(root.kids)))
     return Page(styles, blocks, has_main)

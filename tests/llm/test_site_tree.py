@@ -62,3 +62,24 @@ def test_odd_rows(spark):
     got = site_tree.main_text(frame).collect()
     assert len(got) == 5 and sorted(r.n_chars for r in got) == [0, 0, 0, 1, 399_999]
     assert site_tree.main_text(frame.where("1 = 0")).count() == 0
+
+
+def test_broken_pages_are_read_in_one_pass():
+    """A megabyte of unclosed quotes, tags and elements takes seconds and memory in proportion; tags after a broken one are read."""
+    import time
+    import tracemalloc
+
+    assert site_tree.extract("<x y=\"1' z><img src=\"q\"> text <p>one</p><a b='>'>two", {}) == "<x y=\"1' z> text\none\ntwo"
+    assert site_tree.extract("<p title=\"a > b\" x='\"'>one<p>2 < 3 \" ' <", {}) == "one\n2 < 3 \" ' <"
+    assert site_tree.extract("<svg>a<svg>b</svg>c", {}) == "c"
+    pages = ['<a b="c>' * 125_000 + '"', "<a '\"b>" * 140_000, "<div>" * 200_000, '<div class="abcdefgh">' * 50_000, "<a" * 500_000 + '"', "<foo>" * 100_000 + "</bar>" * 80_000, "<svg>" * 200_000]
+    for page in pages:
+        begin = time.time()
+        site_tree.read_page(page)
+        assert time.time() - begin < 30, page[:20]
+    tracemalloc.start()
+    deep = site_tree.read_page("<div class=abcdefgh>" * 20_000 + "<p>x" + "</div>" * 20_000 + "<p>y")
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+    assert [b[2] for b in deep.blocks] == ["x", "y"] and max(len(p) for p, _ in deep.styles) <= site_tree.LONG_PATH
+    assert site_tree.extract("<div class=abcdefgh>" * 300 + "<p>x", {}) == "x"
