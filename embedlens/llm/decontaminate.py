@@ -37,6 +37,7 @@ from embedlens.session import cut
 
 TERMS, PASSAGE = 1 << 15, 32
 SKETCH, RANK, LATENT, RANGES = 128, 64, 2.0, 16
+SLOTS = 4096
 BLOCK, SCALES = 8, (2, 4, 8)
 COSINE = 0.35
 EXACT, PARAPHRASE, ANSWER, ANSWER_SHARE = 0.8, 0.6, 8, 0.8
@@ -63,6 +64,10 @@ def _terms(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(20)).astype(np.int64) & (TERMS - 1)
 
 
+def _slots(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
+
+
 def _cut(firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """First word of each run of ``size`` words inside texts, and for each text its first run (n + 1 numbers)."""
     runs = -(-np.diff(firsts) // size)
@@ -199,6 +204,7 @@ class Index:
     images: list[np.ndarray]  # per scale: rank x passages
     members: list[np.ndarray]  # per scale: places of its passages
     slot: np.ndarray  # row of each term in ``weighted``
+    member: np.ndarray  # of each item: how many of its words' hashes have each of ``SLOTS`` values
     latent: np.ndarray  # terms x corpus directions, idf times direction
     weighted: np.ndarray  # terms of passages x rank, idf times direction
     square: np.ndarray  # squared idf
@@ -251,8 +257,20 @@ def build(items: list[tuple[int, int, str, int, int]], idf: np.ndarray, space: n
     weighted = v.copy()
     weighted[slot[known]] *= idf[known, None].astype(np.float32)
     ids, numbers = (np.array([t[k] for t in items], np.int64) for k in (1, 0))
+    member = np.zeros((len(items), SLOTS), np.float32)
+    for i, own in enumerate(words):
+        member[i] = np.bincount(_slots(own), minlength=SLOTS)
     answers = [item_words(answer_of(t)) for _, _, t, _, _ in items]
-    return Index(ids, numbers, words, answers, short, owner, offset, scale, images, members, slot, latent, weighted, np.append(idf * idf, 0).astype(np.float32))
+    return Index(ids, numbers, words, answers, short, owner, offset, scale, images, members, slot, member, latent, weighted, np.append(idf * idf, 0).astype(np.float32))
+
+
+def _word_sums(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``table`` of each block's words, and a block of zeros."""
+    sums = np.zeros((len(rows) + 1, table.shape[1]), np.float32)
+    for lo in range(0, len(rows), 2048):
+        for j in range(BLOCK):
+            sums[lo : min(lo + 2048, len(rows))] += table[rows[lo : lo + 2048, j]]
+    return sums
 
 
 def candidates(index: Index, words: np.ndarray, firsts: np.ndarray, cosine: float = COSINE) -> list[tuple[int, int, int, float]]:
@@ -261,14 +279,7 @@ def candidates(index: Index, words: np.ndarray, firsts: np.ndarray, cosine: floa
     if not len(begin):
         return []
     terms = _padded(words, begin, BLOCK)
-    own, rows = index.weighted.shape[1], index.slot[terms]
-    rank = own + index.latent.shape[1]
-    sums = np.zeros((len(begin) + 1, rank), np.float32)
-    for lo in range(0, len(begin), 2048):
-        part = sums[lo : min(lo + 2048, len(begin))]
-        for j in range(BLOCK):
-            part[:, :own] += index.weighted[rows[lo : lo + 2048, j]]
-            part[:, own:] += index.latent[terms[lo : lo + 2048, j]]
+    sums = [_word_sums(index.weighted, index.slot[terms]), _word_sums(index.latent, terms)]
     square = np.append(index.square[terms].sum(axis=1), 0).astype(np.float32)
     text = np.repeat(np.arange(len(firsts) - 1), np.diff(runs))
     out = []
@@ -277,15 +288,19 @@ def candidates(index: Index, words: np.ndarray, firsts: np.ndarray, cosine: floa
             continue
         at = np.arange(len(begin))
         at = at[(at - runs[text]) % max(1, blocks // 2) == 0]
-        window, norm = np.zeros((len(at), rank), np.float32), np.zeros(len(at), np.float32)
+        windows, norm = [np.zeros((len(at), own.shape[1]), np.float32) for own in sums], np.zeros(len(at), np.float32)
         stop = runs[text[at] + 1]
         for j in range(blocks):
             part = np.where(at + j < stop, at + j, len(begin))
-            window += sums[part]
+            for window, own in zip(windows, sums):
+                window += own[part]
             norm += square[part]
         norm = np.sqrt(np.maximum(norm, 1e-12))
         for lo in range(0, len(at), 8192):
-            score = window[lo : lo + 8192] @ index.images[s] / norm[lo : lo + 8192, None]
+            at_, rank = slice(lo, lo + 8192), windows[0].shape[1]
+            score = windows[0][at_] @ index.images[s][:rank]
+            score += windows[1][at_] @ index.images[s][rank:]
+            score /= norm[at_, None]
             w, i = np.nonzero(score >= cosine)
             out += zip(text[at[lo + w]].tolist(), begin[at[lo + w]].tolist(), index.members[s][i].tolist(), score[w, i].tolist())
     return out
@@ -324,6 +339,32 @@ def short_matches(index: Index, words: np.ndarray, firsts: np.ndarray) -> set[tu
     return out
 
 
+def regions(index: Index, words: np.ndarray, firsts: np.ndarray, asked: list[tuple[int, int, int, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """First word and word after the last around each candidate's window; an empty region where too few words can be the item's.
+
+    An item's words count where their hash value is in the region, so a count is never too low. Regions of long items are left as they are."""
+    text, at, passage = (np.array([a[k] for a in asked], np.int64) for k in range(3))
+    item = index.owner[passage]
+    n = np.array([len(w) for w in index.words], np.int64)[item]
+    begin = at - index.offset[passage]
+    lo = np.maximum(firsts[text], begin - n)
+    hi = np.maximum(lo, np.minimum(firsts[text + 1], begin + np.maximum(np.array(SCALES)[index.scale[passage]] * BLOCK, n) + n))
+    slots = _slots(words)
+    short = np.flatnonzero(n <= LONGEST)
+    for part in range(0, len(short), 8192):
+        own = short[part : part + 8192]
+        size = hi[own] - lo[own]
+        which = np.repeat(np.arange(len(own)), size)
+        place = np.arange(int(size.sum())) + np.repeat(lo[own] - (np.cumsum(size) - size), size)
+        key = item[own][which] * SLOTS + slots[place]
+        inside = index.member.ravel()[key] > 0
+        seen, first = np.unique(which[inside] * SLOTS + slots[place[inside]], return_index=True)
+        most = np.bincount(seen // SLOTS, index.member.ravel()[key[inside][first]], len(own))
+        few = own[most < PARAPHRASE * n[own]]
+        hi[few] = lo[few]
+    return lo, hi
+
+
 def matches(index: Index, words: np.ndarray, firsts: np.ndarray) -> dict[int, dict[int, tuple[float, float]]]:
     """text -> item -> (share of the item found in order, cosine) of what is contaminated."""
     out: dict[int, dict[int, tuple[float, float]]] = {}
@@ -331,11 +372,14 @@ def matches(index: Index, words: np.ndarray, firsts: np.ndarray) -> dict[int, di
         out.setdefault(text, {})[item] = (1.0, 1.0)
     known: dict[int, tuple[dict, dict]] = {}
     tried: dict[tuple[int, int], list[int]] = {}
-    for text, at, passage, cosine in candidates(index, words, firsts):
+    asked = candidates(index, words, firsts)
+    for (text, at, passage, cosine), lo, hi in zip(asked, *(side.tolist() for side in regions(index, words, firsts, asked))):
         item = int(index.owner[passage])
         own = index.words[item]
         n = len(own)
         begin = at - int(index.offset[passage])
+        if lo == hi:
+            continue
         if n > LONGEST:  # passages of one copy ask for about the same region
             near = tried.setdefault((text, item), [])
             if any(abs(begin - b) <= n // 4 for b in near):
@@ -344,7 +388,7 @@ def matches(index: Index, words: np.ndarray, firsts: np.ndarray) -> dict[int, di
                     out[text][item] = (share, max(best, cosine))
                 continue
             near.append(begin)
-        region = words[max(firsts[text], begin - n) : max(0, min(firsts[text + 1], begin + max(SCALES[index.scale[passage]] * BLOCK, n) + n))]
+        region = words[lo:hi]
         if item not in known:
             known[item] = places(own), places(index.answers[item])
         share = common_subsequence(n, known[item][0], region, PARAPHRASE * n) / n
