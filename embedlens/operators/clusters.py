@@ -219,16 +219,16 @@ def _worst_ratio(rows: DataFrame, k: int) -> DataFrame:
         left, right, _ = sides_of(key, table)
         a, b = matrix(left["vector"]), matrix(right["vector"])
         if not len(a) or not len(b):
-            return fields.empty_table()
+            return
         d = _distances(a, b)
         pair = left["s"].to_numpy()[:, None] + right["s"].to_numpy()[None, :]
         ratio = np.divide(pair, d, out=np.zeros(d.shape), where=d > 0)
         ids = np.concatenate([ids_of(left["id"]), ids_of(right["id"])])
         best = np.concatenate([ratio.max(1), ratio.max(0)])
-        return pa.table([pa.array(ids), pa.array(best)], names=fields.names).cast(fields)
+        yield pa.table([pa.array(ids), pa.array(best)], names=fields.names).cast(fields)
 
-    p = Plan(k, 1, 512)
-    tasks = block_tasks(to_cells(rows, p, None, False), p, kernel, f"id {kind}, r double", False)
+    p = Plan(k, 1, 512, most_rows=512)
+    tasks = block_tasks(to_cells(rows, p), p, kernel, f"id {kind}, r double", False)
     return tasks.groupBy("id").agg(F.max("r").alias("r"))
 
 

@@ -219,6 +219,6 @@ def _compare(heads: DataFrame, threshold: float, most: int) -> DataFrame:
         columns = [pa.array(pool[a]), pa.array(pool[b]), pa.array(np.full(size, LISTED, "int32")), pa.array(sim), pa.array(weight)]
         listed = pa.table(columns, names=fields.names).cast(fields) if size else fields.empty_table()
         total = pa.table([pa.nulls(1, fields.field(n).type) if n in "ab" else pa.array([{"kind": COUNT, "weight": count}.get(n, 0)]) for n in fields.names], names=fields.names)
-        return pa.concat_tables([listed, total.cast(fields)])
+        yield from (listed, total.cast(fields))
 
     return similar(heads, threshold, kernel, f"a {kind}, b {kind}, kind int, similarity double, weight long")

@@ -349,3 +349,52 @@ def test_lists_with_nulls_in_other_places_are_no_copies(spark):
     rows = [(1, [1.0, None, 2.0]), (2, [1.0, 2.0]), (3, [None, 1.0, 2.0]), (4, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "id long, vector array<double>")
     assert sorted((r.id, r.rep) for r in P.copy_members(df).collect()) == [(2, 2), (4, 2)]
+
+
+def test_blocks_grow_with_the_rows_so_copies_do_not():
+    """A row is copied once per block: eight times until blocks are full."""
+    blocks = {n: P.Plan(n, 64, P.BLOCK_ROWS).blocks(n) for n in (10_000, 100_000, 600_000)}
+    assert blocks == {10_000: 8, 100_000: 8, 600_000: 19}
+
+
+@pytest.mark.parametrize("run", [
+    lambda v: {(r.src, r.dst, r.rank) for r in P.knn(v, 3, cell_rows=8, block_rows=16).collect()},
+    lambda v: {(r.a, r.b) for r in P.similar_pairs(v, 0.5, 8, 16).collect()},
+    lambda v: {(r.id, r.component) for r in components(P.similar_links(v, 0.5, 8, 16)).collect()},
+])
+def test_rows_without_structure_are_not_sent_to_most_cells(make, monkeypatch, run):
+    sent, real = [], P.block_tasks
+    monkeypatch.setattr(P, "block_tasks", lambda rows, *a, **b: sent.append(rows.count()) or real(rows, *a, **b))
+    x = np.random.default_rng(4).normal(size=(400, 24))
+    got = run(make(x))
+    assert sent and max(sent) == 400
+    if len(next(iter(got))) == 3:
+        assert got == brute_knn(x, 3)
+    else:
+        pairs = brute_pairs(x, 0.5)
+        label = list(range(400))
+        for i, j in pairs:
+            a, b = label[i], label[j]
+            label = [min(a, b) if v in (a, b) else v for v in label]
+        assert got in (pairs, {(i, v) for i, v in enumerate(label) if label.count(v) > 1})
+
+
+def test_matches_leave_a_task_a_tile_at_a_time():
+    n = 5000
+    import pyarrow as pa
+
+    table = pa.table({"id": np.arange(n), "vector": pa.array(list(np.ones((n, 2)))), "side": np.zeros(n, "int32")})
+    sizes = [len(i) for i, _, _ in P.matches([pa.scalar(0)] * 4, table, 0.9)[3]]
+    assert sum(sizes) == n * (n - 1) // 2 and max(sizes) <= P.SLICE_ROWS * 2048
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_nearest_over_several_tiles(monkeypatch, bounded):
+    monkeypatch.setattr(P, "TILE_ROWS", 7, raising=False)
+    x = np.random.default_rng(5).integers(0, 3, (60, 3)).astype(float)
+    ids = np.random.default_rng(6).permutation(60)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    bound = np.sort(d, axis=1)[:, 4] if bounded else None
+    row, col, dist = P._nearest(x, x, ids, 5, bound)
+    want = {(i, j) for i in range(60) for j in sorted(range(60), key=lambda j: (d[i, j], ids[j]))[:5]}
+    assert set(zip(row.tolist(), col.tolist())) == want and np.allclose(dist, d[row, col])
