@@ -104,10 +104,12 @@ def duplicate_totals(members: DataFrame) -> DataFrame:
 
 def member_lists(members: DataFrame, per_row: int = IDS_PER_ROW) -> DataFrame:
     """Member ids joined by ``;``. A group above ``per_row`` members spreads over numbered parts, so
-    that no cell grows with the group; smaller groups are part 0 alone."""
+    that no cell grows with the group; smaller groups are part 0 alone. The part is the first 32 bits of the id's MD5, as text,
+    modulo the number of parts."""
     sizes = members.groupBy("kind", "first_id").agg(F.count(F.lit(1)).alias("size"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / per_row)).cast("int")
-    placed = members.join(sizes, ["kind", "first_id"]).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    digest = F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    placed = members.join(sizes, ["kind", "first_id"]).withColumn("part", (digest % parts).cast("int"))
     ids = F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ";")
     return placed.groupBy("kind", "first_id", "part").agg(ids.alias("vector_ids"))
 

@@ -326,3 +326,20 @@ def test_previous_row_of_sparse_ids(spark):
     got = {r.id: r.prev for r in with_previous(df, "source").collect()}
     assert got == {i: (f"t{n - 2}" if n > 1 else None) for n, (i, _, _) in enumerate(rows)}
     assert {r.id: r.prev for r in with_previous(df).collect()} == {i: (f"t{n - 1}" if n else None) for n, (i, _, _) in enumerate(rows)}
+
+
+def test_lists_of_a_large_group_of_texts_are_cut_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from catalog.oracle import ORACLE
+    from catalog.spark_queries import QUERIES
+
+    text = F.when(F.col("doc_id") < 2500, "Same  words").otherwise(F.concat(F.lit("t"), (F.col("doc_id") % 7).cast("string")))
+    docs = spark.range(2520).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    docs.withColumn("text", text).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(3).selectExpr("id as vec_id", "array(1.0f, 2.0f) as embedding", "1 as label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted((r.first_id, r.vector_ids) for r in QUERIES["a2_text_dups"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(ORACLE["a2_text_dups"]).fetchall()) and len(got) == 3 + 7
