@@ -35,43 +35,53 @@ def content_field(coll: Collection) -> str | None:
     """First well-known field with text in any row; else the first field, in name order, that is
     named like content."""
     present = [f for f in CONTENT_FIELDS if f in coll.fields]
-    if present:
+    named = next((f for f in sorted(coll.fields) if is_content_name(f)), None)
+    if any(f != named for f in present):  # else the answer is the same without a look at the texts
         found = coll.df.agg(*[F.coalesce(F.bool_or(_text(coll, f) != ""), F.lit(False)).alias(f) for f in present]).first()
         for f in present:
             if found[f]:
                 return f
-    return next((f for f in sorted(coll.fields) if is_content_name(f)), None)
+    return named
 
 
 def texts(coll: Collection, field: str, *keep: str) -> DataFrame:
     return coll.df.select("id", *[coll.field(k) for k in keep], _text(coll, field).alias("text")).where("text IS NOT NULL")
 
 
-def length_issues(rows: DataFrame, low: int = MIN_LENGTH, high: int = MAX_LENGTH) -> DataFrame:
+def _length_issue(low: int, high: int) -> Column:
     n = X.byte_length(F.col("text"))
-    found = (
+    return (
         F.when(n < low, F.struct(F.lit("too_short").alias("issue"), F.format_string(f"%d chars (min: {low})", n).alias("detail")))
         .when(n > high, F.struct(F.lit("too_long").alias("issue"), F.format_string(f"%d chars (max: {high})", n).alias("detail")))
     )
+
+
+def _boundary_issue() -> Column:
+    issue = F.struct(F.lit("broken_boundary").alias("issue"), F.lit("Starts lowercase and ends without punctuation").alias("detail"))
+    return F.when(X.broken_boundary(F.col("text")), issue)
+
+
+def _listed(rows: DataFrame, found: Column) -> DataFrame:
     return rows.select("id", found.alias("f"), X.preview(F.col("text")).alias("preview")).where("f IS NOT NULL").select(
         "id", "f.issue", "f.detail", "preview"
     )
 
 
+def length_issues(rows: DataFrame, low: int = MIN_LENGTH, high: int = MAX_LENGTH) -> DataFrame:
+    return _listed(rows, _length_issue(low, high))
+
+
 def boundary_issues(rows: DataFrame) -> DataFrame:
-    return rows.where(X.broken_boundary(F.col("text"))).select(
-        "id", F.lit("broken_boundary").alias("issue"),
-        F.lit("Starts lowercase and ends without punctuation").alias("detail"), X.preview(F.col("text")).alias("preview"),
-    )
+    return _listed(rows, _boundary_issue())
 
 
-def isolation_issues(coll: Collection, rows: DataFrame) -> DataFrame:
-    """Vectors less than 0.5 similar to every other one; rows without text have an empty preview."""
+def isolation_issues(coll: Collection, previews: DataFrame) -> DataFrame:
+    """Vectors less than 0.5 similar to every other one; rows that ``previews`` (id, preview) lacks have an empty preview."""
     vectors = coll.vectors()
     if len(vectors.limit(2).collect()) < 2:
-        return rows.limit(0).select("id", F.lit("orphan").alias("issue"), F.lit("").alias("detail"), F.lit("").alias("preview"))
+        return previews.limit(0).select("id", F.lit("orphan").alias("issue"), F.lit("").alias("detail"), F.lit("").alias("preview"))
     lone = lone_rows(vectors, ISOLATED_BELOW)
-    return lone.join(rows.select("id", X.preview(F.col("text")).alias("p")), "id", "left").select(
+    return lone.join(previews.select("id", F.col("preview").alias("p")), "id", "left").select(
         "id", F.lit("orphan").alias("issue"),
         F.lit(f"Max similarity to other chunks < {ISOLATED_BELOW}").alias("detail"), F.coalesce("p", F.lit("")).alias("preview"),
     )
@@ -111,13 +121,23 @@ def with_previous(rows: DataFrame, source: str | None = None) -> DataFrame:
     return both.withColumn("prev", F.lag("text").over(within)).where("NOT _head").drop("_n", "_run", "_head")
 
 
-def overlap_issues(rows: DataFrame, source: str | None = None) -> DataFrame:
-    """Chunks that repeat over 80 % of the chunk before: the longest suffix of the one before that
+def _overlap_issue() -> Column:
+    """Of a chunk that repeats over 80 % of the chunk before: the longest suffix of the one before that
     begins this one, relative to the longer text (in characters)."""
-    met = with_previous(rows, source).withColumn("n", X.high_overlap(F.col("prev"), F.col("text"), OVERLAP_SHARE))
     share = F.col("n") / F.greatest(F.length("prev"), F.length("text"))
-    return met.where("n IS NOT NULL").select(
-        "id", F.lit("high_overlap").alias("issue"),
-        F.concat(F.format_string("%.0f", F.bround(share * 100, 0)), F.lit("% overlap with previous chunk")).alias("detail"),
-        X.preview(F.col("text")).alias("preview"),
-    )
+    detail = F.concat(F.format_string("%.0f", F.bround(share * 100, 0)), F.lit("% overlap with previous chunk"))
+    return F.when(F.col("n").isNotNull(), F.struct(F.lit("high_overlap").alias("issue"), detail.alias("detail")))
+
+
+def _met(rows: DataFrame, source: str | None) -> DataFrame:
+    return with_previous(rows, source).withColumn("n", X.high_overlap(F.col("prev"), F.col("text"), OVERLAP_SHARE))
+
+
+def overlap_issues(rows: DataFrame, source: str | None = None) -> DataFrame:
+    return _listed(_met(rows, source), _overlap_issue())
+
+
+def facts(rows: DataFrame, low: int, high: int, source: str | None = None) -> DataFrame:
+    """``(id, len, issues, preview)`` of each chunk, ``issues`` being array<struct<issue, detail>>: texts are put in order once and read no further."""
+    issues = F.array_compact(F.array(_length_issue(low, high), _boundary_issue(), _overlap_issue()))
+    return _met(rows, source).select("id", X.byte_length(F.col("text")).alias("len"), issues.alias("issues"), X.preview(F.col("text")).alias("preview"))

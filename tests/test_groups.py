@@ -343,3 +343,22 @@ def test_lists_of_a_large_group_of_texts_are_cut_as_in_sql(spark, tmp_path):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     got = sorted((r.first_id, r.vector_ids) for r in QUERIES["a2_text_dups"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(ORACLE["a2_text_dups"]).fetchall()) and len(got) == 3 + 7
+
+
+def test_a_chunk_report_reads_its_texts_few_times(spark, tmp_path):
+    """Every pass over a joined collection shuffles all texts."""
+    import uuid
+
+    from embedlens.sources.collections import Collection
+
+    folder = str(tmp_path)
+
+    def reading(batches):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w"):
+            yield from batches
+
+    base = spark.range(40, numPartitions=1).selectExpr("id", "cast(array(cos(id), sin(id)) as array<double>) as vector", "concat('Text ', id, '.') as text", "'s' as source")
+    coll = Collection(base.mapInArrow(reading, base.schema), ("text", "source"), "texts")
+    found = R.chunk_quality(coll, source="source")
+    assert found.issues.count() == 40 and found.summary.first().content_field == "text" and found.histogram.count() == 20
+    assert len(list(tmp_path.iterdir())) <= 9
