@@ -398,3 +398,33 @@ def test_nearest_over_several_tiles(monkeypatch, bounded):
     row, col, dist = P._nearest(x, x, ids, 5, bound)
     want = {(i, j) for i in range(60) for j in sorted(range(60), key=lambda j: (d[i, j], ids[j]))[:5]}
     assert set(zip(row.tolist(), col.tolist())) == want and np.allclose(dist, d[row, col])
+
+
+def test_no_tree_is_built_for_rows_without_structure(make, monkeypatch):
+    """Levels of cells were cut, counted and visited before all rows were compared without them."""
+    built = []
+    real = P.C.build
+    monkeypatch.setattr(P.C, "build", lambda *a, **k: built.append(1) or real(*a, **k))
+    x = np.random.default_rng(3).normal(size=(500, 24))
+    got = P.knn(make(x), 3, cell_rows=16, block_rows=32).collect()
+    assert {(r.src, r.dst, r.rank) for r in got} == brute_knn(x, 3) and not built
+    x = clustered(500, 24, 4, centers=60, spread=0.001)
+    got = P.knn(make(x), 3, cell_rows=16, block_rows=32).collect()
+    assert {(r.src, r.dst, r.rank) for r in got} == brute_knn(x, 3) and built
+
+
+@pytest.mark.parametrize("kind", ["plain", "far", "huge", "tiny", "copies", "grid"])
+@pytest.mark.parametrize("bounded", [False, True])
+def test_single_precision_loses_no_neighbour(kind, bounded):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(700, 8))
+    x = {
+        "plain": x, "far": x * 1e-6 + 1e3, "huge": x * 1e60, "tiny": x * 1e-60, "copies": np.repeat(x[:70], 10, axis=0), "grid": np.floor(x),
+    }[kind]
+    ids = rng.permutation(700)
+    far = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    order = np.lexsort((np.broadcast_to(ids, far.shape), far))[:, :5]
+    bound = np.take_along_axis(far, order[:, 4:], 1)[:, 0] if bounded else None
+    row, col, dist = P._nearest(x, x, ids, 5, bound)
+    assert (row == np.repeat(np.arange(700), 5)).all() and (col == order.ravel()).all()
+    assert np.allclose(dist, np.take_along_axis(far, order, 1).ravel(), rtol=1e-12)
