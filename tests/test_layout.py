@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from embedlens.operators import layout as L
+from embedlens.operators import rounds
 from embedlens.operators import spatial as S
 from embedlens.operators.pairs import knn
 from embedlens.sources.collections import Collection
@@ -165,3 +166,40 @@ def test_stored_projection(make, spark, tmp_path):
     assert projection_key(other, "pca") != projection_key(c, "pca")
     projection(other, str(tmp_path / "p"), "pca", lambda: L.project(other.vectors(), "pca"), min_dist=0.1)
     assert projection(c, str(tmp_path / "p"), "pca", compute, min_dist=0.1).count() == 8
+
+
+def test_m8_layout_runs_all_epochs_of_its_size(spark, monkeypatch):
+    assert _epochs_run(spark, monkeypatch, "m8_layout") == (500, L.epochs_for(500))
+
+
+@pytest.mark.parametrize("method", ["umap", "tsne"])
+def test_blocks_exchange_positions(make, monkeypatch, method):
+    """Several blocks, linked with each other, in several rounds: every point is laid out, near those it is near to."""
+    monkeypatch.setattr(rounds, "ONE_BLOCK", 20)
+    monkeypatch.setattr(L, "TSNE_BLOCK", 20)
+    x = np.concatenate([two_clusters(60, 10.0)[i::2] for i in (0, 1)])
+    options = {} if method == "umap" else {"learning_rate": 2.0, "perplexity": 5.0}
+    got = coords(L.project(make([(f"p{i:02d}", v) for i, v in enumerate(x.tolist())], kind="string"), method, epochs=12, **options))
+    assert rounds.blocks_of(60) == 3 and got.shape == (60, 3) and np.isfinite(got).all()
+    far = ((got[:, None] - got[None]) ** 2).sum(2)
+    own = np.array([0] * 15 + [1] * 15 + [0] * 15 + [1] * 15)
+    np.fill_diagonal(far, np.inf)
+    assert (own[far.argmin(1)] == own).mean() > 0.9
+
+
+def test_blocks_in_step_agree_with_one_block(make, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(60, 4))
+    one = coords(L.tsne_layout(make(x), 60, 8.0, 1.0, 3))
+    monkeypatch.setattr(rounds, "ONE_BLOCK", 20)
+    monkeypatch.setattr(L, "TSNE_BLOCK", 20)
+    monkeypatch.setattr(L, "STALE_ITERATIONS", 1)
+    assert np.allclose(coords(L.tsne_layout(make(x), 60, 8.0, 1.0, 3)), one, atol=0.02 * np.abs(one).max())
+
+
+def _epochs_run(spark, monkeypatch, name):
+    from catalog.spark_queries import QUERIES
+
+    seen = []
+    monkeypatch.setattr(rounds, "run", lambda at, graph, n, epochs, *more, **options: seen.append((n, epochs)) or at)
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == 500
+    return seen[0]
