@@ -203,3 +203,7 @@ def _epochs_run(spark, monkeypatch, name):
     monkeypatch.setattr(rounds, "run", lambda at, graph, n, epochs, *more, **options: seen.append((n, epochs)) or at)
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == 500
     return seen[0]
+
+
+def test_m9_tsne_layout_runs_all_iterations_of_its_size(spark, monkeypatch):
+    assert _epochs_run(spark, monkeypatch, "m9_tsne_layout") == (500, L.iterations_for(500))
