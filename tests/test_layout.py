@@ -207,3 +207,12 @@ def _epochs_run(spark, monkeypatch, name):
 
 def test_m9_tsne_layout_runs_all_iterations_of_its_size(spark, monkeypatch):
     assert _epochs_run(spark, monkeypatch, "m9_tsne_layout") == (500, L.iterations_for(500))
+
+
+@pytest.mark.parametrize("n", [1, 2, 256, 257, 600])
+def test_sums_over_all_pairs_by_tiles(n):
+    p = np.random.default_rng(n).normal(size=(n, 3)) * 3 + 100
+    diff = p[:, None] - p[None]
+    q = 1 / (1 + (diff**2).sum(2))
+    total, near = rounds.all_pairs(p)
+    assert np.allclose(total, ((q**2)[:, :, None] * diff).sum(1), atol=1e-9) and np.allclose(near, q.sum(1) - 1, atol=1e-9)
